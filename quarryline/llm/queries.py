@@ -1,6 +1,9 @@
 """The queries of this subpackage, by name, and their SQL."""
 
-from . import op9_decontaminate
+from . import op2_pack, op9_decontaminate
 
-QUERIES = {"op9_decontaminate": op9_decontaminate.op9_decontaminate}
+QUERIES = {
+    "op2_pack": op2_pack.op2_pack,
+    "op9_decontaminate": op9_decontaminate.op9_decontaminate,
+}
 SQL = {"op9_decontaminate": op9_decontaminate.SQL}
