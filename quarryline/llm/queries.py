@@ -1,9 +1,18 @@
 """The queries of this subpackage, by name, and their SQL."""
 
-from . import op2_pack, op9_decontaminate
+from . import op1_topk, op2_pack, op4_quality, op5_pii, op8_toxicity, op9_decontaminate, op10_urls
 
 QUERIES = {
+    "op1_topk": op1_topk.op1_topk,
     "op2_pack": op2_pack.op2_pack,
+    "op4_quality": op4_quality.op4_quality,
+    "op5_pii": op5_pii.op5_pii,
+    "op8_toxicity": op8_toxicity.op8_toxicity,
     "op9_decontaminate": op9_decontaminate.op9_decontaminate,
+    "op10_urls": op10_urls.op10_urls,
+}
+SQL = {
+    "op1_topk": op1_topk.SQL,
+    "op9_decontaminate": op9_decontaminate.SQL,
+    "op10_urls": op10_urls.SQL,
 }
-SQL = {"op9_decontaminate": op9_decontaminate.SQL}

@@ -70,11 +70,11 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (data[off[0] : off[-1]], off - off[0]) if len(column) else (np.zeros(0, np.uint8), np.zeros(1, np.int64))
 
 
-def words(data: np.ndarray, off: np.ndarray, kind: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, first byte, end byte) of each word, and n + 1 offsets into those for the texts."""
+def words(data: np.ndarray, off: np.ndarray, kind: tuple[np.ndarray, np.ndarray], prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, ...]:
+    """(hash, first byte, end byte) of each word, and n + 1 offsets into those for the texts; then the hashes of the words' first so many bytes, for each of prefixes."""
     inside, to = kind
     n, at = len(data), 0
-    hashes, starts, ends = [], [], []
+    hashes, starts, ends, heads = [], [], [], [[] for _ in prefixes]
     edge = np.zeros(n + 1, bool)
     edge[off] = True
     while at < n:
@@ -96,13 +96,15 @@ def words(data: np.ndarray, off: np.ndarray, kind: tuple[np.ndarray, np.ndarray]
             total[0] = 0
             np.cumsum((to[part].astype(np.uint64) + np.uint64(1)) * power[: len(part)], out=total[1:])
             hashes.append(mix((total[e] - total[s]) * inverse[s] + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+            for head, size in zip(heads, prefixes, strict=True):
+                head.append(mix((total[np.minimum(e, s + size)] - total[s]) * inverse[s] + np.uint64(size)))
             starts.append(s + at)
             ends.append(e + at)
         at = end
     if not hashes:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(off), np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(off), np.int64), *(np.zeros(0, np.uint64) for _ in prefixes)
     s = np.concatenate(starts)
-    return np.concatenate(hashes), s, np.concatenate(ends), np.searchsorted(s, off)
+    return np.concatenate(hashes), s, np.concatenate(ends), np.searchsorted(s, off), *map(np.concatenate, heads)
 
 
 def grams(h: np.ndarray, k: int) -> np.ndarray:
