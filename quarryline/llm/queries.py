@@ -1,6 +1,6 @@
 """The queries of this subpackage, by name, and their SQL."""
 
-from . import op1_topk, op2_pack, op3_jaccard, op4_quality, op5_pii, op7_passages, op8_toxicity, op9_decontaminate, op10_urls
+from . import op1_topk, op2_pack, op3_jaccard, op4_quality, op5_pii, op6_licenses, op7_passages, op8_toxicity, op9_decontaminate, op10_urls
 
 QUERIES = {
     "op1_topk": op1_topk.op1_topk,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_jaccard": op3_jaccard.op3_jaccard,
     "op4_quality": op4_quality.op4_quality,
     "op5_pii": op5_pii.op5_pii,
+    "op6_licenses": op6_licenses.op6_licenses,
     "op7_passages": op7_passages.op7_passages,
     "op8_toxicity": op8_toxicity.op8_toxicity,
     "op9_decontaminate": op9_decontaminate.op9_decontaminate,

@@ -1,4 +1,6 @@
 """Whole queries over the driver's tables, with the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from . import extraction, grounding, relational, retrieval, structure
+from .registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL", "extraction", "grounding", "relational", "retrieval", "structure"]
