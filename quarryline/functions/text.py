@@ -101,7 +101,7 @@ def normalize_markdown(s: Column) -> Column:  # X10 with Q11
     )
     pieces = F.split(text, "```")
     lowered = F.transform(pieces, lambda p, i: F.when((i > 0) & p.rlike("^[A-Z]"), F.concat(F.lower(F.regexp_extract(p, r"^([A-Z]+)", 1)), F.regexp_replace(p, r"^[A-Z]+", ""))).otherwise(p))
-    return F.concat(trimmed(F.regexp_replace(F.array_join(lowered, "```"), r"(?md)\s+?$", "")), F.lit("\n"))
+    return F.concat(trimmed(F.regexp_replace(F.array_join(lowered, "```"), r"(?md)[^\S\n]+$", "")), F.lit("\n"))
 
 
 def clean_extracted(s: Column) -> Column:  # X11; by Q10 nothing is left to do after the white space is collapsed
