@@ -148,7 +148,7 @@ def active_jobs(jobs: DataFrame, most: int = 50) -> DataFrame:  # P17, S3
 
 
 def job_millis(started: Column, completed: Column, as_of: Column) -> Column:
-    return F.unix_millis(F.coalesce(completed, as_of)) - F.unix_millis(started)
+    return F.unix_millis(F.coalesce(completed, as_of).cast("timestamp")) - F.unix_millis(started.cast("timestamp"))
 
 
 def batch_status(items: DataFrame, all_must_fail: bool = True) -> DataFrame:  # ST10

@@ -150,7 +150,11 @@ ACADEMIC = ["abstract", "method", "result", "conclusion"]
 
 def structure_type(doc_type: Column, titles: Column) -> Column:  # T15
     low = F.transform(titles, F.lower)
-    n = sum((F.exists(low, lambda t, w=w: F.contains(t, F.lit(w))).cast("int") for w in ACADEMIC), F.lit(0))
+
+    def holds(word: str) -> Column:
+        return F.exists(low, lambda t: F.contains(t, F.lit(word))).cast("int")
+
+    n = sum((holds(w) for w in ACADEMIC), F.lit(0))
     return F.when(doc_type.isin("patent", "arxiv"), doc_type).when(doc_type.isin("paper", "article") | (n >= 2), "paper").when(doc_type.isin("technical_memo", "tech_memo"), "technical_memo").otherwise("generic")
 
 
