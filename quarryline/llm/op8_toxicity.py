@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .labelled import held_out, training_rows
+from .shared import written
 from .wordhash import ALNUM_LOW, pieces, utf8, words
 
 #: Labelled documents that are learned from, at most, and features that get a weight.
@@ -78,26 +79,19 @@ def noisy_or(p: np.ndarray, soff: np.ndarray) -> np.ndarray:
     return np.clip(-np.expm1(total[soff[1:]] - total[soff[:-1]]), 0, 1)
 
 
-def fit(soff: np.ndarray, feature: np.ndarray, sentence: np.ndarray, y: np.ndarray, features: int = FEATURES, rounds: int = 300, rate: float = 0.1, decay: float = 2e-4) -> Model:
-    """Weights by full-batch Adam on the noisy-or likelihood. feature, sentence: one row for each feature in a sentence."""
+def telling(hashed: DataFrame, docs: int, toxic: int, most: int = FEATURES) -> np.ndarray:
+    """The most features, sorted, with the greatest log-likelihood ratio against the share of toxic documents, of those in 5 documents or more."""
+    share = toxic / docs
+    seen = hashed.select("y", F.explode(F.array_distinct("h")).alias("h")).groupBy("h").agg(F.sum("y").alias("a"), F.count("*").alias("n")).where("n >= 5")
+    p = (F.col("a") + 0.5) / (F.col("n") + 1)
+    gain = F.col("a") * F.log(p / share) + (F.col("n") - F.col("a")) * F.log((1 - p) / (1 - share))
+    best = seen.select("h", gain.alias("gain")).where("gain > 2").orderBy(F.desc("gain"), F.col("h").bitwiseXOR(F.lit(-(2**63)))).limit(most)
+    return np.sort(np.array([r.h for r in best.select("h").collect()], np.int64).view(np.uint64))
+
+
+def fit(names: np.ndarray, soff: np.ndarray, row: np.ndarray, col: np.ndarray, y: np.ndarray, rounds: int = 300, rate: float = 0.1, decay: float = 2e-4) -> Model:
+    """Weights by full-batch Adam on the noisy-or likelihood. row, col: sentence and feature, one of each for a feature in a sentence."""
     doc_of = np.repeat(np.arange(len(y)), np.diff(soff))
-    if not len(y) or not len(feature) or y.min() == y.max():
-        share = float(y.mean()) if len(y) else 0.0
-        return Model(np.zeros(0, np.uint64), np.zeros(0), -60.0 if share < 0.5 else 60.0)
-    seen = np.unique(np.stack([doc_of[sentence].astype(np.uint64), feature]), axis=1)
-    names, column = np.unique(seen[1], return_inverse=True)
-    label = y[seen[0].astype(np.int64)]
-    a, n = np.bincount(column, label, len(names)), np.bincount(column, minlength=len(names))
-    # log-likelihood ratio of a feature's documents against the share of toxic ones
-    share, p = y.mean(), (a + 0.5) / (n + 1)
-    gain = a * np.log(p / share) + (n - a) * np.log((1 - p) / (1 - share))
-    gain[n < 5] = -1
-    best = np.sort(np.argsort(-gain, kind="stable")[:features])
-    best = best[gain[best] > 2]
-    names = names[best]
-    k = np.minimum(np.searchsorted(names, feature), max(len(names) - 1, 0))
-    ok = names[k] == feature if len(names) else np.zeros(len(feature), bool)
-    row, col = sentence[ok], k[ok]
     w, bias = np.zeros(len(names)), -5.0
     m, v, n_s = np.zeros(len(names) + 1), np.zeros(len(names) + 1), len(doc_of)
     for t in range(1, rounds + 1):
@@ -113,7 +107,7 @@ def fit(soff: np.ndarray, feature: np.ndarray, sentence: np.ndarray, y: np.ndarr
 
 
 def train(documents: DataFrame, labels: DataFrame, test=None, most: int = TRAIN, label: str = "toxic") -> Model:
-    """Learn from at most `most` labelled documents outside test. The executors turn texts into hashes, which the driver gathers: the sample bounds them."""
+    """Learn from at most `most` labelled documents outside test. Executors turn texts into hashes and count them; the driver gathers those of the chosen features alone, which the sample bounds."""
     rows = training_rows(documents, labels, label, F.lit(False) if test is None else test, most)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,15 +119,32 @@ def train(documents: DataFrame, labels: DataFrame, test=None, most: int = TRAIN,
                 for d in range(part.num_rows):
                     a, z = span[d], span[d + 1]
                     pair = np.unique(np.concatenate([np.stack([(sentence[a:z] - soff[d]).astype(np.uint64), h[a:z]]) for h in kinds], axis=1), axis=1)
-                    out.append((pair[0].astype("<u4").tobytes(), pair[1].astype("<u8").tobytes(), int(soff[d + 1] - soff[d])))
-                yield pa.RecordBatch.from_arrays([part.column("y"), *(pa.array([x[i] for x in out], t) for i, t in enumerate((pa.binary(), pa.binary(), pa.int64())))], names=["y", "s", "h", "n"])
-
-    got = rows.mapInArrow(hashed, "y int, s binary, h binary, n long").toPandas()
-    got = got.assign(_k=[bytes(x) for x in got.h], _s=[bytes(x) for x in got.s]).sort_values(["_k", "_s", "y"])  # the order that rows arrive in mustn't matter
-    soff = np.concatenate([[0], np.cumsum(got.n.to_numpy(np.int64))])
-    sentence = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(s, "<u4").astype(np.int64) + a for s, a in zip(got._s, soff, strict=False))])
-    feature = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(h, "<u8") for h in got._k)])
-    return fit(soff, feature, sentence, got.y.to_numpy(np.int64))
+                    out.append((pair[0].astype(np.int32), pair[1].view(np.int64), int(soff[d + 1] - soff[d])))
+                yield pa.RecordBatch.from_arrays([part.column("y"), *(pa.array([x[i] for x in out], t) for i, t in enumerate((pa.list_(pa.int32()), pa.list_(pa.int64()), pa.int64())))], names=["y", "s", "h", "n"])
+
+    bagged = written(rows.mapInArrow(hashed, "y int, s array<int>, h array<long>, n long"), "toxicity-bags")
+    docs, toxic = bagged.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
+    if toxic in (0, docs) or not bagged.where(F.size("h") > 0).head(1):
+        return Model(np.zeros(0, np.uint64), np.zeros(0), -60.0 if not docs or 2 * toxic < docs else 60.0)
+    names = telling(bagged, docs, toxic)
+    held = documents.sparkSession.sparkContext.broadcast(names)
+
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = held.value
+        for batch in batches:
+            out = []
+            for s, h in zip(batch.column("s"), batch.column("h"), strict=True):
+                s, h = s.values.to_numpy(zero_copy_only=False), h.values.to_numpy(zero_copy_only=False).view(np.uint64)
+                k = np.minimum(np.searchsorted(names, h), max(len(names) - 1, 0))
+                ok = names[k] == h if len(names) else np.zeros(len(h), bool)
+                out.append((s[ok].astype("<u4").tobytes(), k[ok].astype("<u4").tobytes()))
+            yield pa.RecordBatch.from_arrays([batch.column("y"), *(pa.array([x[i] for x in out], pa.binary()) for i in (0, 1)), batch.column("n")], names=["y", "s", "k", "n"])
+
+    got = sorted((bytes(r.k), bytes(r.s), r.n, r.y) for r in bagged.mapInArrow(chosen, "y int, s binary, k binary, n long").toLocalIterator())  # the order that rows arrive in mustn't matter
+    soff = np.concatenate([[0], np.cumsum([n for _, _, n, _ in got])]).astype(np.int64)
+    row = np.concatenate([np.frombuffer(s, "<u4").astype(np.int64) + a for (_, s, _, _), a in zip(got, soff, strict=False)])
+    col = np.concatenate([np.frombuffer(k, "<u4").astype(np.int64) for k, _, _, _ in got])
+    return fit(names, soff, row, col, np.array([y for *_, y in got], np.int64))
 
 
 RESULT = [("score", "double"), ("sentences", "array<struct<start:long,end:long,score:double>>")]
