@@ -62,7 +62,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: SQL can't express the toxicity model or the tokenizer; tests/llm/test_pipeline.py holds the stages against plain versions.
+#: SQL can't express the toxicity model or the tokenizer; test_pipeline in tests/llm/test_ops.py holds the stages against plain versions.
 ORACLE_SQL = None
 
 
