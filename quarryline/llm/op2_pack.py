@@ -68,6 +68,7 @@ class Encoder:
         if self.by_word:
             self.cut = regex.compile(steps["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
         self.plain = re.compile("[!-~\u00a1-\u024f]+").fullmatch
+        self.separator = re.compile("[\x1c-\x1f]").search  # white space to str.split(), but not to the tokenizer, which gives each an id
         self.letter = frozenset("abcdefghijklmnopqrstuvwxyz\u00df" + "".join(map(chr, [*range(0xE0, 0xF7), *range(0xF8, 0x100)]))).__contains__
         # the byte-level alphabet: printable bytes stand for themselves, the others for code points from 256 on
         shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -102,7 +103,7 @@ class Encoder:
         """Little-endian 32-bit ids of each text."""
         out = []
         for text in texts:
-            if not self.by_word or "\u03a3" in text or "<|" in text or not unicodedata.is_normalized("NFC", text):
+            if not self.by_word or "\u03a3" in text or "<|" in text or self.separator(text) or not unicodedata.is_normalized("NFC", text):
                 out.append(self.encode(text))
                 continue
             split = text.lower().split()

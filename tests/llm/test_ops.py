@@ -97,6 +97,17 @@ def test_packing(spark, corpus):
     assert pack_documents(df.limit(0)).count() == 0
 
 
+def test_packing_keeps_separators():
+    """Every white space of str.split(), alone in plain text, gives the tokenizer's own ids."""
+    from quarryline.llm.op2_pack import Encoder, tokenizer_path
+
+    e = Encoder(tokenizer_path())
+    spaces = [chr(c) for c in range(0x3001) if chr(c).isspace()]
+    texts = [t for c in spaces for t in (f"ab{c}cd", f"ab {c} cd", f"{c}ab{c}{c}")]
+    assert set("\x1c\x1d\x1e\x1f") <= set(spaces)
+    assert e(texts) == [e.encode(t) for t in texts]
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_pack_plan(seed):
     from collections import Counter
