@@ -1,12 +1,14 @@
 """License scans: MinHash bands over overlapping windows retrieve templates, exact containment verifies.
 
-For templates of n words, a text is looked at through windows of 2n words, each n after the one before
-at most, so that any n words in a row lie in a window. Window and template are compared by MinHash
+A template of n words counts as found where any 2n words in a row, wherever they begin, hold CONTAINED
+or more of its shingles: a copy may have up to n words more than the template. For retrieval, a text is
+looked at through windows of 3n words, n apart, so that any 2n words in a row lie in a window that has
+the first of them among its first n. Window and template are compared by MinHash
 values of their 5-word shingles. A template whose shingles a window holds to the wanted share has a
 similarity of at least that share times its shingles over all of the two; as many bands of one value
 are used as make a collision likely to MISS (``bands_for``). What is retrieved is verified by exact
-containment, and counts as found where the share of the template's shingles in the window is
-CONTAINED or more. Windows that hold no shingle of any template can't collide and aren't hashed.
+containment over all 2n words in a row within the window. Only windows with a shingle of a template
+among their first n words are hashed, as what is found begins with one.
 
 Defined results: words are runs of letters, digits and non-ASCII, A-Z lower-cased; null, empty and blank
 texts hold nothing; a template of 1 to 4 words is one shingle; each row is scanned by itself; an empty
@@ -15,6 +17,7 @@ table gives no rows; other columns pass through ``licenses``, but for those name
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from math import ceil, log
 
@@ -51,6 +54,21 @@ def bands_for(shingles: int, window_shingles: int, contained: float = CONTAINED,
     return max(1, ceil(log(miss) / log(1 - j))) if j < 1 else 1
 
 
+def runs(places: list[int], shingles: list[int], reach: int, least: float) -> list[tuple[int, int]]:
+    """(first, last) of the places at most `reach` apart among which there are `least` different shingles; for each last the first of all."""
+    out, held, a = [], Counter(), 0
+    for place, x in zip(places, shingles, strict=True):
+        held[x] += 1
+        while place - places[a] > reach:
+            held[shingles[a]] -= 1
+            if not held[shingles[a]]:
+                del held[shingles[a]]
+            a += 1
+        if len(held) >= least:
+            out.append((places[a], place))
+    return out
+
+
 class Templates:
     def __init__(self, texts: dict[str, str], contained: float = CONTAINED, miss: float = MISS):
         self.names, self.contained = sorted(texts), contained
@@ -64,13 +82,13 @@ class Templates:
         self.passes = []
         for n, k in sorted({(int(n), k) for n, k in zip(self.words, self.k, strict=True) if k}):
             own = [i for i in range(len(self.names)) if self.words[i] == n and self.k[i] == k]
-            bands = max(bands_for(len(self.sets[i]), 2 * n - k + 1, contained, miss) for i in own)
+            bands = max(bands_for(len(self.sets[i]), 3 * n - k + 1, contained, miss) for i in own)
             a, b = _factors(bands)
             values = np.stack([[((self.sets[i] * a[j] + b[j]) >> np.uint64(32)).min() for j in range(bands)] for i in own])
             self.passes.append((n, k, a, b, own, values, np.unique(np.concatenate([self.sets[i] for i in own]))))
 
     def found(self, h: np.ndarray, woff: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """(text, template, first word, end word), sorted: from the first to the last shingle of the template, over windows that touch."""
+        """(text, template, first word, end word), sorted: from the first to the last shingle of the template, over the runs of 2n words that hold enough of it, joined where they touch."""
         out: dict[tuple[int, int], list[tuple[int, int]]] = {}
         for n, k, a, b, own, values, every in self.passes:
             g = grams(h, k)
@@ -81,20 +99,21 @@ class Templates:
             text = np.searchsorted(woff, hit, "right") - 1
             ok = hit + k <= woff[text + 1]
             hit, text = hit[ok], text[ok]
-            # the windows of 2n words, n apart from the text's beginning, that hold such a shingle
-            slot = (hit - woff[text]) // n
-            starts = np.unique(np.concatenate([woff[text] + slot * n, np.maximum(woff[text], woff[text] + (slot - 1) * n)]))
+            # the windows of 3n words, n apart from the text's beginning, that have such a shingle among their first n
+            starts = np.unique(woff[text] + (hit - woff[text]) // n * n)
             for s in starts.tolist():
                 d = int(np.searchsorted(woff, s, "right")) - 1
-                e = min(s + 2 * n, int(woff[d + 1]))
+                e = min(s + 3 * n, int(woff[d + 1]))
                 w = g[s : max(s, e - k + 1)]
                 if not len(w):
                     continue
                 sig = np.array([((w * x + y) >> np.uint64(32)).min() for x, y in zip(a, b, strict=True)])
                 for i in np.array(own)[(values == sig).any(axis=1)].tolist():
                     places = np.flatnonzero(np.isin(w, self.sets[i]))
-                    if len(np.unique(w[places])) >= self.contained * len(self.sets[i]) - 1e-9:
-                        out.setdefault((d, i), []).append((s + int(places[0]), s + int(places[-1]) + k))
+                    least = self.contained * len(self.sets[i]) - 1e-9
+                    if len(np.unique(w[places])) >= least:
+                        for x, y in runs(places.tolist(), w[places].tolist(), 2 * n - k, least):
+                            out.setdefault((d, i), []).append((s + x, s + y + k))
         rows = []
         for (d, i), spans in out.items():
             merged: list[list[int]] = []

@@ -218,6 +218,24 @@ def test_licenses(spark):
     assert licenses(rows(spark, []).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("inserted", [6, 9, 12, 18])
+def test_licenses_at_all_offsets(spark, inserted):
+    """A copy with words inserted in one place is found wherever it stands, and by no fewer shingles than any 2n words in a row hold."""
+    from quarryline.llm.op6_licenses import CONTAINED, TEMPLATES, licenses
+
+    w = re.findall("[a-z0-9]+", TEMPLATES["bsd-warranty"].lower())
+    n = len(w)
+    copy = w[: n // 2] + [f"new{i}" for i in range(inserted)] + w[n // 2 :]
+    thin = w[: n // 4] + ["x"] + w[n // 4 : n // 2] + ["y"] + w[n // 2 : 3 * n // 4] + ["z"] + w[3 * n // 4 :]  # 0.625
+    data = [(a + 1000 * j, " ".join([f"a{i}" for i in range(a)] + c + [f"b{i}" for i in range(50)])) for a in range(2 * n) for j, c in enumerate([copy, thin])]
+    grams = lambda v: {tuple(v[i : i + 5]) for i in range(len(v) - 4)}
+    for x in licenses(rows(spark, data)).collect():
+        t = x.text.split()
+        want = any(len(grams(t[a : a + 2 * n]) & grams(w)) >= CONTAINED * len(grams(w)) for a in range(len(t)))
+        assert want == (x.doc_id < 1000)
+        assert [(f.license, f.start, f.end) for f in x.found] == ([("bsd-warranty", x.doc_id, x.doc_id + n + inserted)] if want else [])
+
+
 # --- 7 ------------------------------------------------------------------------------------------
 
 
