@@ -1,10 +1,13 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame functions only.
 
 Fixed patterns find emails, IP addresses, card and phone numbers. These seed a search: the words
-around them are lexical patterns, and words with digits that stand in the same patterns are
-instances. A pattern is as sure as the share of its instances that are believed; an instance is
-believed as its patterns allow (noisy-or); a few rounds of this over the pattern-instance graph leave
-sure patterns, and what stands in them and isn't a base span is reported as kind ``id``.
+around them are lexical patterns, and all white-space-separated words that stand in the same patterns
+and touch no base span are instances, with digits or without. A pattern is as sure as the share of its
+instances that are believed firmly; an instance is believed as those of its patterns allow that are
+likelier right than not (noisy-or), so that ordinary words in many doubtful slots don't carry each
+other; a few rounds of this over the pattern-instance graph leave sure patterns, and what stands in them and isn't a base span
+is reported as kind ``id``, word by word: of an identifier of several words, those that stand in a sure
+pattern themselves.
 
 Defined results: a null text is empty and has no spans; repeated rows get the same spans; null
 doc_ids are kept; an empty table gives none; offsets are code points, ends exclusive. Other columns
@@ -28,8 +31,9 @@ PATTERNS = {
     "ip": r"(?:(?<![0-9])|\G)[0-9]++(?:\.[0-9]++){3}",
     "card": r"[0-9](?:[ -]?[0-9])++",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
-    "word": r"(?<!\S)[^\s0-9]*+[0-9]\S*+",
 }
+#: Words of a text that are looked at in one row.
+SLICE = 1000
 _GUARDS = {"email": "@", "phone": "+"}
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 
@@ -53,72 +57,148 @@ _VALID = {
     "ip": lambda m: m.rlike(rf"^{_BYTE}(?:\.{_BYTE}){{3}}$"),
     "card": _luhn,
     "phone": lambda m: F.length(_digits(m)).between(9, 15),
-    "word": lambda m: F.lit(True),
 }
 
 
 def _found(text: Column, kind: str) -> tuple[Column, Column]:
     """(matches, what stands between them); both empty where the text can't hold a match."""
     p = PATTERNS[kind]
-    may = F.contains(text, F.lit(_GUARDS[kind])) if kind in _GUARDS else text.rlike({"ip": r"[0-9]\.[0-9]", "card": r"[0-9][ -]?[0-9]", "word": "[0-9]"}[kind])
+    may = F.contains(text, F.lit(_GUARDS[kind])) if kind in _GUARDS else text.rlike({"ip": r"[0-9]\.[0-9]", "card": r"[0-9][ -]?[0-9]"}[kind])
     none = F.array().cast("array<string>")
     return F.when(may, F.regexp_extract_all(text, F.lit(p), F.lit(0))).otherwise(none), F.when(may, F.split(text, p, -1)).otherwise(none)
 
 
-def _placed(m: Column, g: Column, kind: str) -> Column:
-    """array<struct<s, e, k, m, l, r>> of the valid matches: code points, kind's place, text, the words on the left and on the right."""
-    each = F.transform(m, lambda x, i: F.struct(x.alias("m"), F.coalesce(F.get(g, i), F.lit("")).alias("g"), F.coalesce(F.get(g, i + 1), F.lit("")).alias("r")))
+def _around(text: Column, s: Column, e: Column) -> tuple[Column, Column]:
+    """What stands before s and after e: at least the two words before and the word after, whole. Most often a few characters hold them."""
+    start = F.greatest(s - 60, F.lit(0))
+    left, right = F.substring(text, (start + 1).cast("int"), (s - start).cast("int")), F.substring(text, (e + 1).cast("int"), F.lit(60))
+    all_left, all_right = F.substring(text, F.lit(1), s.cast("int")), F.substring(text, (e + 1).cast("int"), F.lit(2147483647))
+    return (
+        F.when((start == 0) | left.rlike(r"\s\S++\s++\S++\s*+$"), left).otherwise(all_left),
+        F.when((F.length(right) < 60) | right.rlike(r"^(?:\S|\s++\S++\s)"), right).otherwise(all_right),
+    )
+
+
+def _placed(text: Column, m: Column, g: Column, kind: str) -> Column:
+    """array<struct<s, e, k, m, l, r>> of the valid matches: code points, kind's place, text, what stands on the left and on the right."""
+    each = F.transform(m, lambda x, i: F.struct(x.alias("m"), F.coalesce(F.get(g, i), F.lit("")).alias("g")))
     out = "array<struct<s:bigint,e:bigint,k:int,m:string,l:string,r:string>>"
 
     def put(acc: Column, x: Column) -> Column:
         s = acc["at"] + F.length(x["g"])
         e = s + F.length(x["m"])
-        row = F.struct(s.alias("s"), e.alias("e"), F.lit((*KINDS, "word").index(kind)).alias("k"), x["m"].alias("m"), F.right(x["g"], F.lit(60)).alias("l"), F.left(x["r"], F.lit(60)).alias("r"))
+        left, right = _around(text, s, e)
+        row = F.struct(s.alias("s"), e.alias("e"), F.lit(KINDS.index(kind)).alias("k"), x["m"].alias("m"), left.alias("l"), right.alias("r"))
         return F.struct(e.alias("at"), F.when(_VALID[kind](x["m"]), F.concat(acc["out"], F.array(row))).otherwise(acc["out"]).cast(out).alias("out"))
 
     return F.aggregate(each, F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(out).alias("out")), put, lambda acc: acc["out"])
 
 
 def scanned(documents: DataFrame, text: str = "text") -> DataFrame:
-    """documents with _base (valid base spans by start, then kind) and _words (words with digits that touch no base span)."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    df = documents.select("*", *(c.alias(f"_{n}_{kind}") for kind in PATTERNS for n, c in zip("mg", _found(t, kind), strict=True)))
-    df = df.select(*documents.columns, *(_placed(F.col(f"_m_{kind}"), F.col(f"_g_{kind}"), kind).alias(f"_{kind}") for kind in PATTERNS))
+    """documents with _text (no null) and _base (valid base spans by start, then kind)."""
+    df = documents.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
+    df = df.select("*", *(c.alias(f"_{n}_{kind}") for kind in PATTERNS for n, c in zip("mg", _found(F.col("_text"), kind), strict=True)))
+    df = df.select(*documents.columns, "_text", *(_placed(F.col("_text"), F.col(f"_m_{kind}"), F.col(f"_g_{kind}"), kind).alias(f"_{kind}") for kind in PATTERNS))
     by = lambda a, b: F.when(a["s"] != b["s"], F.when(a["s"] < b["s"], -1).otherwise(1)).when(a["k"] < b["k"], -1).when(a["k"] > b["k"], 1).otherwise(0)
-    df = df.withColumn("_base", F.array_sort(F.concat(*(F.col(f"_{k}") for k in KINDS)), by))
-    df = df.withColumn("_words", F.filter("_word", lambda w: ~F.exists("_base", lambda b: (b["s"] < w["e"]) & (w["s"] < b["e"]))))
-    return df.select(*documents.columns, "_base", "_words")
+    return df.select(*documents.columns, "_text", F.array_sort(F.concat(*(F.col(f"_{k}") for k in KINDS)), by).alias("_base"))
+
+
+def _patterns(far: Column, near: Column, after: Column) -> Column:
+    """The lexical patterns of a place with these words around it, lower-cased; a word that isn't there is empty or null."""
+    return F.array_compact(F.array(F.when((near != "") & (far != ""), F.concat(F.lit("L "), far, F.lit(" "), near)), F.when((near != "") & (after != ""), F.concat(F.lit("B "), near, F.lit(" "), after))))
 
 
-def _edges(seen: DataFrame) -> DataFrame:
-    """(pattern, value, seed, and where): each base span and each word with digits under the lexical patterns around it."""
-    one = seen.select("_key", F.explode(F.concat("_base", "_words")).alias("x")).select("_key", "x.*")
+def _value(m: Column) -> Column:
+    """Without signs at the end, unless there is nothing else."""
+    return F.coalesce(F.nullif(F.regexp_replace(m, r"[.,;:!?)]+$", ""), F.lit("")), m)
+
+
+def _seeds(seen: DataFrame) -> DataFrame:
+    """(pattern, value): each base span under the lexical patterns around it."""
+    one = seen.where("size(_base) > 0").select(F.explode("_base").alias("x")).select("x.*")
     before = F.split(F.rtrim(F.lower(F.regexp_replace("l", r"\s+", " "))), " ")
     after = F.regexp_extract(F.lower("r"), r"^\s+(\S+)", 1)
-    near, far = F.get(F.reverse(before), F.lit(0)), F.get(F.reverse(before), F.lit(1))
-    pattern = F.explode(F.array_compact(F.array(F.when((near != "") & (far != ""), F.concat(F.lit("L "), far, F.lit(" "), near)), F.when((near != "") & (after != ""), F.concat(F.lit("B "), near, F.lit(" "), after)))))
-    return one.select("_key", "s", "e", F.regexp_replace("m", r"[.,;:!?)]+$", "").alias("value"), (F.col("k") < len(KINDS)).alias("seed"), pattern.alias("pattern"))
+    return one.select(_value(F.col("m")).alias("value"), F.explode(_patterns(F.get(F.reverse(before), F.lit(1)), F.get(F.reverse(before), F.lit(0)), after)).alias("pattern"))
+
+
+def _blotted(text: Column, base: Column) -> Column:
+    """The text with the non-space characters of base spans replaced by another that none has: words keep their places and lengths."""
+    end = F.aggregate(
+        base,
+        F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out")),
+        lambda a, x: F.when(
+            x["e"] > a["at"],
+            F.struct(
+                x["e"].alias("at"),
+                F.concat(
+                    a["out"],
+                    F.array(
+                        F.substring(text, (a["at"] + 1).cast("int"), F.greatest(x["s"] - a["at"], F.lit(0)).cast("int")),
+                        F.regexp_replace(F.substring(text, (F.greatest(x["s"], a["at"]) + 1).cast("int"), (x["e"] - F.greatest(x["s"], a["at"])).cast("int")), r"\S", "\uffff"),
+                    ),
+                ).alias("out"),
+            ),
+        ).otherwise(a),
+        lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, (a["at"] + 1).cast("int"), F.lit(2147483647))),
+    )
+    return F.when(F.size(base) > 0, end).otherwise(text)
+
+
+def _fillers(seen: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(_key, i, value, n, pattern): each word that touches no base span and stands in one of the patterns; i counts words, n is the value's length."""
+    # a row of a document's words is cut into slices first, so that no row carries the whole of it for each word
+    split = lambda t: F.regexp_extract_all(t, F.lit(r"\S++"), F.lit(0))
+    none = F.array(F.lit(""))
+    whole = F.struct(split(F.col("_text")).alias("words"), F.concat(none, none, split(F.lower("_text")), none).alias("low"), split(_blotted(F.col("_text"), F.col("_base"))).alias("bare"))
+    part = lambda d, k: F.struct(k.alias("k"), F.slice(d["words"], k + 1, SLICE).alias("words"), F.slice(d["low"], k + 1, SLICE + 3).alias("low"), F.slice(d["bare"], k + 1, SLICE).alias("bare"))
+    parts = F.transform(F.array(whole), lambda d: F.transform(F.sequence(F.lit(0), F.greatest(F.size(d["words"]) - 1, F.lit(0)), F.lit(SLICE)), lambda k: part(d, k)))
+    rows = seen.select("_key", F.explode_outer(F.flatten(parts)).alias("x")).select("_key", "x.*")
+
+    def of_word(w: Column, j: Column) -> Column:
+        at = lambda n: F.get("low", j + n)
+        here = F.transform(_patterns(at(0), at(1), at(3)), lambda p: F.struct((F.col("k") + j).alias("i"), w.alias("word"), p.alias("pattern")))
+        return F.when(w == F.get("bare", j), here).otherwise(F.array().cast("array<struct<i:int,word:string,pattern:string>>"))
+
+    placed = rows.select("_key", F.explode_outer(F.flatten(F.transform("words", of_word))).alias("x")).select("_key", "x.*").join(patterns, "pattern")
+    return placed.select("_key", "i", _value(F.col("word")).alias("value"), F.length(_value(F.col("word"))).alias("n"), "pattern")
 
 
 def discovered(seen: DataFrame, rounds: int = 3, sure: float = 0.8, support: int = 3) -> DataFrame:
-    """(_key, _more: array<struct<s, e>>) of spans that sure patterns reveal.
+    """(_key, _more: array<struct<i, n>>) of words, and their lengths, that sure patterns reveal.
 
     support: different seeds that a pattern needs to be looked at. Only patterns that a seed shows
-    take part, so the graph is that of the seeds' surroundings.
+    take part; all that stands in them counts.
     """
-    places = _edges(seen)
-    edges = places.groupBy("pattern", "value").agg(F.max("seed").alias("seed"))
-    strong = edges.groupBy("pattern").agg(F.count("*").alias("n"), F.count_if("seed").alias("seeds")).where(F.col("seeds") >= support)
-    graph = written(edges.join(strong.select("pattern", "n"), "pattern"), "pii-graph")
+    seeds = written(_seeds(seen).distinct(), "pii-seeds")
+    strong = written(seeds.groupBy("pattern").agg(F.count("*").alias("seeds")).where(F.col("seeds") >= support).select("pattern"), "pii-patterns")
+    places = written(_fillers(seen, strong), "pii-places")
+    both = seeds.join(strong, "pattern").select("pattern", "value", F.lit(True).alias("seed")).unionByName(places.select("pattern", "value", F.lit(False).alias("seed")))
+    graph = written(both.groupBy("pattern", "value").agg(F.max("seed").alias("seed")), "pii-graph")
     belief = graph.select("value", F.col("seed").cast("double").alias("b")).groupBy("value").agg(F.max("b").alias("b"))
+    share = (F.sum(F.when(F.col("b") >= sure, F.col("b")).otherwise(0.0)) / (F.count("*") + 0.5)).alias("c")
     for _ in range(rounds):
-        trust = graph.join(belief, "value").groupBy("pattern").agg((F.sum("b") / (F.max("n") + 0.5)).alias("c"))
-        doubt = F.sum(F.log1p(-F.least("c", F.lit(0.999))))
+        trust = graph.join(belief, "value").groupBy("pattern").agg(share)
+        doubt = F.sum(F.when(F.col("c") > 0.5, F.log1p(-F.least("c", F.lit(0.999)))).otherwise(0.0))
         belief = written(graph.join(trust, "pattern").groupBy("value").agg(F.when(F.max("seed"), 1.0).otherwise(1 - F.exp(doubt)).alias("b")), "pii-belief")
-    trust = graph.join(belief, "value").groupBy("pattern").agg((F.sum("b") / (F.max("n") + 0.5)).alias("c")).where(F.col("c") >= sure)
+    trust = graph.join(belief, "value").groupBy("pattern").agg(share).where(F.col("c") >= sure)
     good = graph.where("not seed").join(trust, "pattern", "left_semi").join(belief.where(F.col("b") >= sure), "value", "left_semi").select("pattern", "value")
-    hits = places.where("not seed").join(good, ["pattern", "value"], "left_semi").select("_key", "s", F.expr("s + length(value)").alias("e")).distinct()
-    return hits.groupBy("_key").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("_more"))
+    hits = places.join(good, ["pattern", "value"], "left_semi").select("_key", "i", "n").distinct()
+    return hits.groupBy("_key").agg(F.array_sort(F.collect_set(F.struct("i", "n"))).alias("_more"))
+
+
+def _revealed(text: Column, more: Column) -> Column:
+    """array<struct<s, e, k>> of the words listed by place in more, in one pass over the text."""
+    out = "array<struct<s:bigint,e:bigint,k:int>>"
+    lead = F.length(F.regexp_extract(text, r"^\s*+", 0)).cast("bigint")
+
+    def put(units: Column, a: Column, x: Column) -> Column:
+        s = a["s"] + F.length(F.array_join(F.slice(units, a["i"] + 1, x["i"] - a["i"]), ""))
+        span = F.struct(s.alias("s"), (s + x["n"]).alias("e"), F.lit(len(KINDS)).alias("k"))
+        return F.struct(x["i"].alias("i"), s.alias("s"), F.concat(a["out"], F.array(span)).cast(out).alias("out"))
+
+    start = F.struct(F.lit(0).alias("i"), lead.alias("s"), F.array().cast(out).alias("out"))
+    one = F.transform(F.array(F.regexp_extract_all(text, F.lit(r"\S++\s*+"), F.lit(0))), lambda units: F.aggregate(more, start, lambda a, x: put(units, a, x), lambda a: a["out"]))
+    return F.when(more.isNotNull(), F.get(one, F.lit(0))).otherwise(F.array().cast(out))
 
 
 def _listed(spans: Column) -> Column:
@@ -130,14 +210,14 @@ def personal_data(documents: DataFrame, text: str = "text", rounds: int = 3, sur
 
     Rows are told apart by a hash of all their columns, so equal rows share their spans.
     """
-    docs = documents.drop("base", "spans", "_key", "_base", "_words", "_more")
+    docs = documents.drop("base", "spans", "_key", "_base", "_text", "_more")
     seen = scanned(docs.withColumn("_key", F.xxhash64(*[f"`{c}`" for c in docs.columns])), text)
-    seen = written(seen if keep_text else seen.drop(text), "pii")
+    seen = written(seen.drop("_text"), "pii").withColumn("_text", F.coalesce(F.col(text), F.lit("")))
     small = F.transform("_base", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["k"].alias("k")))
-    more = discovered(seen.select("_key", "_base", "_words").where("size(_base) + size(_words) > 0"), rounds, sure, support)
-    extra = F.transform(F.coalesce("_more", F.array().cast("array<struct<s:bigint,e:bigint>>")), lambda x: F.struct(x["s"].alias("s"), x["e"].cast("bigint").alias("e"), F.lit(4).alias("k")))
+    more = discovered(seen.select("_key", "_text", "_base"), rounds, sure, support)
+    extra = _revealed(F.col("_text"), F.col("_more"))
     by = lambda a, b: F.when(a["s"] != b["s"], F.when(a["s"] < b["s"], -1).otherwise(1)).when(a["k"] < b["k"], -1).when(a["k"] > b["k"], 1).otherwise(0)
-    return seen.join(more, "_key", "left").select(*(c for c in seen.columns if not c.startswith("_")), small.alias("base"), F.array_sort(F.concat(small, extra), by).alias("spans"))
+    return seen.join(more, "_key", "left").select(*(c for c in docs.columns if keep_text or c != text), small.alias("base"), F.array_sort(F.concat(small, extra), by).alias("spans"))
 
 
 def masked(text: Column, spans: Column) -> Column:

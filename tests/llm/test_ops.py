@@ -189,6 +189,29 @@ def test_pii_discovers(spark):
     assert all(got[100 + i] == "id:18:27" for i in range(5)) and got[200] == ""
 
 
+def test_pii_discovers_words_without_digits(spark):
+    from quarryline.llm.op5_pii import _listed, masked, personal_data
+
+    names = ["annlee", "bo_ray", "Kim,"]
+    data = [(i, f"word {i} please write to me at u{i}@mail.org today") for i in range(30)] + [(100 + i, f"x1 write to me at {w} today") for i, w in enumerate(names)]
+    # contexts are whole though a word with digits stands right before, or the words are long
+    data += [(110, "z1 me at 77 me 88 at"), (111, f"so me at q{'q' * 80} today"), (112, "é🙂 a@b.cc me at annlee today and me at bo_ray today")]
+    got = {x.doc_id: (x.s, x.m) for x in personal_data(rows(spark, data)).select("doc_id", _listed(F.col("spans")).alias("s"), masked(F.col("text"), F.col("spans")).alias("m")).collect()}
+    assert [got[100 + i][0] for i in range(3)] == ["id:18:24", "id:18:24", "id:18:21"]
+    assert got[111] == (f"id:9:{9 + 81}", "so me at <ID> today")
+    assert got[112] == ("email:3:9,id:16:22,id:39:45", "é🙂 <EMAIL> me at <ID> today and me at <ID> today")
+
+
+def test_pii_counts_ordinary_words(spark):
+    """A slot that seeds share with many ordinary words isn't sure."""
+    from quarryline.llm.op5_pii import _listed, personal_data
+
+    v = vocabulary(7, 60)
+    data = [(i, f"{i} it came from u{i}@mail.org again") for i in range(20)] + [(100 + i, f"- it came from {w} again") for i, w in enumerate(v)] + [(200, "- it came from 4711x again")]
+    got = {x.doc_id: x.s for x in personal_data(rows(spark, data)).select("doc_id", _listed(F.col("spans")).alias("s")).collect()}
+    assert {got[d] for d in got if d >= 100} == {""}
+
+
 # --- 6 ------------------------------------------------------------------------------------------
 
 
