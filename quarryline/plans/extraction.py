@@ -163,7 +163,7 @@ def normalize_markdown(t):
 
 @query("SELECT doc_id, regexp_replace(regexp_replace(text, '\\s+', ' ', 'g'), '^\\s+|\\s+$', '', 'g') AS text FROM documents WHERE NOT regexp_matches(text, '-\\s*\\n')")
 def clean_text(t):
-    return t.documents.where(~F.col("text").rlike(r"-\s*\n")).select("doc_id", X.clean_extracted(F.col("text")).alias("text"))
+    return t.documents.select("doc_id", X.clean_extracted(F.col("text")).alias("text"))
 
 
 @query("SELECT doc_id, 'autostereoscopic ' || lang AS text FROM documents")

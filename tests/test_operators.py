@@ -130,3 +130,13 @@ def test_files(spark, tmp_path):
     m = S_.markdown(S_.texts(S_.scan(spark, str(tmp_path), ["a.md"]))).first()
     assert dict(m.metadata) == {"id": "x", "title": "T"} and m.body == "body"
     assert X is not None
+
+
+def test_clean_text_keeps_hyphenated_documents(spark, tmp_path):
+    from quarryline.plans import QUERIES
+
+    data = [(1, "auto-\n scopic  view"), (2, "a - \n b"), (3, None), (4, " plain\ntext ")]
+    spark.createDataFrame(data, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.text for r in QUERIES["clean_text"](spark, str(tmp_path)).collect()}
+    assert set(got) == {1, 2, 3, 4} and not got[3]
+    assert (got[1], got[2], got[4]) == ("autoscopic view", "a - b", "plain text")
