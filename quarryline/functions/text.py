@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: An edge of a word of ASCII letters, digits and underscores, as JavaScript has it; the JVM's own takes other letters too.
+EDGE = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
+
 
 def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f of x, with x evaluated once however often f names it, inside a lambda too."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def rewrite(text: Column, *steps: tuple[str, str]) -> Column:
     """Regular-expression replacements, one after the other."""
     for pattern, to in steps:
@@ -32,11 +42,12 @@ def tokens(s: Column) -> Column:  # X1
 
 
 def ngrams(words: Column, n: int = 3) -> Column:  # X2, with the guard of N2
-    return F.when(F.size(words) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " ")))).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    return let(words, lambda w: F.when(F.size(w) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " ")))).otherwise(none))
 
 
 def ngram_containment(left: Column, right: Column) -> Column:  # X3, J15: share of the left grams that the right ones hold
-    return F.when((F.size(left) > 0) & (F.size(right) > 0), F.size(F.array_intersect(left, right)) / F.size(left)).otherwise(F.lit(0.0))
+    return let(left, lambda a: let(right, lambda b: F.when((F.size(a) > 0) & (F.size(b) > 0), F.size(F.array_intersect(a, b)) / F.size(a)).otherwise(F.lit(0.0))))
 
 
 def sentences(s: Column) -> Column:  # X4: end marks are dropped
@@ -73,11 +84,13 @@ def is_factual(sentence: Column) -> Column:  # P22
 
 
 def factual_density(s: Column) -> Column:  # X6: struct(density, total, factual, cited)
-    every = sentences(s)
-    factual = F.filter(every, is_factual)
-    cited = F.size(F.filter(factual, lambda x: x.rlike(CITED)))
-    density = F.when(F.size(every) == 0, 0.0).when(F.size(factual) == 0, citation_presence(s)).otherwise(cited / F.size(factual))
-    return F.struct(density.alias("density"), F.size(every).alias("total"), F.size(factual).alias("factual"), cited.alias("cited"))
+
+    def of(every: Column, factual: Column) -> Column:
+        cited = F.size(F.filter(factual, lambda x: x.rlike(CITED)))
+        density = F.when(F.size(every) == 0, 0.0).when(F.size(factual) == 0, citation_presence(s)).otherwise(cited / F.size(factual))
+        return F.struct(density.alias("density"), F.size(every).alias("total"), F.size(factual).alias("factual"), cited.alias("cited"))
+
+    return let(sentences(s), lambda every: let(F.filter(every, is_factual), lambda factual: of(every, factual)))
 
 
 def context_text(s: Column) -> Column:  # X8
@@ -108,7 +121,9 @@ def clean_extracted(s: Column) -> Column:  # X11; by Q10 nothing is left to do a
     return trimmed(rewrite(_c(s), (r"(\w+)-\s*\n\s*(\w+)", "$1$2"), (r"\s+", " ")))
 
 
-_ENTITIES = (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"))  # in the order in which blocks decode them
+# Entities in the order in which blocks decode them, and in which files do.
+_ENTITIES = (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"))
+_FILE_ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"), ("&quot;", '"'), ("&#39;", "'"))
 
 
 def html_block_text(s: Column) -> Column:  # X12: tags go before entities are decoded
@@ -116,8 +131,7 @@ def html_block_text(s: Column) -> Column:  # X12: tags go before entities are de
 
 
 def html_file_text(s: Column) -> Column:  # IO6: entities are decoded before tags go
-    first = [e for e in _ENTITIES if e[0] not in ("&amp;", "&quot;", "&#39;")]
-    return trimmed(rewrite(_c(s), (r"(?is)<script\b.*?</script>", ""), (r"(?is)<style\b.*?</style>", ""), *first, *(e for e in _ENTITIES if e not in first), ("<[^>]+>", " "), (r"\s+", " ")))
+    return trimmed(rewrite(_c(s), (r"(?is)<script\b.*?</script>", ""), (r"(?is)<style\b.*?</style>", ""), *_FILE_ENTITIES, ("<[^>]+>", " "), (r"\s+", " ")))
 
 
 def strip_frontmatter(s: Column) -> Column:  # X15
@@ -133,8 +147,8 @@ def _listed_after(s: Column, name: str) -> Column:
 
 
 def key_terms(s: Column) -> Column:  # X16
-    phrases = F.filter(F.regexp_extract_all(_c(s), F.lit(r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+\b"), F.lit(0)), lambda t: F.length(t) >= 6)
-    acronyms = F.regexp_extract_all(_c(s), F.lit(r"\b[A-Z]{2,6}\b"), F.lit(0))
+    phrases = F.filter(F.regexp_extract_all(_c(s), F.lit(rf"{EDGE}[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+{EDGE}"), F.lit(0)), lambda t: F.length(t) >= 6)
+    acronyms = F.regexp_extract_all(_c(s), F.lit(rf"{EDGE}[A-Z]{{2,6}}{EDGE}"), F.lit(0))
     return F.array_distinct(F.concat(_listed_after(_c(s), "Key Terms"), _listed_after(_c(s), "Also Known As"), F.transform(phrases, F.lower), acronyms))
 
 
@@ -308,10 +322,11 @@ def citation_label(number: Column, title: Column, doc_id: Column, path: Column)
 
 def numbered(s: Column, pattern: str, label) -> Column:
     """Each match of pattern (group 1 is its key) replaced by label(number of the key by first appearance): C1, W6, X45."""
-    keys = F.array_distinct(F.regexp_extract_all(s, F.lit(pattern), F.lit(1)))
-    every = F.regexp_extract_all(s, F.lit(pattern), F.lit(1))
-    between = F.split(s, pattern, -1)
-    return F.array_join(F.transform(between, lambda b, i: F.concat(b, F.when(i < F.size(every), label(F.array_position(keys, F.get(every, i)).cast("string"))).otherwise(F.lit("")))), "")
+
+    def of(text: Column, every: Column, keys: Column) -> Column:
+        return F.array_join(F.transform(F.split(text, pattern, -1), lambda b, i: F.concat(b, F.when(i < F.size(every), label(F.array_position(keys, F.get(every, i)).cast("string"))).otherwise(F.lit("")))), "")
+
+    return let(s, lambda text: let(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda every: let(F.array_distinct(every), lambda keys: of(text, every, keys))))
 
 
 def slack_markdown(s: Column) -> Column:  # X45 with Q13
@@ -410,7 +425,7 @@ LEANING = [
 def _matches(s: Column, patterns: list[str]) -> Column:
     out = F.lit(False)
     for p in patterns:
-        out = out | s.rlike(p)
+        out = out | s.rlike(p.replace(r"\b", EDGE))
     return out
 
 
@@ -427,12 +442,11 @@ def is_uuid(s: Column) -> Column:  # P15
 
 
 def trigrams(s: Column) -> Column:  # L5: character 3-grams, padded by two spaces before and one after
-    padded = F.concat(F.lit("  "), F.lower(_c(s)), F.lit(" "))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: padded.substr(i, F.lit(3))))
+    return let(F.concat(F.lit("  "), F.lower(_c(s)), F.lit(" ")), lambda padded: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: padded.substr(i, F.lit(3)))))
 
 
 def trigram_similarity(a: Column, b: Column) -> Column:
-    return F.size(F.array_intersect(trigrams(a), trigrams(b))) / F.size(F.array_union(trigrams(a), trigrams(b)))
+    return let(trigrams(a), lambda x: let(trigrams(b), lambda y: F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))))
 
 
 _MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]

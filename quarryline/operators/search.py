@@ -6,15 +6,15 @@ are ranked, so that equal scores tie whatever the order of summation (N12).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import vectors as V
 
 SCORE_DIGITS = 6
-#: Largest table that is broadcast by hint, in rows; larger ones are joined by a shuffle.
-BROADCAST_ROWS = 10_000
+#: Ranks of the second list come after those of the first; no list has so many rows.
+AFTER = 1 << 40
 
 
 def ranked(df: DataFrame, limit: int, *more: str) -> DataFrame:
@@ -24,10 +24,10 @@ def ranked(df: DataFrame, limit: int, *more: str) -> DataFrame:
 
 
 def vector_top(chunks: DataFrame, query: list[float], limit: int = 20, threshold: float = 0.35, halved: bool = False) -> DataFrame:  # V1, V2, P13, W1
-    """chunks: chunk_id, doc_id, embedding. The query is a literal, so the scan is one narrow stage that keeps `limit` rows a task."""
+    """chunks: chunk_id, embedding and any more, which stay. The query is a literal, so the scan is one narrow stage that keeps `limit` rows a task."""
     q = F.array(*(F.lit(float(x)) for x in query))
     score = F.round(V.similarity(1 - V.cosine(F.col("embedding"), q), halved), SCORE_DIGITS)
-    return ranked(chunks.select("chunk_id", "doc_id", score.alias("score")).where(F.col("score") >= threshold), limit)
+    return ranked(chunks.withColumn("score", score).drop("embedding").where(F.col("score") >= threshold), limit)
 
 
 def vector_threshold(config: Column) -> Column:  # P13
@@ -40,17 +40,36 @@ def postings(chunks: DataFrame) -> DataFrame:
     return words.select("chunk_id", "doc_id", F.size("w").alias("len"), F.explode("w").alias("term")).groupBy("term", "chunk_id", "doc_id", "len").agg(F.count("*").alias("tf"))
 
 
+def lexical_index(chunks: DataFrame, path: str) -> None:
+    """Postings and corpus statistics of chunks (chunk_id, doc_id, text), written once to be searched often.
+
+    Postings are dealt by ranges of term and chunk, so a very common term spreads over files, and the
+    files and row groups of other terms are skipped when a few terms are read.
+    """
+    postings(chunks).repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(f"{path}/postings")
+    chunks.select(F.size(X.tokens(F.col("text"))).alias("len")).agg(F.count("*").alias("n"), F.avg("len").alias("mean")).write.mode("overwrite").parquet(f"{path}/stats")
+
+
+def bm25_of_index(spark: SparkSession, path: str, terms: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:  # L1, L2
+    """As ``bm25_scores``, from what ``lexical_index`` wrote: only the postings of the terms are read."""
+    tf = spark.read.parquet(f"{path}/postings").where(F.col("term").isin(sorted(set(terms))))
+    return _bm25(tf, spark.read.parquet(f"{path}/stats"), k1, b)
+
+
 def bm25_scores(chunks: DataFrame, terms: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:  # L1, L2
-    """Okapi BM25 over chunks (chunk_id, doc_id, text) for a few query terms.
+    """Okapi BM25 over chunks (chunk_id, doc_id, text) for a few query terms, without an index.
 
     Only the query's terms leave the scan, so what is shuffled is their postings; corpus size and mean
-    length come from the same pass as one row.
+    length are a second scan, and the terms' document counts a third.
     """
     want = sorted(set(terms))
     words = chunks.select("chunk_id", "doc_id", X.tokens(F.col("text")).alias("w"))
     stats = words.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("mean"))
     hit = words.select("chunk_id", "doc_id", F.size("w").alias("len"), F.explode(F.filter("w", lambda t: t.isin(want))).alias("term"))
-    tf = hit.groupBy("term", "chunk_id", "doc_id", "len").agg(F.count("*").alias("tf"))
+    return _bm25(hit.groupBy("term", "chunk_id", "doc_id", "len").agg(F.count("*").alias("tf")), stats, k1, b)
+
+
+def _bm25(tf: DataFrame, stats: DataFrame, k1: float, b: float) -> DataFrame:
     df = tf.groupBy("term").agg(F.count("*").alias("df"))  # one row for each query term
     part = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
     # stats is one row and df one row for each of the query's terms: both sizes are bounded
@@ -58,8 +77,13 @@ def bm25_scores(chunks: DataFrame, terms: list[str], k1: float = 1.2, b: float =
     return scored.groupBy("chunk_id", "doc_id").agg(F.round(F.sum(part), SCORE_DIGITS).alias("score"))
 
 
-def bm25_top(chunks: DataFrame, terms: list[str], limit: int = 20, min_score: float = 0.1) -> DataFrame:  # L1, L4, P14
-    return ranked(bm25_scores(chunks, terms).where(F.col("score") >= min_score), limit, "doc_id")
+def bm25_top(scores: DataFrame, limit: int = 20, min_score: float = 0.1) -> DataFrame:  # L1, L4, P14
+    return ranked(scores.where(F.col("score") >= min_score), limit, "doc_id")
+
+
+def settled(results: DataFrame) -> DataFrame:
+    """A ranked list, of `limit` rows at most, computed once and held as a local relation, however often what follows uses it."""
+    return results.sparkSession.createDataFrame(results.collect(), results.schema)
 
 
 # Words too general to boost a metadata chunk.
@@ -79,7 +103,7 @@ def rrf(vector: DataFrame, lexical: DataFrame, k: int = 60) -> DataFrame:  # F1,
     v = vector.select("chunk_id", F.col("doc_id").alias("dv"), F.col("score").alias("vector_score"), F.col("rank").alias("rv"))
     b = lexical.select("chunk_id", F.col("doc_id").alias("db"), F.col("score").alias("bm25_score"), F.col("rank").alias("rb"))
     share = lambda r: F.coalesce(1.0 / (k + F.col(r)), F.lit(0.0))
-    return v.join(b, "chunk_id", "full_outer").select("chunk_id", F.coalesce("dv", "db").alias("doc_id"), F.round(share("rv") + share("rb"), SCORE_DIGITS).alias("score"), "vector_score", "bm25_score", F.coalesce(F.col("rv"), F.col("rb") + 1_000_000).alias("ins"))
+    return v.join(b, "chunk_id", "full_outer").select("chunk_id", F.coalesce("dv", "db").alias("doc_id"), F.round(share("rv") + share("rb"), SCORE_DIGITS).alias("score"), "vector_score", "bm25_score", F.coalesce(F.col("rv"), F.col("rb") + AFTER).alias("ins"))
 
 
 def recently_cited(messages: DataFrame, citations: DataFrame, last: int = 2) -> DataFrame:  # F2
@@ -108,7 +132,8 @@ def tag_boost(fused: DataFrame, docs: DataFrame, query: str, aliases: list[str],
     """docs: doc_id, tags. Adds tag_boosted (null where it doesn't apply); nothing happens without aliases."""
     if not aliases:
         return fused.withColumn("tag_boosted", F.lit(None).cast("boolean"))
-    hit = docs.join(fused.select("doc_id").distinct(), "doc_id", "left_semi").where(tag_matches(F.col("tags"), F.lit(query), F.array(*map(F.lit, aliases)))).select("doc_id").distinct().withColumn("tag_boosted", F.lit(True))
+    # the fused list has two limits' rows at most
+    hit = docs.join(F.broadcast(fused.select("doc_id").distinct()), "doc_id", "left_semi").where(tag_matches(F.col("tags"), F.lit(query), F.array(*map(F.lit, aliases)))).select("doc_id").distinct().withColumn("tag_boosted", F.lit(True))
     return fused.join(hit, "doc_id", "left").withColumn("score", F.round(F.when(F.col("tag_boosted"), F.col("score") * factor).otherwise(F.col("score")), SCORE_DIGITS))
 
 

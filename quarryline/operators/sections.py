@@ -20,16 +20,14 @@ def lines(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def sections_of(md: Column, heading: str = r"^(#{1,6})\s+(.+)$") -> Column:  # T1, T2: array of sections; text before the first heading is dropped (Q3)
     """Each line is appended to the section that is open; the sections are joined at the end, so a long section costs no repeated copying of text."""
-    each = F.transform(F.split(md, "\n"), lambda line, i: F.struct(i.alias("i"), line.alias("line"), line.rlike(heading).alias("h")))
-    starts = F.filter(each, lambda x: x["h"])
-    n = F.size(each)
+    each_ = F.transform(F.split(md, "\n"), lambda line, i: F.struct(i.alias("i"), line.alias("line"), line.rlike(heading).alias("h")))
 
-    def section(x: Column, k: Column) -> Column:
-        end = F.coalesce(F.get(starts, k + 1)["i"], n)
+    def section(each: Column, starts: Column, x: Column, k: Column) -> Column:
+        end = F.coalesce(F.get(starts, k + 1)["i"], F.size(each))
         body = F.array_join(F.transform(F.slice(each, x["i"] + 2, end - x["i"] - 1), lambda y: y["line"]), "\n")
         return F.struct(F.length(F.regexp_extract(x["line"], heading, 1)).alias("level"), X.trimmed(F.regexp_extract(x["line"], heading, 2)).alias("title"), X.trimmed(body).alias("content"), x["i"].alias("start_line"), (end - 1).alias("end_line"))
 
-    return F.transform(starts, section)
+    return X.let(each_, lambda each: X.let(F.filter(each, lambda x: x["h"]), lambda starts: F.transform(starts, lambda x, k: section(each, starts, x, k))))
 
 
 def path_of(sections: Column, k: Column) -> Column:  # T6, W7: the titles of the nearest sections above of ever smaller level, the document's root left out
@@ -52,16 +50,18 @@ def sections(docs: DataFrame, text: str = "text", heading: str = r"^(#{1,6})\s+(
 
 
 def code_blocks(text: Column) -> Column:  # T4: array of struct(language, code, start_line, end_line); an unclosed fence gives none
-    each = F.transform(F.split(text, "\n"), lambda line, i: F.struct(i.alias("i"), line.alias("line")))
-    fences = F.filter(each, lambda x: F.ltrim(x["line"]).startswith("```"))
-    pairs = F.when(F.size(fences) >= 2, F.sequence(F.lit(0), F.size(fences) - 2, F.lit(2))).otherwise(F.array().cast("array<int>"))
+    each_ = F.transform(F.split(text, "\n"), lambda line, i: F.struct(i.alias("i"), line.alias("line")))
 
-    def block(k: Column) -> Column:
+    def block(each: Column, fences: Column, k: Column) -> Column:
         a, b = F.get(fences, k), F.get(fences, k + 1)
         code = F.array_join(F.transform(F.slice(each, a["i"] + 2, b["i"] - a["i"] - 1), lambda y: y["line"]), "\n")
-        return F.struct(F.trim(F.substring(F.trim(a["line"]), 4, 1000)).alias("language"), code.alias("code"), a["i"].alias("start_line"), b["i"].alias("end_line"))
+        return F.struct(F.trim(F.trim(a["line"]).substr(F.lit(4), F.length(a["line"]))).alias("language"), code.alias("code"), a["i"].alias("start_line"), b["i"].alias("end_line"))
 
-    return F.transform(pairs, block)
+    def blocks(each: Column, fences: Column) -> Column:
+        pairs = F.when(F.size(fences) >= 2, F.sequence(F.lit(0), F.size(fences) - 2, F.lit(2))).otherwise(F.array().cast("array<int>"))
+        return F.transform(pairs, lambda k: block(each, fences, k))
+
+    return X.let(each_, lambda each: X.let(F.filter(each, lambda x: F.ltrim(x["line"]).startswith("```")), lambda fences: blocks(each, fences)))
 
 
 def without_code(text: Column) -> Column:  # T4: [CODE_BLOCK_i] for each block; what follows an unclosed fence is lost
@@ -78,17 +78,19 @@ def without_code(text: Column) -> Column:  # T4: [CODE_BLOCK_i] for each block;
 
 
 def blocks_of(text: Column) -> Column:  # X22: array of struct(type, content, start_line, end_line) of neighbouring lines of one type
-    marked = F.transform(F.split(text, "\n"), lambda line, i: F.struct(i.alias("i"), line.alias("line"), F.when(X.trimmed(line) != "", X.line_type(X.trimmed(line))).alias("t")))
-    first = F.filter(F.transform(marked, lambda x, i: F.when(x["t"].isNotNull() & ((i == 0) | (~x["t"].eqNullSafe(F.get(marked, i - 1)["t"]))), i)), lambda i: i.isNotNull())
+    marked_ = F.transform(F.split(text, "\n"), lambda line, i: F.struct(i.alias("i"), line.alias("line"), F.when(X.trimmed(line) != "", X.line_type(X.trimmed(line))).alias("t")))
 
-    def block(i: Column) -> Column:
+    def block(marked: Column, changes: Column, i: Column, k: Column) -> Column:
         t = F.get(marked, i)["t"]
-        rest = F.slice(marked, i + 1, F.size(marked))
-        stop = F.array_position(F.transform(rest, lambda y: ~y["t"].eqNullSafe(t)), True)
-        n = F.when(stop == 0, F.size(rest)).otherwise(stop - 1).cast("int")
-        return F.struct(t.alias("type"), F.array_join(F.transform(F.slice(rest, 1, n), lambda y: y["line"]), "\n").alias("content"), i.alias("start_line"), (i + n - 1).alias("end_line"))
+        n = F.coalesce(F.get(changes, k + 1), F.size(marked)) - i
+        return F.struct(t.alias("type"), F.array_join(F.transform(F.slice(marked, i + 1, n), lambda y: y["line"]), "\n").alias("content"), i.alias("start_line"), (i + n - 1).alias("end_line"))
+
+    def blocks(marked: Column) -> Column:
+        changes = F.filter(F.transform(marked, lambda x, i: F.when((i == 0) | ~x["t"].eqNullSafe(F.get(marked, i - 1)["t"]), i)), lambda i: i.isNotNull())
+        every = X.let(changes, lambda c: F.transform(c, lambda i, k: block(marked, c, i, k)))
+        return F.filter(every, lambda b: b["type"].isNotNull())
 
-    return F.transform(first, block)
+    return X.let(marked_, blocks)
 
 
 def merged_paragraphs(blocks: Column) -> Column:  # X23
@@ -105,8 +107,8 @@ def merged_paragraphs(blocks: Column) -> Column:  # X23
 
 
 def rebuilt_paragraphs(text: Column) -> Column:  # X20
-    ls = F.transform(F.split(text, "\n"), X.trimmed)
-    each = F.transform(ls, lambda x, i: F.struct(x.alias("x"), ((x == "") | x.rlike(r"[.!?]\z") | F.coalesce(F.get(ls, i + 1), F.lit("")).rlike("^[A-Z0-9]") | (F.length(x) < 50)).alias("ends")))
+    ends = lambda ls: F.transform(ls, lambda x, i: F.struct(x.alias("x"), ((x == "") | x.rlike(r"[.!?]\z") | F.coalesce(F.get(ls, i + 1), F.lit("")).rlike("^[A-Z0-9]") | (F.length(x) < 50)).alias("ends")))
+    each = X.let(F.transform(F.split(text, "\n"), X.trimmed), ends)
     folded = F.aggregate(
         each,
         F.struct(F.array().cast("array<string>").alias("open"), F.array().cast("array<string>").alias("out")),
@@ -119,13 +121,12 @@ def rebuilt_paragraphs(text: Column) -> Column:  # X20
 
 
 def normalized_page(text: Column) -> Column:  # X24: struct(text, blocks)
-    t = rebuilt_paragraphs(X.join_hyphenated(text))
-    return F.struct(t.alias("text"), blocks_of(t).alias("blocks"))
+    return X.let(rebuilt_paragraphs(X.join_hyphenated(text)), lambda t: F.struct(t.alias("text"), blocks_of(t).alias("blocks")))
 
 
 def text_to_markdown(text: Column) -> Column:  # X13
-    ls = F.transform(F.split(text, "\n"), X.trimmed)
-    each = F.transform(ls, lambda x, i: F.struct(x.alias("x"), ((x != "") & (F.length(x) < 60) & x.rlike("^[A-Z]") & (F.coalesce(F.get(ls, i + 1), F.lit("")) == "") & ~x.endswith(".")).alias("h")))
+    heads = lambda ls: F.transform(ls, lambda x, i: F.struct(x.alias("x"), ((x != "") & (F.length(x) < 60) & x.rlike("^[A-Z]") & (F.coalesce(F.get(ls, i + 1), F.lit("")) == "") & ~x.endswith(".")).alias("h")))
+    each = X.let(F.transform(F.split(text, "\n"), X.trimmed), heads)
     strings = "array<string>"
     folded = F.aggregate(
         each,

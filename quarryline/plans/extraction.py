@@ -67,10 +67,15 @@ def paywall_flags(t):
     return t.pages.select("page_id", X.is_paywall_domain(url).alias("known"), X.has_paywall_signs(html).alias("signs"))
 
 
-@query("SELECT doc_id, 'alpha,beta,gamma,solar panel,RAG,PDF' AS terms FROM documents")
+_WORDS = "\\n**Key Terms**: "
+_TERMS = "list_concat(['first ' || lang, 'second'], [source], list_transform(list_filter(regexp_extract_all(md, '\\b[A-Z][a-z]+(?:\\s+[A-Z][a-z]+)+\\b'), lambda x: length(x) >= 6), lambda x: lower(x)), regexp_extract_all(md, '\\b[A-Z]{2,6}\\b'))"
+
+
+@query(f"SELECT doc_id, array_to_string(list_sort(list_distinct({_TERMS})), ',') AS terms FROM (SELECT doc_id, lang, source, '**Key Terms**: first ' || lang || ', second' || chr(10) || '**Also Known As**: ' || source || chr(10) || chr(10) || text AS md FROM documents)")
 def key_terms(t):
-    text = F.lit("**Key Terms**: alpha, beta\n**Also Known As**: gamma\n\nthe Solar Panel uses RAG and PDF and RAG")
-    return t.documents.select("doc_id", F.array_join(X.key_terms(F.concat(text, F.substring("text", 1, 0))), ",").alias("terms"))
+    """The two lists are put before the text; phrases and acronyms come from all of it."""
+    md = F.concat(F.lit("**Key Terms**: first "), "lang", F.lit(", second\n**Also Known As**: "), "source", F.lit("\n\n"), "text")
+    return t.documents.select("doc_id", F.array_join(F.array_sort(X.key_terms(md)), ",").alias("terms"))
 
 
 @query("SELECT doc_id, lang || ',N' || doc_id % 3 || ',k1' AS tags FROM documents")
@@ -150,25 +155,33 @@ def frontmatter_read(t):
     return t.documents.select("doc_id", m["id"].alias("id"), m["title"].alias("title"), X.strip_frontmatter(md).alias("body"))
 
 
-@query("SELECT doc_id, '## A' || chr(10) || lang || ' one' || chr(10) || 'two' || chr(10) || chr(10) || '## B' || chr(10) || 'x' AS text FROM documents")
+@query("SELECT doc_id, '## A' || chr(10) || t || chr(10) || t || chr(10) || chr(10) || '## B' || chr(10) || t AS text FROM (SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM documents)")
 def stitch_chunks(t):
-    parts = F.array(F.concat(F.lit("[Page 1]\n## A\n"), F.col("lang"), F.lit(" one\n[continues]")), F.lit("[Page 2] two"), F.lit("## B\nx"))
+    text = X.trimmed(F.col("text"))
+    parts = F.array(F.concat(F.lit("[Page 1]\n## A\n"), text, F.lit("\n[continues]")), F.concat(F.lit("[Page 2] "), text), F.concat(F.lit("## B\n"), text))
     return t.documents.select("doc_id", E.stitched(parts).alias("text"))
 
 
-@query("SELECT doc_id, regexp_replace(regexp_replace(text, '\\n{3,}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g') || chr(10) AS md FROM (SELECT doc_id, lang || chr(10) || chr(10) || chr(10) || chr(10) || 'end' AS text FROM documents)")
+_NORMAL = _r(
+    "text || chr(10) || '##Head' || chr(13) || chr(10) || '*item  ' || chr(10) || chr(10) || chr(10) || chr(10) || '3.end' || chr(10)",
+    ("\\r\\n?", "\n", "g"), ("\\n{3,}", "\n\n", "g"), ("([^\\n])\\n(#{1,6}\\s)", "\\1\n\n\\2", "g"), ("(#{1,6}\\s[^\\n]+)\\n([^\\n#])", "\\1\n\n\\2", "g"),
+    ("(?m)^(#{1,6})([^\\s#])", "\\1 \\2", "g"), ("(?m)^[*\\-+]\\s*", "- ", "g"), ("(?m)^(\\d+\\.)\\s*", "\\1 ", "g"), ("(?m)[^\\S\\n]+$", "", "g"), ("^\\s+|\\s+$", "", "g"),
+)
+
+
+@query(f"SELECT doc_id, {_NORMAL} || chr(10) AS md FROM documents")
 def normalize_markdown(t):
-    return t.documents.select("doc_id", X.normalize_markdown(F.concat("lang", F.lit("\r\n\r\n\n\nend  \n\n"))).alias("md"))
+    return t.documents.select("doc_id", X.normalize_markdown(F.concat("text", F.lit("\n##Head\r\n*item  \n\n\n\n3.end\n"))).alias("md"))
 
 
-@query("SELECT doc_id, regexp_replace(regexp_replace(text, '\\s+', ' ', 'g'), '^\\s+|\\s+$', '', 'g') AS text FROM documents WHERE NOT regexp_matches(text, '-\\s*\\n')")
+@query("SELECT doc_id, " + _TRIM.format(_r("text", ("(\\w+)-\\s*\\n\\s*(\\w+)", "\\1\\2", "g"), ("\\s+", " ", "g"))) + " AS text FROM documents")
 def clean_text(t):
     return t.documents.select("doc_id", X.clean_extracted(F.col("text")).alias("text"))
 
 
-@query("SELECT doc_id, 'autostereoscopic ' || lang AS text FROM documents")
+@query("SELECT doc_id, regexp_replace(text || '-' || chr(10) || text, '(?i)([a-z])-\\s*\\n\\s*([a-z])', '\\1\\2', 'g') AS text FROM documents")
 def join_hyphens(t):
-    return t.documents.select("doc_id", X.join_hyphenated(F.concat(F.lit("autostereo-\n scopic "), F.col("lang"))).alias("text"))
+    return t.documents.select("doc_id", X.join_hyphenated(F.concat("text", F.lit("-\n"), "text")).alias("text"))
 
 
 @query("SELECT c_custkey, upper(left(c_name, 1)) AS initials, left(c_name, 5) || CASE WHEN length(c_name) > 5 THEN '...' ELSE '' END AS short FROM customer")
@@ -176,6 +189,16 @@ def labels_short(t):
     return t.customer.select("c_custkey", X.initials(F.col("c_name"), F.lit("zz")).alias("initials"), X.truncated(F.col("c_name"), 5).alias("short"))
 
 
-@query("SELECT doc_id, '## Heading' || chr(10) || chr(10) || lang || ' some text.' || chr(10) AS md FROM documents")
+_LINE = "regexp_replace(line, '^\\s+|\\s+$', '', 'g')"
+
+
+@query(
+    f"""WITH l AS (SELECT doc_id, i, {_LINE} AS x FROM (SELECT doc_id, i, ls[i] AS line FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split('Heading' || chr(10) || chr(10) || text || chr(10) || 'Note on ' || lang || chr(10) || chr(10) || text, chr(10)) AS ls FROM documents)))),
+h AS (SELECT *, x <> '' AND length(x) < 60 AND regexp_matches(x, '^[A-Z]') AND coalesce(lead(x) OVER w, '') = '' AND NOT ends_with(x, '.') AS h FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+p AS (SELECT *, coalesce(lag(x <> '' AND NOT h) OVER (PARTITION BY doc_id ORDER BY i), false) AS inside FROM h),
+o AS (SELECT doc_id, i, CASE WHEN x = '' THEN CASE WHEN inside THEN '' END WHEN h THEN chr(10) || '## ' || x || chr(10) WHEN inside THEN x ELSE chr(10) || x END AS o FROM p)
+SELECT doc_id, regexp_replace(string_agg(o, chr(10) ORDER BY i), '^\\s+|\\s+$', '', 'g') || chr(10) AS md FROM o GROUP BY doc_id"""
+)
 def text_to_markdown(t):
-    return t.documents.select("doc_id", S.text_to_markdown(F.concat(F.lit("Heading\n\n"), F.col("lang"), F.lit(" some text."))).alias("md"))
+    raw = F.concat(F.lit("Heading\n\n"), "text", F.lit("\nNote on "), "lang", F.lit("\n\n"), "text")
+    return t.documents.select("doc_id", S.text_to_markdown(raw).alias("md"))

@@ -8,13 +8,13 @@ from ..functions import text as X
 from ..operators import analytics as A
 from .registry import query
 
-_CITED = "k AS (SELECT conv_id * 1000 + turn AS message_id, conv_id, turn, role, text, text || '. In 2024 The System [^doc_' || (conv_id % 5 + 1) || ':Intro]. See [^doc_' || (turn % 3 + 1) || ':Part > Two] and [^doc_' || (conv_id % 5 + 1) || ':Intro].' AS answer FROM conversations WHERE role = 'assistant')"
+_CITED = "k AS (SELECT conv_id * 4294967296 + turn AS message_id, conv_id, turn, role, text, text || '. In 2024 The System [^doc_' || (conv_id % 5 + 1) || ':Intro]. See [^doc_' || (turn % 3 + 1) || ':Part > Two] and [^doc_' || (conv_id % 5 + 1) || ':Intro].' AS answer FROM conversations WHERE role = 'assistant')"
 
 
 def answers(t):
     n = lambda c, m: (F.col(c) % m + 1).cast("string")
     answer = F.concat("text", F.lit(". In 2024 The System [^doc_"), n("conv_id", 5), F.lit(":Intro]. See [^doc_"), n("turn", 3), F.lit(":Part > Two] and [^doc_"), n("conv_id", 5), F.lit(":Intro]."))
-    return t.conversations.where("role = 'assistant'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("message_id"), "conv_id", "turn", "role", "text", answer.alias("answer"))
+    return t.conversations.where("role = 'assistant'").select((F.col("conv_id") * 4294967296 + F.col("turn")).alias("message_id"), "conv_id", "turn", "role", "text", answer.alias("answer"))
 
 
 @query("SELECT conv_id, turn, len(list_filter(string_split_regex(regexp_replace(lower(text), '[^\\w\\s]', ' ', 'g'), '\\s+'), lambda t: t <> '')) AS n_tokens FROM conversations")
@@ -48,10 +48,22 @@ def citation_presence(t):
     return t.conversations.select("conv_id", "turn", X.citation_presence(text).alias("presence"))
 
 
-@query(f"WITH {_DENSITY} SELECT message_id, floor((0.60::DOUBLE + 0.25::DOUBLE * CASE WHEN total = 0 THEN 0 WHEN factual = 0 THEN 1 ELSE cited::DOUBLE / factual END + 0.05::DOUBLE * 0.5::DOUBLE) * 100 + 0.5::DOUBLE) / 100.0::DOUBLE AS rag_weight FROM d")
+_GRAMS_OF = "CASE WHEN len({0}) >= 3 THEN list_distinct(list_transform(range(1, len({0}) - 1), lambda i: array_to_string({0}[i:i + 2], ' '))) ELSE [] END"
+_TOKENS_OF = "list_filter(string_split_regex(regexp_replace(lower({0}), '[^\\w\\s]', ' ', 'g'), '\\s+'), lambda t: t <> '')"
+_CONTEXT = "regexp_replace(regexp_replace(regexp_replace('[Reference: ^doc_1:x]' || chr(10) || 'Document: ' || p.role || chr(10) || '---' || chr(10) || p.text, '\\[Reference:.*?\\]', '', 'g'), '(?m)^(Document|Section|Source):.*$', '', 'g'), '(?m)^---$', '', 'g')"
+
+
+@query(
+    f"""WITH {_DENSITY}, w AS (SELECT message_id, {_TOKENS_OF.format("answer")} AS a, {_TOKENS_OF.format("coalesce(" + _CONTEXT + ", '')")} AS c, coalesce((length(p.text) % 10) / 10.0::DOUBLE, 0) AS q FROM k LEFT JOIN conversations p ON p.conv_id = k.conv_id AND p.turn = k.turn - 1),
+o AS (SELECT message_id, q, {_GRAMS_OF.format("a")} AS a, {_GRAMS_OF.format("c")} AS c FROM w)
+SELECT message_id, floor((0.60::DOUBLE * 1.0::DOUBLE + 0.25::DOUBLE * CASE WHEN total = 0 THEN 0 WHEN factual = 0 THEN 1 ELSE cited::DOUBLE / factual END + 0.10::DOUBLE * CASE WHEN len(a) > 0 AND len(c) > 0 THEN len(list_intersect(a, c))::DOUBLE / len(a) ELSE 0 END + 0.05::DOUBLE * q) * 100 + 0.5::DOUBLE) / 100.0::DOUBLE AS rag_weight FROM d JOIN o USING (message_id)"""
+)
 def rag_weight(t):
-    w = A.rag_weight(F.col("answer"), F.lit("[Reference: ^doc_1:x]\n---\n"), F.lit(0.5))
-    return answers(t).select("message_id", w["rag_weight"].alias("rag_weight"))
+    """The context of an answer is the message before it; its search score follows from that message's length."""
+    before = t.conversations.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("role").alias("before_role"), F.col("text").alias("before"))
+    context = F.coalesce(F.concat(F.lit("[Reference: ^doc_1:x]\nDocument: "), "before_role", F.lit("\n---\n"), "before"), F.lit(""))
+    w = A.rag_weight(F.col("answer"), context, F.coalesce(F.length("before") % 10 / 10.0, F.lit(0.0)))
+    return answers(t).join(before, ["conv_id", "turn"], "left").select("message_id", w["rag_weight"].alias("rag_weight"))
 
 
 @query("SELECT conv_id, turn, CASE WHEN w >= 0.7 THEN 'high' WHEN w >= 0.4 THEN 'medium' ELSE 'low' END AS category FROM (SELECT conv_id, turn, ((conv_id + turn) % 10) / 10.0::DOUBLE AS w FROM conversations)")
@@ -75,9 +87,9 @@ def citation_extract(t):
     return answers(t).select("message_id", F.array_join(X.citation_ids(F.col("answer")), ",").alias("ids"))
 
 
-@query("SELECT doc_id, '#' || regexp_replace(regexp_replace(regexp_replace(lower(left(text, 40)), '\\s+', '-', 'g'), '[^a-z0-9-]', '', 'g'), '-+', '-', 'g') AS anchor FROM documents")
+@query("SELECT doc_id, '#' || regexp_replace(regexp_replace(regexp_replace(lower(text), '\\s+', '-', 'g'), '[^a-z0-9-]', '', 'g'), '-+', '-', 'g') AS anchor FROM documents")
 def section_anchor(t):
-    return t.documents.select("doc_id", X.section_anchor(F.left("text", F.lit(40))).alias("anchor"))
+    return t.documents.select("doc_id", X.section_anchor(F.col("text")).alias("anchor"))
 
 
 @query("SELECT page_id, regexp_replace(url, '#.*', '') || '#part-two' AS link, '[' || (page_id % 5) || '] ' || CASE WHEN page_id % 2 = 0 THEN 'T' ELSE 'D' || page_id END || ', §Part > Two' AS label FROM pages")
@@ -86,13 +98,13 @@ def citation_links(t):
     return t.pages.select("page_id", X.citation_url(F.col("url"), path).alias("link"), X.citation_label(F.col("page_id") % 5, F.when(F.col("page_id") % 2 == 0, "T").otherwise(""), F.concat(F.lit("D"), F.col("page_id").cast("string")), path).alias("label"))
 
 
-_Q = "q AS (SELECT conv_id, turn, CASE turn % 6 WHEN 0 THEN 'How does it improve?' WHEN 1 THEN 'What is 2+2' WHEN 2 THEN 'how do I resolve this error' WHEN 3 THEN 'and ' || left(text, 30) WHEN 4 THEN 'Thanks' ELSE text END AS q FROM conversations)"
+_Q = "q AS (SELECT conv_id, turn, CASE turn % 6 WHEN 0 THEN 'How does it ' WHEN 1 THEN 'What is 2+2 ' WHEN 2 THEN 'how do I resolve ' WHEN 3 THEN 'and ' WHEN 4 THEN 'Thanks ' ELSE '' END || text AS q FROM conversations)"
 
 
 def asked(t):
     k = F.col("turn") % 6
-    q = F.when(k == 0, "How does it improve?").when(k == 1, "What is 2+2").when(k == 2, "how do I resolve this error").when(k == 3, F.concat(F.lit("and "), F.left("text", F.lit(30)))).when(k == 4, "Thanks").otherwise(F.col("text"))
-    return t.conversations.select("conv_id", "turn", q.alias("q"))
+    opening = F.when(k == 0, "How does it ").when(k == 1, "What is 2+2 ").when(k == 2, "how do I resolve ").when(k == 3, "and ").when(k == 4, "Thanks ").otherwise("")
+    return t.conversations.select("conv_id", "turn", F.concat(opening, F.col("text")).alias("q"))
 
 
 @query(f"""WITH {_Q} SELECT conv_id, turn, turn > 0 AND (regexp_matches(lower(q), '\\b(it|its|that|this|these|those|them|they|he|she|his|her)\\b') OR regexp_matches(lower(q), '^(how|why|what|when|where)\\s+(does|is|are|was|were|do)\\b|^(tell me|explain|describe|compare)\\s+(more|that|this|it)\\b') OR regexp_matches(lower(q), '\\b(also|additionally|furthermore|moreover)\\b|^(and|but|or|so)\\s|\\b(what about|how about)\\b')) AS flag FROM q""")

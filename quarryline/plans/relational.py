@@ -26,10 +26,10 @@ def jobs(t):
     return t.events.select(F.col("event_id").alias("job_id"), status.alias("status"), F.col("ts").alias("created_at"), start.alias("started_at"), F.when(F.col("event_id") % 5 != 0, F.timestamp_add("SECOND", F.col("event_id") % 100, start)).alias("completed_at"), "user_id", "event_type", "props")
 
 
-@query("SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderstatus = 'O' AND o_totalprice >= 1000 AND o_totalprice <= 200000 AND o_orderkey < 40000 AND o_orderpriority IN ('1-URGENT', '2-HIGH')")
+@query("SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderstatus = 'O' AND o_totalprice >= 1000 AND o_totalprice <= 200000 AND o_orderdate < TIMESTAMP '1997-01-01' AND o_orderpriority IN ('1-URGENT', '2-HIGH')")
 def filter_predicates(t):
     o = T.filtered(t.orders, o_orderstatus="O", o_orderpriority="all")
-    o = T.within(T.within(o, "o_totalprice", 1000, 200000), "o_orderkey", before=40000)
+    o = T.within(T.within(o, "o_totalprice", 1000, 200000), "o_orderdate", before=F.lit("1997-01-01").cast("timestamp"))
     return T.among(o, "o_orderpriority", ["1-URGENT", "2-HIGH"]).select("o_orderkey", "o_orderstatus", "o_totalprice")
 
 
@@ -38,11 +38,11 @@ def ilike_any(t):
     return t.part.where(T.like_any("1_", "p_name") | T.like_any("brand#1", "p_brand")).select("p_partkey", "p_name")
 
 
-_P = "p AS (SELECT source, list_sort(list_distinct(list(lang))) AS langs FROM documents WHERE doc_id % 3 <> 0 GROUP BY source)"
+_P = "p AS (SELECT source, list_sort(list_distinct(list(lang))) AS langs FROM documents GROUP BY source)"
 
 
 def source_langs(t):
-    return t.documents.where("doc_id % 3 <> 0").groupBy("source").agg(F.array_sort(F.collect_set("lang")).alias("langs"))
+    return t.documents.groupBy("source").agg(F.array_sort(F.collect_set("lang")).alias("langs"))
 
 
 @query(f"WITH {_P} SELECT source, list_contains(langs, 'de') AS has_de, list_has_all(langs, ['en', 'fr']) AS has_both, list_has_any(langs, ['es', 'xx']) AS overlaps FROM p")
@@ -72,7 +72,7 @@ def active_jobs(t):
     return A.active_jobs(j).select("job_id", "status", "doc_id")
 
 
-@query(f"WITH {_JOBS} SELECT job_id, epoch_ms(coalesce(completed_at, {_AS_OF})) - epoch_ms(started_at) AS ms FROM j")
+@query(f"WITH {_JOBS} SELECT job_id, epoch_us(coalesce(completed_at, {_AS_OF})) // 1000 - epoch_us(started_at) // 1000 AS ms FROM j")
 def job_duration(t):
     return jobs(t).select("job_id", A.job_millis(F.col("started_at"), F.col("completed_at"), as_of()).alias("ms"))
 

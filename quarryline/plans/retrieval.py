@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import vectors as V
 from ..operators import search as S
+from ..sources.scratch import shared_dir
 from .registry import Tables, query
 
 TERMS = ["the", "idiot", "erin", "que", "der"]
 QUERY = "the idiot erin que der"
+CONVERSATION = 3  # the one in which the query is asked
 _TERMS = ", ".join(f"'{t}'" for t in TERMS)
 
 _V = """q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0),
@@ -22,7 +26,7 @@ tf AS (SELECT term, chunk_id, doc_id, len, count(*) AS tf FROM (SELECT chunk_id,
 dfs AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 bs AS (SELECT chunk_id, doc_id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (1 - 0.75::DOUBLE + 0.75::DOUBLE * len / mean))), 6) AS score FROM tf JOIN dfs USING (term), st GROUP BY chunk_id, doc_id),
 b AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id, chunk_id) AS rank FROM bs WHERE score >= 0.1 QUALIFY rank <= 20)"""
-_R = """r AS (SELECT chunk_id, coalesce(v.doc_id, b.doc_id) AS doc_id, round(coalesce(1.0::DOUBLE / (60 + v.rank), 0) + coalesce(1.0::DOUBLE / (60 + b.rank), 0), 6) AS score, v.score AS vector_score, b.score AS bm25_score, coalesce(v.rank, b.rank + 1000000) AS ins FROM v FULL JOIN b USING (chunk_id))"""
+_R = """r AS (SELECT chunk_id, coalesce(v.doc_id, b.doc_id) AS doc_id, round(coalesce(1.0::DOUBLE / (60 + v.rank), 0) + coalesce(1.0::DOUBLE / (60 + b.rank), 0), 6) AS score, v.score AS vector_score, b.score AS bm25_score, coalesce(v.rank, b.rank + 1099511627776) AS ins FROM v FULL JOIN b USING (chunk_id))"""
 
 
 def chunks(t: Tables):
@@ -31,16 +35,30 @@ def chunks(t: Tables):
 
 def vector_list(t: Tables):
     q = t.embeddings.where("vec_id = 0").select("embedding").first()[0]  # the query: one row
+    best = S.settled(S.vector_top(t.embeddings.select(F.col("vec_id").alias("chunk_id"), "embedding"), q, threshold=0.05))
     docs = t.documents.select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("doc_id"))
-    return S.vector_top(docs.join(t.embeddings.withColumnRenamed("vec_id", "chunk_id"), "chunk_id"), q, threshold=0.05)
+    return docs.join(F.broadcast(best), "chunk_id").select("chunk_id", "doc_id", "score", "rank")  # every vector has its chunk; 20 rows
+
+
+_indexes: dict[tuple[str, str], str] = {}
+
+
+def lexical_index(t: Tables) -> str:
+    """The postings of a folder's documents, written once for a session, during which the tables stay as they are."""
+    key = (t.spark.sparkContext.applicationId, t.folder)
+    if key not in _indexes:
+        path = f"{shared_dir(t.spark)}/postings-{uuid.uuid4().hex}"
+        S.lexical_index(chunks(t), path)
+        _indexes[key] = path
+    return _indexes[key]
 
 
 def lexical_list(t: Tables):
-    return S.bm25_top(chunks(t), TERMS)
+    return S.bm25_top(S.bm25_of_index(t.spark, lexical_index(t), TERMS))
 
 
 def fused(t: Tables):
-    return S.rrf(vector_list(t), lexical_list(t))
+    return S.rrf(S.settled(vector_list(t)), S.settled(lexical_list(t)))
 
 
 @query(f"WITH {_V} SELECT chunk_id, doc_id, score, rank FROM v")
@@ -58,11 +76,25 @@ def rrf_fusion(t):
     return fused(t)
 
 
-_CITED = "c AS (SELECT DISTINCT source AS document_id FROM documents WHERE doc_id % 7 = 0 AND doc_id < 20)"
+_MSG = "m AS (SELECT conv_id * 4294967296 + turn AS message_id, conv_id AS conversation_id, role, turn AS created_at, text FROM conversations), ct AS (SELECT message_id, length(text) % 11 AS document_id FROM m WHERE contains(text, ','))"
+
+
+def messages(t):
+    return t.conversations.select((F.col("conv_id") * 4294967296 + F.col("turn")).alias("message_id"), F.col("conv_id").alias("conversation_id"), "role", F.col("turn").alias("created_at"), "text")
+
+
+def citations(t):
+    """A message with a comma cites one of eleven documents, by its length."""
+    return messages(t).where(F.contains("text", F.lit(","))).select("message_id", (F.length("text") % 11).cast("long").alias("document_id"))
+
+
+_CITED = f"{_MSG}, ra AS (SELECT * FROM m WHERE role = 'assistant' QUALIFY row_number() OVER (PARTITION BY conversation_id ORDER BY created_at DESC, message_id DESC) <= 2), c AS (SELECT DISTINCT source AS document_id FROM ra JOIN ct USING (message_id) JOIN documents ON doc_id = document_id WHERE conversation_id = {CONVERSATION})"
 
 
 def cited(t):
-    return t.documents.where("doc_id % 7 = 0 and doc_id < 20").select(F.col("source").alias("document_id")).distinct()
+    """Sources of the documents that the conversation at hand cited last."""
+    ids = S.recently_cited(messages(t).where(F.col("conversation_id") == CONVERSATION), citations(t)).select(F.col("document_id").alias("doc_id"))
+    return t.documents.select("doc_id", "source").join(ids.distinct(), "doc_id").select(F.col("source").alias("document_id")).distinct()
 
 
 @query(f"WITH {_V}, {_B}, {_R}, {_CITED} SELECT chunk_id, doc_id, CASE WHEN doc_id IN (SELECT document_id FROM c) THEN round(score * 1.15::DOUBLE, 6) ELSE score END AS score, ins FROM r")
@@ -95,7 +127,7 @@ z AS (SELECT * FROM y QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY sc
 SELECT chunk_id, doc_id, score, row_number() OVER (ORDER BY score DESC, ins) AS rank FROM z QUALIFY rank <= 12"""
 )
 def hybrid_search(t):
-    return S.hybrid(vector_list(t), lexical_list(t), cited(t), tags(t), QUERY, ["Alias of ES"]).select("chunk_id", "doc_id", "score", "rank")
+    return S.hybrid(S.settled(vector_list(t)), S.settled(lexical_list(t)), cited(t), tags(t), QUERY, ["Alias of ES"]).select("chunk_id", "doc_id", "score", "rank")
 
 
 @query(f"WITH {_V}, {_B}, {_R} SELECT doc_id, count(*) AS n, arg_min(score, ins) AS first_score FROM r GROUP BY doc_id")
@@ -108,17 +140,6 @@ def metadata_keyword_boost(t):
     return S.metadata_boost(S.bm25_scores(chunks(t), TERMS), chunks(t), ["idiot", "moron", "all"])
 
 
-_MSG = "m AS (SELECT conv_id * 1000 + turn AS message_id, conv_id AS conversation_id, role, turn AS created_at, text FROM conversations), ct AS (SELECT message_id, message_id % 11 AS document_id FROM m WHERE message_id % 3 <> 0)"
-
-
-def messages(t):
-    return t.conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("message_id"), F.col("conv_id").alias("conversation_id"), "role", F.col("turn").alias("created_at"), "text")
-
-
-def citations(t):
-    return messages(t).where("message_id % 3 <> 0").select("message_id", (F.col("message_id") % 11).alias("document_id"))
-
-
 @query(f"WITH {_MSG}, r AS (SELECT * FROM m WHERE role = 'assistant' QUALIFY row_number() OVER (PARTITION BY conversation_id ORDER BY created_at DESC, message_id DESC) <= 2) SELECT DISTINCT conversation_id, document_id FROM r JOIN ct USING (message_id)")
 def recently_cited_docs(t):
     return S.recently_cited(messages(t), citations(t))
@@ -130,9 +151,9 @@ def context_refs(t):
     return S.context_refs(v).select("chunk_id", "ref", "section")
 
 
-@query(f"WITH {_V}, x AS (SELECT rank, '[Reference: ^doc_' || rank || ':Main Content]' || chr(10) || 'Document: ' || v.doc_id || chr(10) || 'Section: Main Content' || chr(10) || chr(10) || left(text, 40) AS b FROM v JOIN documents d ON d.doc_id = v.chunk_id) SELECT string_agg(b, chr(10) || chr(10) ORDER BY rank) AS context FROM x")
+@query(f"WITH {_V}, x AS (SELECT rank, '[Reference: ^doc_' || rank || ':Main Content]' || chr(10) || 'Document: ' || v.doc_id || chr(10) || 'Section: Main Content' || chr(10) || chr(10) || text AS b FROM v JOIN documents d ON d.doc_id = v.chunk_id) SELECT string_agg(b, chr(10) || chr(10) ORDER BY rank) AS context FROM x")
 def context_assembly(t):
-    v = vector_list(t).join(t.documents.select(F.col("doc_id").alias("chunk_id"), F.left("text", F.lit(40)).alias("text")), "chunk_id")
+    v = vector_list(t).join(t.documents.select(F.col("doc_id").alias("chunk_id"), "text"), "chunk_id")
     return S.context_text(v.withColumn("doc_title", F.col("doc_id")).withColumn("section_path", F.lit("")))
 
 
@@ -163,12 +184,12 @@ def embedding_cost(t):
 
 
 @query(
-    """WITH g AS (SELECT p_partkey, p_name, list_distinct(list_transform(range(1, len('  ' || lower(p_name) || ' ') - 1), lambda i: substr('  ' || lower(p_name) || ' ', i, 3))) AS g FROM part WHERE p_partkey <= 300),
+    """WITH g AS (SELECT p_partkey, p_name, list_distinct(list_transform(range(1, len('  ' || lower(p_name) || ' ') - 1), lambda i: substr('  ' || lower(p_name) || ' ', i, 3))) AS g FROM part),
 h AS (SELECT list_distinct(list_transform(range(1, len('  part 1 ') - 1), lambda i: substr('  part 1 ', i, 3))) AS h)
 SELECT p_partkey, round(len(list_intersect(g, h))::DOUBLE / len(list_distinct(list_concat(g, h))), 6) AS similarity FROM g, h"""
 )
 def trigram_similarity(t):
-    return t.part.where("p_partkey <= 300").select("p_partkey", F.round(X.trigram_similarity(F.col("p_name"), F.lit("part 1")), 6).alias("similarity"))
+    return t.part.select("p_partkey", F.round(X.trigram_similarity(F.col("p_name"), F.lit("part 1")), 6).alias("similarity"))
 
 
 @query()

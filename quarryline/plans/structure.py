@@ -10,12 +10,12 @@ from ..operators import chunking as C
 from ..operators import sections as S
 from .registry import query
 
-_MD = "md AS (SELECT doc_id, 'before' || chr(10) || '# Doc ' || doc_id || chr(10) || left(text, 200) || chr(10) || '## Part A' || chr(10) || left(text, 50) || chr(10) || '### Deep' || chr(10) || 'x' || chr(10) || '## Part B' || chr(10) || 'y' AS md FROM documents)"
+_MD = "md AS (SELECT doc_id, 'before' || chr(10) || '# Doc ' || doc_id || chr(10) || text || chr(10) || '## From ' || source || chr(10) || text || chr(10) || '### In ' || lang || chr(10) || text || chr(10) || '## Part B' || chr(10) || text AS md FROM documents)"
 
 
 def marked(t):
-    n = F.lit("\n")
-    parts = [F.lit("before"), n, F.lit("# Doc "), F.col("doc_id").cast("string"), n, F.left("text", F.lit(200)), n, F.lit("## Part A"), n, F.left("text", F.lit(50)), n, F.lit("### Deep\nx\n## Part B\ny")]
+    text = F.col("text")
+    parts = [F.lit("before\n# Doc "), F.col("doc_id").cast("string"), F.lit("\n"), text, F.lit("\n## From "), F.col("source"), F.lit("\n"), text, F.lit("\n### In "), F.col("lang"), F.lit("\n"), text, F.lit("\n## Part B\n"), text]
     return t.documents.select("doc_id", F.concat(*parts).alias("text"))
 
 
@@ -23,42 +23,52 @@ _L = "l AS (SELECT doc_id, i, string_split(md, chr(10))[i] AS line FROM (SELECT
 
 
 @query(
-    f"WITH {_MD}, {_L}, n AS (SELECT doc_id, max(i) AS n FROM l GROUP BY doc_id), s AS (SELECT h.doc_id, row_number() OVER (PARTITION BY h.doc_id ORDER BY h.i) - 1 AS section_no, length(hashes) AS level, title, h.i - 1 AS start_line, coalesce(nxt - 1, n) - 1 AS end_line, h.i, nxt FROM h JOIN n USING (doc_id)) SELECT s.doc_id, section_no, level, title, start_line, end_line, coalesce((SELECT length(regexp_replace(string_agg(line, chr(10) ORDER BY l.i), '^\\s+|\\s+$', '', 'g')) FROM l WHERE l.doc_id = s.doc_id AND l.i > s.i AND (s.nxt IS NULL OR l.i < s.nxt)), 0) AS n_chars FROM s"
+    f"WITH {_MD}, {_L}, n AS (SELECT doc_id, max(i) AS n FROM l GROUP BY doc_id), s AS (SELECT h.doc_id, row_number() OVER (PARTITION BY h.doc_id ORDER BY h.i) - 1 AS section_no, length(hashes) AS level, title, h.i - 1 AS start_line, coalesce(nxt - 1, n) - 1 AS end_line, h.i, nxt FROM h JOIN n USING (doc_id)) SELECT s.doc_id, section_no, level, title, start_line, end_line, coalesce(c.n_chars, 0) AS n_chars FROM s LEFT JOIN (SELECT s.doc_id, s.i, length(regexp_replace(string_agg(line, chr(10) ORDER BY l.i), '^\\s+|\\s+$', '', 'g')) AS n_chars FROM s JOIN l ON l.doc_id = s.doc_id AND l.i > s.i AND (s.nxt IS NULL OR l.i < s.nxt) GROUP BY s.doc_id, s.i) c ON c.doc_id = s.doc_id AND c.i = s.i"
 )
 def extract_sections(t):
     return S.sections(marked(t)).select("doc_id", "section_no", "level", "title", "start_line", "end_line", F.length("content").alias("n_chars"))
 
 
-@query("SELECT doc_id, unnest(['Doc ' || doc_id, 'Part A', 'Part A > Deep', 'Part B']) AS path FROM documents")
+@query(
+    f"""WITH {_MD}, {_L}, s AS (SELECT doc_id, i, length(hashes) AS level, regexp_replace(title, '^\\s+|\\s+$', '', 'g') AS title, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM h),
+u AS (SELECT s.doc_id, s.i, a.i AS pos, a.title, a.level, min(b.level) AS least FROM s JOIN s a ON a.doc_id = s.doc_id AND a.i <= s.i JOIN s b ON b.doc_id = s.doc_id AND b.i > a.i AND b.i <= s.i GROUP BY ALL UNION ALL SELECT doc_id, i, i AS pos, title, level, 99 FROM s),
+p AS (SELECT doc_id, i, list(title ORDER BY pos) AS path FROM u WHERE level < least GROUP BY doc_id, i),
+r AS (SELECT doc_id, arg_min(title, i) AS first, arg_min(level, i) = min(level) AS top FROM s GROUP BY doc_id)
+SELECT doc_id, array_to_string(CASE WHEN len(path) > 1 AND top AND path[1] = first THEN path[2:] ELSE path END, ' > ') AS path FROM p JOIN r USING (doc_id)"""
+)
 def section_paths(t):
     return S.sections(marked(t)).select("doc_id", "path")
 
 
+_TYPE = "CASE WHEN regexp_matches(line, '^[A-Z][A-Z\\s]{3,}$|^\\d+\\.\\s+[A-Z]|^[IVXLCDM]+\\.\\s+[A-Z]') THEN 'heading' WHEN regexp_matches(line, '^[-•*]\\s+|^\\d+[.)]\\s+|^[a-z][.)]\\s+') THEN 'list' WHEN regexp_matches(line, '\\s{3,}|\\t|\\|') THEN 'table' WHEN regexp_matches(line, '^(function|class|def|const|let|var|if|for|while)\\s') OR (regexp_matches(line, '[{}();]') AND regexp_matches(line, '\\s{2,}')) THEN 'code' ELSE 'paragraph' END"
 _LINES = "SELECT doc_id, i - 1 AS line_no, regexp_replace(CASE i % 5 WHEN 1 THEN '- ' WHEN 2 THEN '1. ' WHEN 3 THEN 'if ' ELSE '' END || line, '^\\s+|\\s+$', '', 'g') AS line FROM (SELECT doc_id, i, string_split(text, chr(10))[i] AS line FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents))"
 
 
+def _sign(n):
+    """Put before line n, as the texts have neither lists nor code."""
+    return F.when(n % 5 == 1, "- ").when(n % 5 == 2, "1. ").when(n % 5 == 3, "if ").otherwise("")
+
+
 @query(
-    f"SELECT doc_id, line_no, CASE WHEN regexp_matches(line, '^[A-Z][A-Z\\s]{{3,}}$|^\\d+\\.\\s+[A-Z]|^[IVXLCDM]+\\.\\s+[A-Z]') THEN 'heading' WHEN regexp_matches(line, '^[-•*]\\s+|^\\d+[.)]\\s+|^[a-z][.)]\\s+') THEN 'list' WHEN regexp_matches(line, '\\s{{3,}}|\\t|\\|') THEN 'table' WHEN regexp_matches(line, '^(function|class|def|const|let|var|if|for|while)\\s') OR (regexp_matches(line, '[{{}}();]') AND regexp_matches(line, '\\s{{2,}}')) THEN 'code' ELSE 'paragraph' END AS type FROM ({_LINES})"
+    f"SELECT doc_id, line_no, {_TYPE} AS type FROM ({_LINES})"
 )
 def line_types(t):
-    k = (F.col("line_no") + 1) % 5
-    lines = S.lines(t.documents).withColumn("line", X.trimmed(F.concat(F.when(k == 1, "- ").when(k == 2, "1. ").when(k == 3, "if ").otherwise(""), F.col("line"))))
+    lines = S.lines(t.documents).withColumn("line", X.trimmed(F.concat(_sign(F.col("line_no") + 1), F.col("line"))))
     return lines.select("doc_id", F.col("line_no").cast("long").alias("line_no"), X.line_type(F.col("line")).alias("type"))
 
 
 @query(
-    f"""WITH x AS (SELECT doc_id, i, line, CASE WHEN regexp_replace(line, '^\\s+|\\s+$', '', 'g') = '' THEN NULL WHEN starts_with(line, '- ') THEN 'list' ELSE 'paragraph' END AS t FROM (SELECT doc_id, i, CASE WHEN i % 4 < 2 THEN '- a' WHEN i % 7 = 0 THEN '' ELSE 'plain text' END AS line FROM (SELECT doc_id, unnest(range(0, 3 + doc_id % 20)) AS i FROM documents))),
+    f"""WITH x AS (SELECT doc_id, line_no AS i, CASE WHEN line = '' THEN NULL ELSE {_TYPE} END AS t FROM ({_LINES})),
 y AS (SELECT *, sum(CASE WHEN t IS DISTINCT FROM p THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM (SELECT *, lag(t) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM x))
 SELECT doc_id, min(i) AS start_line, max(i) AS end_line, any_value(t) AS type, count(*) AS n_lines FROM y WHERE t IS NOT NULL GROUP BY doc_id, g"""
 )
 def text_blocks(t):
-    line = lambda i: F.when(i % 4 < 2, "- a").when(i % 7 == 0, "").otherwise("plain text")
-    text = F.array_join(F.transform(F.sequence(F.lit(0), (F.col("doc_id") % 20 + 2).cast("int")), line), "\n")
+    text = F.array_join(F.transform(F.split("text", "\n"), lambda line, i: F.concat(_sign(i + 1), line)), "\n")
     b = t.documents.select("doc_id", F.explode(S.blocks_of(text)).alias("b"))
     return b.select("doc_id", F.col("b.start_line").cast("long").alias("start_line"), F.col("b.end_line").cast("long").alias("end_line"), "b.type", F.size(F.split("b.content", "\n")).cast("long").alias("n_lines"))
 
 
-_PAGES = "s AS (SELECT doc_id, p, {0} AS n, {1} AS h FROM (SELECT doc_id, text, unnest(range(1, 9)) AS p FROM documents))"
+_PAGES = "s AS (SELECT doc_id, p, {0} AS n, {1} AS h FROM (SELECT doc_id, length(substr(text, (p - 1) * c + 1, c)) AS size, p FROM (SELECT doc_id, text, ceil(length(text) / 8)::BIGINT AS c, unnest(range(1, 9)) AS p FROM documents)))"
 
 
 def _packing(size: str, heading: str, split: str, after: str) -> str:
@@ -70,26 +80,26 @@ f(doc_id, p, n, k, first) AS (SELECT doc_id, 0, 0, 0, true FROM documents UNION
 SELECT doc_id, max(k) + max(CASE WHEN p = 8 AND n > 0 THEN 1 ELSE 0 END) AS chunks FROM f GROUP BY doc_id"""
 
 
-def _pieces(t, size, kind=None):
-    return F.transform(F.sequence(F.lit(1), F.lit(8)), lambda p: F.struct(F.repeat(F.lit("x"), size(p).cast("int")).alias("content"), (kind(p) if kind else F.lit("paragraph")).alias("type"), p.alias("page")))
+def _pieces(t, heading_every=0):
+    """(doc_id, blocks): the text in eight equal slices, of which every third may pass for a heading."""
+    kind = lambda p: F.when(p["page_number"] % heading_every == 0, "heading").otherwise("paragraph") if heading_every else F.lit("paragraph")
+    pages = C.page_slices(F.col("text"), F.lit(8))
+    return t.documents.select("doc_id", F.transform(pages, lambda p: F.struct(p["text"].alias("content"), kind(p).alias("type"), p["page_number"].alias("page"))).alias("blocks"))
 
 
-@query(_packing("12 + length(p::VARCHAR) + 100 + (doc_id * 7 + p * 37) % 1500 - 1", "false", "f.n + s.n > 3000", "z >= 1800"))
+@query(_packing("11 + length(p::VARCHAR) + size", "false", "f.n + s.n > 3000", "z >= 1800"))
 def page_packing(t):
-    pages = F.transform(F.sequence(F.lit(1), F.lit(8)), lambda p: F.struct(p.alias("page_number"), F.repeat(F.lit("x"), (100 + (F.col("doc_id") * 7 + p * 37) % 1500).cast("int")).alias("text")))
-    return t.documents.select("doc_id", F.size(C.pages_packed(pages)).cast("long").alias("chunks"))
+    return t.documents.select("doc_id", F.size(C.pages_packed(C.page_slices(F.col("text"), F.lit(8)))).cast("long").alias("chunks"))
 
 
-@query(_packing("100 + (doc_id * 7 + p * 37) % 1500", "false", "f.n + s.n > 3000", "z >= 1800"))
+@query(_packing("size", "false", "f.n + s.n > 3000", "z >= 1800"))
 def block_packing(t):
-    blocks = _pieces(t, lambda p: 100 + (F.col("doc_id") * 7 + p * 37) % 1500)
-    return t.documents.select("doc_id", F.size(C.blocks_packed(blocks)).cast("long").alias("chunks"))
+    return _pieces(t).select("doc_id", F.size(C.blocks_packed(F.col("blocks"))).cast("long").alias("chunks"))
 
 
-@query(_packing("100 + (doc_id * 7 + p * 37) % 1500", "p % 3 = 0", "(f.n + s.n > 3000 OR (f.n >= 2400 AND s.h))", "false"))
+@query(_packing("size", "p % 3 = 0", "(f.n + s.n > 3000 OR (f.n >= 2400 AND s.h))", "false"))
 def smart_packing(t):
-    blocks = _pieces(t, lambda p: 100 + (F.col("doc_id") * 7 + p * 37) % 1500, lambda p: F.when(p % 3 == 0, "heading").otherwise("paragraph"))
-    return t.documents.select("doc_id", F.size(C.smart_packed(blocks)).cast("long").alias("chunks"))
+    return _pieces(t, 3).select("doc_id", F.size(C.smart_packed(F.col("blocks"))).cast("long").alias("chunks"))
 
 
 @query("SELECT doc_id, i AS page_number, substr(text, (i - 1) * c + 1, c) AS text FROM (SELECT doc_id, text, unnest(range(1, 4)) AS i, ceil(length(text) / 3)::BIGINT AS c FROM documents)")
@@ -103,11 +113,12 @@ def token_estimate(t):
     return t.documents.select("doc_id", X.token_estimate(F.col("text")).alias("tokens"))
 
 
-@query("SELECT doc_id, 1 AS blocks, left(text, 60) || chr(10) || '[CODE_BLOCK_0]' || chr(10) || 'end' AS cleaned, 'sql' AS language FROM documents")
+@query("SELECT doc_id, 1 AS blocks, text || chr(10) || '[CODE_BLOCK_0]' || chr(10) || text || chr(10) || '[CODE_BLOCK_1]' AS cleaned, lang AS language, text AS code FROM documents")
 def code_blocks(t):
-    text = F.concat(F.left("text", F.lit(60)), F.lit("\n```sql\nselect 1\n```\nend\n```open\nlost"))
-    d = t.documents.select("doc_id", S.code_blocks(text).alias("b"), S.without_code(F.concat(F.left("text", F.lit(60)), F.lit("\n```sql\nselect 1\n```\nend"))).alias("cleaned"))
-    return d.select("doc_id", F.size("b").alias("blocks"), "cleaned", F.get("b", F.lit(0))["language"].alias("language"))
+    """One fence round the text, and one that isn't closed: what follows is lost."""
+    text = F.concat("text", F.lit("\n```"), "lang", F.lit("\n"), "text", F.lit("\n```\n"), "text", F.lit("\n```open\n"), "text")
+    d = t.documents.select("doc_id", S.code_blocks(text).alias("b"), S.without_code(text).alias("cleaned"))
+    return d.select("doc_id", F.size("b").alias("blocks"), "cleaned", F.get("b", F.lit(0))["language"].alias("language"), F.get("b", F.lit(0))["code"].alias("code"))
 
 
 @query("SELECT doc_id, CASE WHEN lang = 'en' THEN 'patent' WHEN lang = 'fr' THEN 'paper' ELSE 'generic' END AS structure FROM documents")
@@ -119,7 +130,7 @@ def structure_type(t):
 @query()
 def token_chunks(t):
     """Chunk counts and sizes by the token chunker (a fold over text, so rows only; tests check it by hand)."""
-    s = marked(t).select("doc_id", S.sections_of(F.concat(F.lit("# A\n"), F.repeat(F.concat(F.col("text"), F.lit("\n")), 30))).alias("s"))
+    s = marked(t).select("doc_id", S.sections_of(F.col("text")).alias("s"))
     s = s.select("doc_id", F.transform(C.sections_merged(F.col("s")), lambda x: F.struct(x["title"].alias("path"), x["content"].alias("content"))).alias("sections"))
     return C.token_chunks(s).select("doc_id", "chunk_index", "section_path", "token_count")
 
