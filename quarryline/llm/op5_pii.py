@@ -5,8 +5,8 @@ formats (kind ``secret``). These are the seeds. The words around them are lexica
 words before, the word before and the word after, or the one word before if it ends in a sign such as a
 colon, or if the seed's word begins with one such as a quotation mark; words are lower-cased and their
 numbers are all alike. What stands in the patterns of at least SUPPORT different seeds is counted over all
-texts, with digits or without. A pattern is as sure as the share of its fillers that are believed; those
-of which seeds fill less than FLOOR aren't looked at further. A filler is believed as the surest pattern
+texts, with digits or without; patterns of which seeds fill less than FLOOR of the places aren't looked at
+further. A pattern is as sure as the share of its different fillers that are believed. A filler is believed as the surest pattern
 before it and the surest pattern around it allow (noisy-or of the two), and a few rounds of this over the
 pattern-instance graph leave sure patterns. What stands in them is reported as kind ``id``, word by word
 and without signs at its ends: of an identifier of several words, those that stand in a sure pattern
@@ -27,6 +27,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from .shared import spread, written
 
 #: Kinds in the order in which they are listed; the first four are the base.
@@ -59,11 +60,6 @@ _LEAD, _TRAIL = "[\"'(<\\[{=:#]", "[.,;:!?)\\]}>\"']"
 _SPAN = "array<struct<s:bigint,k:int,e:bigint>>"
 
 
-def let(x: Column, f: Callable[[Column], Column]) -> Column:
-    """f of x, with x evaluated once however often f names it."""
-    return F.get(F.transform(F.array(x), f), F.lit(0))
-
-
 def running(values: Column, zero: Column, join: Callable[[Column, Column], Column], f: Callable[[Callable[[Column], Column]], Column]) -> Column:
     """f(at), where at(i) joins the first i values: the strides before are joined beforehand, so at(i) costs a stride at most."""
     over = lambda xs, start: F.aggregate(xs, start, join)
@@ -213,7 +209,7 @@ def _placed() -> Column:
 
 
 def _seeds(seen: DataFrame) -> DataFrame:
-    """(pattern, around, value): each seed under the patterns around it; a seed is known by its first four words."""
+    """(pattern, around, value, places): each seed under the patterns around it, and how often; a seed is known by its first four words."""
     marked = lambda c: F.coalesce(F.contains(c, F.lit(MARK)), F.lit(False))
     w = _words(seen.where("size(seeds) > 0"), original=True).where(marked("w") & ~marked("near"))
     more, on = [F.col("o0")], F.lit(True)
@@ -222,10 +218,11 @@ def _seeds(seen: DataFrame) -> DataFrame:
         more.append(F.when(on, F.col(f"o{n}")).otherwise(""))
     next_ = F.when(marked("w1"), "").otherwise(F.col("next"))
     w = w.withColumn("value", F.xxhash64(_core(F.concat(*more)))).withColumn("next", next_)
-    return w.select("value", F.explode(_placed()).alias("x")).select("x.pattern", "x.around", "value").distinct()
+    return w.select("value", F.explode(_placed()).alias("x")).groupBy("x.pattern", "x.around", "value").agg(F.count("*").alias("places"))
 
 
-_BITS = 1 << 19
+#: Places in the table that tells most words apart from those in a pattern.
+_BITS = 1 << 16
 
 
 def _filter_of(patterns: DataFrame) -> Callable[[Column], Column]:
@@ -240,12 +237,12 @@ def _filter_of(patterns: DataFrame) -> Callable[[Column], Column]:
 
 
 def _fillers(seen: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(pattern, value, id, i) of each word that belongs to no seed and stands in one of the patterns."""
+    """(pattern, value, id, i) of each word that belongs to no seed and stands in one of the patterns, and of others that the table lets pass."""
     may = _filter_of(patterns)
     # one row for each word and pattern first, then the filter: four tests of four hashes in one are more than the JVM compiles
     rows = _words(seen).select("id", "i", "w", F.explode(F.array(*_patterns())).alias("pattern"))
     rows = rows.where(may(F.col("pattern")) & ~F.contains("w", F.lit(MARK))).withColumn("core", _core(F.col("w"))).where("core <> ''")
-    return rows.join(patterns.select("pattern"), "pattern").select("pattern", F.xxhash64("core").alias("value"), "id", "i")
+    return rows.select("pattern", F.xxhash64("core").alias("value"), "id", "i")
 
 
 _SALTS = 32
@@ -261,11 +258,12 @@ def _with(graph: DataFrame, side: DataFrame, key: str) -> DataFrame:
 def discovered(seen: DataFrame, rounds: int = ROUNDS, sure: float = SURE, support: int = SUPPORT, floor: float = FLOOR) -> DataFrame:
     """(id, i) of the words that sure patterns reveal. seen: id, text, seeds; a written table."""
     seeds = written(_seeds(seen), "pii-seeds")
-    strong = written(seeds.groupBy("pattern", "around").agg(F.count("*").alias("seeds")).where(F.col("seeds") >= support), "pii-patterns")
-    places = written(_fillers(seen, strong), "pii-places")
-    different = places.select("pattern", "value").distinct().groupBy("pattern").agg(F.count("*").alias("n"))
-    live = written(strong.join(different, "pattern").where(F.col("seeds") >= floor * (F.col("seeds") + F.col("n"))), "pii-live")
+    strong = written(seeds.groupBy("pattern", "around").agg(F.count("*").alias("seeds"), F.sum("places").alias("places")).where(F.col("seeds") >= support), "pii-patterns")
+    # counted before they are joined: a common pattern's places never leave their task
+    counts = _fillers(seen, strong).groupBy("pattern").agg(F.count("*").alias("n"))
+    live = written(strong.join(counts, "pattern").where(F.col("places") >= floor * (F.col("places") + F.col("n"))), "pii-live")
     mine = live.select("pattern", "around")
+    places = written(_fillers(seen, live).join(live.select("pattern"), "pattern"), "pii-places")
     known = seeds.join(mine.drop("around"), "pattern").select("pattern", "value", F.lit(True).alias("seed"))
     graph = known.unionByName(places.select("pattern", "value").join(mine.drop("around"), "pattern").select("pattern", "value", F.lit(False).alias("seed")))
     graph = written(graph.groupBy("pattern", "value").agg(F.max("seed").alias("seed")).join(mine, "pattern"), "pii-graph")

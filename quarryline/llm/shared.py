@@ -2,31 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = _own.setdefault("dir", "")
-        if not path:
-            path = _own["dir"] = "file://" + tempfile.mkdtemp(prefix="quarryline-")
-    return path
-
+from ..sources.scratch import shared_dir, written
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage, and outlives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["components", "parallelism", "shared_dir", "spread", "written"]
 
 
 def parallelism(spark: SparkSession) -> int:
@@ -39,18 +20,18 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if 0 < files < cores else df
 
 
-def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (u long, v long): (node, component), component the smallest node.
 
     Alternates large-star and small-star rounds (both replace an edge by one to the smallest
     neighbour). Each round is a grouped minimum, which combines map-side, and a join that adaptive
     execution may split where a node has very many edges; nothing is gathered per node. Stops when
-    a round leaves the edge set as it was. Nodes without an edge to another node don't appear.
+    a round leaves the edge set as it was, which takes about the logarithm of the longest path. Nodes without an edge to another node don't appear.
     """
     e = edges.where("u <> v").select("u", "v").distinct()
     e = written(e, "cc")
     seen = None
-    for _ in range(max_rounds):
+    while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -62,7 +43,5 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         if now == seen:
             break
         seen = now
-    else:
-        raise RuntimeError("components did not settle")
     star = e.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.col("m").alias("component"))
     return star.unionByName(star.select(F.col("component").alias("node"), "component").distinct())
