@@ -5,7 +5,11 @@ line ends). A logistic model over hashed words and word beginnings scores each s
 is toxic unless every sentence is clean (noisy-or), and the likelihood of the document labels
 trains the sentence weights. The same weights then point out the offending sentences.
 
-The training sample is bounded: TRAIN labelled documents. Scoring reads every whole text.
+Scores are calibrated on the training rows alone: of scores that FOLDS models give to rows they didn't
+learn from, the threshold with the best F1 is moved to REJECT, by one factor on the odds.
+
+The training sample is bounded: TRAIN labelled documents. So is the model: FEATURES words and word
+beginnings, those that tell most in the sample. Scoring reads every whole text.
 
 Defined results: null and empty texts and texts without a word score 0; rows are scored each by
 itself (repeated rows alike); without any label, or with labels of one kind only, every document
@@ -15,6 +19,7 @@ scores 0 or that kind's share, as there is nothing to tell them apart by; other
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +34,10 @@ from .wordhash import ALNUM_LOW, pieces, utf8, words
 
 #: Labelled documents that are learned from, at most, and features that get a weight.
 TRAIN, FEATURES = 12_000, 4096
+#: Models for the calibration; rounds and decay were chosen by folds inside the training rows.
+FOLDS, ROUNDS, DECAY = 3, 150, 2e-3
+#: From this score on a document counts as toxic.
+REJECT = 0.7
 PREFIXES = (4, 5, 6)
 _END = np.zeros(256, bool)
 _END[list(b".!?\n")] = True
@@ -51,9 +60,9 @@ def bags(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np
 
 
 class Model:
-    def __init__(self, features: np.ndarray, weights: np.ndarray, bias: float):
+    def __init__(self, features: np.ndarray, weights: np.ndarray, bias: float, odds: float = 1.0):
         order = np.argsort(features)
-        self.features, self.weights, self.bias = features[order], weights[order], bias
+        self.features, self.weights, self.bias, self.odds = features[order], weights[order], bias, odds
         self.maybe = np.zeros(1 << 18, bool)
         self.maybe[(self.features >> np.uint64(46)).astype(np.int64)] = True
 
@@ -73,10 +82,17 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
+    def calibrated(self, p: np.ndarray) -> np.ndarray:
+        """p with its odds multiplied; 0 and 1 stay."""
+        return p * self.odds / (1 - p + p * self.odds)
+
+
 def noisy_or(p: np.ndarray, soff: np.ndarray) -> np.ndarray:
-    """1 - product of (1 - p) over each text's sentences."""
-    total = np.concatenate([[0.0], np.cumsum(np.log1p(-np.minimum(p, 1 - 1e-12)))])
-    return np.clip(-np.expm1(total[soff[1:]] - total[soff[:-1]]), 0, 1)
+    """1 - product of (1 - p) over each text's sentences, each text by itself."""
+    out, some = np.zeros(len(soff) - 1), np.diff(soff) > 0
+    if some.any():
+        out[some] = np.add.reduceat(np.log1p(-np.minimum(p, 1 - 1e-12)), soff[:-1][some])
+    return np.clip(-np.expm1(out), 0, 1)
 
 
 def telling(hashed: DataFrame, docs: int, toxic: int, most: int = FEATURES) -> np.ndarray:
@@ -89,23 +105,61 @@ def telling(hashed: DataFrame, docs: int, toxic: int, most: int = FEATURES) -> n
     return np.sort(np.array([r.h for r in best.select("h").collect()], np.int64).view(np.uint64))
 
 
-def fit(names: np.ndarray, soff: np.ndarray, row: np.ndarray, col: np.ndarray, y: np.ndarray, rounds: int = 300, rate: float = 0.1, decay: float = 2e-4) -> Model:
-    """Weights by full-batch Adam on the noisy-or likelihood. row, col: sentence and feature, one of each for a feature in a sentence."""
+def gradient(w: np.ndarray, bias: float, soff: np.ndarray, row: np.ndarray, col: np.ndarray, y: np.ndarray, decay: float) -> np.ndarray:
+    """Of the mean negative log-likelihood of the noisy-or and 50 * decay * |w|**2 / len(y), by weights and then bias."""
     doc_of = np.repeat(np.arange(len(y)), np.diff(soff))
+    ps = 1 / (1 + np.exp(-np.clip(bias + np.bincount(row, w[col], len(doc_of)), -30, 30)))
+    pd = np.clip(noisy_or(ps, soff), 1e-9, 1)
+    g = np.where(y == 1, -(1 - pd) / pd, 1.0)[doc_of] * ps / len(y)
+    return np.append(np.bincount(col, g[row], len(w)) + 100 * decay * w / len(y), g.sum())
+
+
+def fit(names: np.ndarray, soff: np.ndarray, row: np.ndarray, col: np.ndarray, y: np.ndarray, rounds: int = ROUNDS, rate: float = 0.1, decay: float = DECAY) -> Model:
+    """Weights by full-batch Adam on the noisy-or likelihood. row, col: sentence and feature, one of each for a feature in a sentence."""
     w, bias = np.zeros(len(names)), -5.0
-    m, v, n_s = np.zeros(len(names) + 1), np.zeros(len(names) + 1), len(doc_of)
+    m, v = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
     for t in range(1, rounds + 1):
-        z = bias + np.bincount(row, w[col], n_s)
-        ps = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        pd = np.clip(noisy_or(ps, soff), 1e-9, 1)
-        g = np.where(y == 1, -(1 - pd) / pd, 1.0)[doc_of] * ps / len(y)
-        grad = np.append(np.bincount(col, g[row], len(names)) + decay * w / len(y) * 100, g.sum())
+        grad = gradient(w, bias, soff, row, col, y, decay)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
         w, bias = w - step[:-1], bias - step[-1]
     return Model(names, w, float(bias))
 
 
+def best_threshold(scores: np.ndarray, y: np.ndarray) -> float:
+    """That of the best F1, halfway to the next score below."""
+    order = np.argsort(-scores, kind="stable")
+    s, hit = scores[order], np.cumsum(y[order])
+    f = 2 * hit / (np.arange(1, len(s) + 1) + y.sum())
+    f[:-1][s[1:] == s[:-1]] = 0  # equal scores fall on one side
+    k = int(np.argmax(f))
+    return float((s[k] + (s[k + 1] if k + 1 < len(s) else 0)) / 2)
+
+
+def calibration(names: np.ndarray, soff: np.ndarray, row: np.ndarray, col: np.ndarray, y: np.ndarray, fold: np.ndarray) -> float:
+    """The factor on the odds that takes the best threshold of held-out folds to REJECT. A fold's model has those of the features that tell in its own rows."""
+    scores, doc_of = np.zeros(len(y)), np.repeat(np.arange(len(y)), np.diff(soff))
+    pairs = np.unique(doc_of[row] * len(names) + col) if len(names) else np.zeros(0, np.int64)
+    for k in np.unique(fold):
+        own, rest = fold != k, fold == k
+        if not 0 < y[own].sum() < own.sum():
+            return 1.0
+        d, c = pairs // len(names), pairs % len(names)
+        n, a = np.bincount(c[own[d]], minlength=len(names)), np.bincount(c[own[d]], y[d[own[d]]], len(names))
+        share, p = y[own].mean(), (a + 0.5) / (n + 1)
+        tells = (n >= 5) & (a * np.log(p / share) + (n - a) * np.log((1 - p) / (1 - share)) > 2)
+        for half in (own, rest):
+            keep, number = tells[col] & half[doc_of[row]], np.cumsum(half[doc_of]) - 1
+            part = np.concatenate([[0], np.cumsum(np.diff(soff)[half])]), number[row[keep]], col[keep]
+            if half is own:
+                model = fit(names, *part, y[own])
+            else:
+                z = model.bias + np.bincount(part[1], model.weights[part[2]], int(part[0][-1]))
+                scores[rest] = noisy_or(1 / (1 + np.exp(-np.clip(z, -60, 60))), part[0])
+    t = min(max(best_threshold(scores, y), 1e-6), 1 - 1e-6)
+    return REJECT / (1 - REJECT) * (1 - t) / t
+
+
 def train(documents: DataFrame, labels: DataFrame, test=None, most: int = TRAIN, label: str = "toxic") -> Model:
     """Learn from at most `most` labelled documents outside test. Executors turn texts into hashes and count them; the driver gathers those of the chosen features alone, which the sample bounds."""
     rows = training_rows(documents, labels, label, F.lit(False) if test is None else test, most)
@@ -144,7 +198,10 @@ def train(documents: DataFrame, labels: DataFrame, test=None, most: int = TRAIN,
     soff = np.concatenate([[0], np.cumsum([n for _, _, n, _ in got])]).astype(np.int64)
     row = np.concatenate([np.frombuffer(s, "<u4").astype(np.int64) + a for (_, s, _, _), a in zip(got, soff, strict=False)])
     col = np.concatenate([np.frombuffer(k, "<u4").astype(np.int64) for k, _, _, _ in got])
-    return fit(names, soff, row, col, np.array([y for *_, y in got], np.int64))
+    y = np.array([y for *_, y in got], np.int64)
+    model = fit(names, soff, row, col, y)
+    model.odds = calibration(names, soff, row, col, y, np.array([zlib.crc32(k) % FOLDS for k, *_ in got]))  # copies share a fold
+    return model
 
 
 RESULT = [("score", "double"), ("sentences", "array<struct<start:long,end:long,score:double>>")]
@@ -163,7 +220,8 @@ def toxicity(documents: DataFrame, model: Model, text: str = "text", offending:
         for batch in batches:
             for part in pieces(batch, text):
                 soff, kinds, sentence, first, end, data = bags(part.column(text))
-                p = model.sentences(kinds, sentence, len(first))
+                raw = model.sentences(kinds, sentence, len(first))
+                p = model.calibrated(raw)
                 found: list = [[] for _ in range(part.num_rows)]
                 if len(bad := np.flatnonzero(p >= offending)):
                     points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
@@ -171,16 +229,13 @@ def toxicity(documents: DataFrame, model: Model, text: str = "text", offending:
                     base = points[utf8(part.column(text))[1][doc]]
                     for d, a, z, x in zip(doc.tolist(), (points[first[bad]] - base).tolist(), (points[end[bad]] - base).tolist(), p[bad].tolist(), strict=True):
                         found[d].append({"start": a, "end": z, "score": x})
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(noisy_or(p, soff)), pa.array(found, kind)], names=[*part.schema.names, *(x for x, _ in RESULT)])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model.calibrated(noisy_or(raw, soff))), pa.array(found, kind)], names=[*part.schema.names, *(x for x, _ in RESULT)])
 
     return docs.mapInArrow(score, schema)
 
 
-#: From this score on a document counts as toxic.
-REJECT = 0.7
-
-
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), held_out("doc_id", 3, 1))
-    return toxicity(docs, model).select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "score", (F.col("score") >= REJECT).cast("int").alias("predicted"))
+    spans = F.array_join(F.transform("sentences", lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string"))), ",")
+    return toxicity(docs, model).select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "score", (F.col("score") >= REJECT).cast("int").alias("predicted"), spans.alias("sentences"))

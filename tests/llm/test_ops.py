@@ -411,3 +411,36 @@ def test_entry_names():
     assert {f"op{n}" for n in range(1, 11)} <= {x.split("_")[0] for x in names} and "pipeline" in names
     assert set(e.oracle_sql()) <= set(names)
     assert json.dumps(sorted(names)) and sha("") == "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
+
+
+# --- 8, plain versions --------------------------------------------------------------------------
+
+
+def test_noisy_or_and_gradient():
+    """The noisy-or against a plain product, its gradient against differences of the loss, the calibration against a plain search."""
+    from quarryline.llm.op8_toxicity import Model, best_threshold, calibration, fit, gradient, noisy_or
+
+    r = np.random.default_rng(5)
+    soff = np.array([0, 3, 3, 4, 9, 12])
+    p, y = r.random(12), np.array([1, 0, 0, 1, 0])
+    plain = [1 - np.prod(1 - p[a:b]) for a, b in zip(soff[:-1], soff[1:], strict=True)]
+    assert noisy_or(p, soff) == pytest.approx(plain) and noisy_or(p[4:9], np.array([0, 5]))[0] == noisy_or(p, soff)[3]
+    row, col = np.array([0, 0, 2, 3, 5, 5, 8, 11]), np.array([0, 1, 1, 2, 0, 2, 1, 2])
+    w, bias, decay = r.normal(size=3), -1.0, 0.01
+
+    def loss(v):
+        z = v[3] + np.bincount(row, v[:3][col], 12)
+        q = np.array([1 - np.prod(1 - 1 / (1 + np.exp(-z[a:b]))) for a, b in zip(soff[:-1], soff[1:], strict=True)])
+        return -sum(np.log(q[d]) if y[d] else np.log(1 - q[d]) for d in range(5)) / 5 + 50 * decay * (v[:3] ** 2).sum() / 5
+
+    at = np.append(w, bias)
+    want = [(loss(at + e) - loss(at - e)) / 2e-5 for e in 1e-5 * np.eye(4)]
+    assert gradient(w, bias, soff, row, col, y, decay) == pytest.approx(want, abs=1e-6)
+    model = fit(np.arange(3, dtype=np.uint64), soff, row, col, y)
+    assert loss(np.append(model.weights, model.bias)) < loss(np.append(np.zeros(3), -5.0))
+    scores, labels = np.round(r.random(200), 2), r.integers(0, 2, 200)
+    f1 = lambda t: 2 * labels[scores >= t].sum() / ((scores >= t).sum() + labels.sum())
+    assert f1(best_threshold(scores, labels)) == pytest.approx(max(f1(t) for t in scores))
+    m = Model(np.zeros(0, np.uint64), np.zeros(0), 0.0, 3.0)
+    assert m.calibrated(np.array([0.0, 0.5, 1.0])).tolist() == [0.0, 0.75, 1.0]
+    assert calibration(np.arange(3, dtype=np.uint64), soff, row, col, y, np.zeros(5, int)) == 1.0
