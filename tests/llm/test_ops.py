@@ -362,7 +362,8 @@ def test_contamination(spark, corpus, block):
 # --- 10 -----------------------------------------------------------------------------------------
 
 
-def test_url_filter(spark):
+@pytest.mark.parametrize("share", [None, 2])
+def test_url_filter(spark, share):
     from datetime import date
 
     from quarryline.llm.op10_urls import url_filter
@@ -370,9 +371,16 @@ def test_url_filter(spark):
     day = lambda n: date(2024, 1, n)
     entries = rows(spark, [("host", "A.com", day(5), "add"), ("host", "a.com", day(9), "remove"), ("host", "a.com", day(5), "add"), ("domain", "b.org", day(3), "ADD"), ("host", None, day(1), "add"), ("host", "c.net", day(2), "add"), ("host", "c.net", day(2), "remove")], "kind string, key string, day date, action string")
     cases = [("http://a.com/x", 4, False), ("https://u:p@A.com:80/x", 5, True), ("http://a.com", 8, True), ("http://a.com", 9, False), ("http://x.y.b.org/", 3, True), ("http://xb.org/", 9, False), ("http://www.a.com/", 6, False), ("http://c.net/", 3, False), (None, 6, False), ("no url", 6, False), ("http://b.org", None, False), ("http://b.org", 20, True), ("http://b.org", 20, True)]
+    # ways round a list
+    cases += [(u, 6, True) for u in ("http://a.com./x", "http://user@x@a.com/", "\thttp://a.com", "//a.com", "http:\\\\a.com\\x", "ht\ntp://a.c\tom/", "HTTP://A.COM", "http://a.com?x@y", "https://b.org:1/" + "y" * 100_000)]
+    cases += [("http://x@/", 6, False), ("http://a.com@z.com/", 6, False), ("http://[::1]:80/", 6, False), ("", 6, False)]
     captures = rows(spark, [(i, u, day(n) if n else None) for i, (u, n, _) in enumerate(cases)], "id long, url string, day date").withColumn("host", F.lit("clash"))
-    assert {x.id: x.blocked for x in url_filter(captures, entries).collect()} == {i: b for i, (_, _, b) in enumerate(cases)}
+    captures = captures.withColumns({x: F.col("id") for x in ("active", "salt", "late", "holds", "c", "n")}).withColumn("a.b", F.col("id")).withColumn("Entries", F.lit(0))
+    got = url_filter(captures, entries, share=share)
+    assert {x.id: x.blocked for x in got.collect()} == {i: b for i, (_, _, b) in enumerate(cases)}
+    assert all(x["a.b"] == x.id == x.active == x.c for x in got.collect()) and got.count() == len(cases)
     assert not any(x.blocked for x in url_filter(captures, entries.limit(0)).collect())
+    assert url_filter(captures.limit(0), entries).count() == 0
 
 
 # --- pipeline -----------------------------------------------------------------------------------
