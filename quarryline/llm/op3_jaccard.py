@@ -27,7 +27,7 @@ from math import comb
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import components, parallelism, written
@@ -159,14 +159,21 @@ def links_in_block(sig: np.ndarray, sets: list[np.ndarray], copies: np.ndarray,
     return linked, np.array([top(i) for i in range(n)])
 
 
+def row_key(doc_id: str, text: str) -> Column:
+    """A hash of a row's id and text: equal rows share it."""
+    return F.xxhash64(doc_id, text)
+
+
 def jaccard_classes(documents: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text", block_texts: int = BLOCK_TEXTS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(doc_id, class_id, copy_id, n_links) for every row.
+    """(doc_id, class_id, copy_id, n_links, row_key, class_key) for every row.
 
     copy_id: smallest doc_id with the same shingle set; class_id: smallest doc_id of those connected
-    by links; n_links: other rows whose similarity is the threshold or more, exact copies among them.
+    by links; n_links: other rows whose similarity is the threshold or more, exact copies among them;
+    row_key: ``row_key`` of the row; class_key: that of the row that stands for its class, null for a
+    text without words.
     """
     spark = documents.sparkSession
-    docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("row_key", row_key("doc_id", "text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,10 +184,11 @@ def jaccard_classes(documents: DataFrame, threshold: float = THRESHOLD, doc_id:
                 sig = np.empty(part.num_rows, object)
                 sig[:] = None
                 sig[some] = [r.tobytes() for r in minhashes(sets, off)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(class_keys(sets, off), mask=~some), pa.array(np.diff(utf8(part.column("text"))[1])), pa.array(sig.tolist(), pa.binary())], names=["doc_id", "cls", "bytes", "sig"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row_key"), pa.array(class_keys(sets, off), mask=~some), pa.array(np.diff(utf8(part.column("text"))[1])), pa.array(sig.tolist(), pa.binary())], names=["doc_id", "row_key", "cls", "bytes", "sig"])
 
-    signed = written(docs.mapInArrow(sign, f"doc_id {kind}, cls long, bytes long, sig binary"), "jaccard-signed")
-    classes = written(signed.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("copy_id"), F.count("*").alias("copies"), F.max("bytes").alias("bytes"), F.first("sig").alias("sig")), "jaccard-classes")
+    signed = written(docs.mapInArrow(sign, f"doc_id {kind}, row_key long, cls long, bytes long, sig binary").withColumn("r", F.monotonically_increasing_id()), "jaccard-signed")
+    named_row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")  # null ids come last
+    classes = written(signed.where("cls is not null").groupBy("cls").agg(F.min(named_row).alias("copy"), F.count("*").alias("copies"), F.max("bytes").alias("bytes"), F.first("sig").alias("sig")), "jaccard-classes")
     buckets = classes.select("cls", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.expr("sig").substr(b * 4 * ROWS + 1, F.lit(4 * ROWS))))).alias("bucket"))
     least = buckets.groupBy("bucket").agg(F.min("cls").alias("least"), F.max("cls").alias("most")).where("least < most").select("bucket", "least")
     groups = components(buckets.join(least, "bucket").where("cls <> least").select(F.col("cls").alias("u"), F.col("least").alias("v")))
@@ -193,8 +201,10 @@ def jaccard_classes(documents: DataFrame, threshold: float = THRESHOLD, doc_id:
     cells = F.when(F.col("blocks") == 1, F.array(F.struct(F.pmod(F.xxhash64("component"), F.lit(bins)).alias("g"), F.lit(-1).alias("i"), F.lit(-1).alias("j")))).otherwise(
         F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.col("component").alias("g"), F.least(o, F.col("block")).alias("i"), F.greatest(o, F.col("block")).alias("j")))
     )
-    texts = placed.alias("p").join(docs.alias("d"), F.expr("p.copy_id <=> d.doc_id"))
-    work = texts.select("component", "cls", "copies", "sig", "text", "block", F.explode(cells).alias("cell")).select("*", "cell.*").drop("cell")
+    # one text for each class, by the key of its row; equal rows are one before they travel
+    wanted = placed.select(F.col("copy.row_key").alias("row_key")).distinct()
+    texts = docs.join(wanted, "row_key", "left_semi").groupBy("row_key").agg(F.first("text").alias("text"))
+    work = placed.withColumn("row_key", F.col("copy.row_key")).join(texts, "row_key").select("component", "cls", "copies", "sig", "text", "block", F.explode(cells).alias("cell")).select("*", "cell.*").drop("cell")
     rule = least_agreements(threshold)
 
     def search(df: pd.DataFrame) -> pd.DataFrame:
@@ -215,11 +225,20 @@ def jaccard_classes(documents: DataFrame, threshold: float = THRESHOLD, doc_id:
     found = written(work.groupBy("g", "i", "j").applyInPandas(search, "cls long, root long, links long"), "jaccard-links")
     links = found.groupBy("cls").agg(F.sum("links").alias("links"))
     joined = components(found.select(F.col("cls").alias("u"), F.col("root").alias("v"))).withColumnRenamed("node", "cls")
-    named = joined.join(classes.select("cls", "copy_id"), "cls").groupBy("component").agg(F.min("copy_id").alias("class_id"))
-    of_class = joined.join(named, "component").select("cls", "class_id").join(links, "cls")
-    info = classes.select("cls", "copy_id", "copies").join(of_class, "cls", "left").select("cls", "copy_id", F.coalesce("class_id", "copy_id").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    return signed.select("doc_id", "cls").join(info, "cls", "left").select("doc_id", F.coalesce("class_id", F.when(F.col("cls").isNull(), F.col("doc_id"))).alias("class_id"), F.coalesce("copy_id", F.when(F.col("cls").isNull(), F.col("doc_id"))).alias("copy_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    named = joined.join(classes.select("cls", "copy"), "cls").groupBy("component").agg(F.min("copy").alias("class"))
+    of_class = joined.join(named, "component").select("cls", "class").join(links, "cls")
+    # a class of very many copies is dealt over salts; at most total / share classes have more than one
+    total = signed.count()
+    share = max(500, -(-total // parallelism(spark)))
+    salts = F.ceil(F.col("copies") / share).cast("int")
+    info = classes.select("cls", "copy", "copies").join(of_class, "cls", "left").select("cls", "copy", F.coalesce("class", "copy").alias("class"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    hot = classes.where(F.col("copies") > share).select("cls", salts.alias("salts"))
+    rows = signed.select("doc_id", "row_key", "cls", "r").join(F.broadcast(hot), "cls", "left").withColumn("salt", F.pmod(F.xxhash64("r"), F.coalesce("salts", F.lit(1))).cast("int"))
+    own = F.when(F.col("cls").isNull(), F.col("doc_id"))
+    return rows.join(info, ["cls", "salt"], "left").select(
+        "doc_id", F.coalesce("class.doc_id", own).alias("class_id"), F.coalesce("copy.doc_id", own).alias("copy_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "row_key", F.col("class.row_key").alias("class_key")
+    )
 
 
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return jaccard_classes(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("row_key", "class_key")

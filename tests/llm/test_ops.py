@@ -452,3 +452,27 @@ def test_noisy_or_and_gradient():
     m = Model(np.zeros(0, np.uint64), np.zeros(0), 0.0, 3.0)
     assert m.calibrated(np.array([0.0, 0.5, 1.0])).tolist() == [0.0, 0.75, 1.0]
     assert calibration(np.arange(3, dtype=np.uint64), soff, row, col, y, np.zeros(5, int)) == 1.0
+
+
+def test_jaccard_null_and_repeated_ids(spark):
+    """Rows are told apart by their keys: null ids and an id on several texts don't meet all rows of that id."""
+    from quarryline.llm.op3_jaccard import jaccard_classes
+
+    w = vocabulary(3, 60)
+    near = [" ".join([*w[:40], f"x{i}", *w[40:]]) for i in range(40)]  # any two share 0.8 or less, but all are near copies of the plain one
+    data = [(None, t) for t in near] + [(7, near[0]), (7, " ".join(w)), (7, "other words of its own entirely here"), (None, None)] + [(9, "again and again and again")] * 30
+    got = jaccard_classes(rows(spark, data)).collect()
+    assert len(got) == len(data)
+    sets = {t: shingles(t) for _, t in data}
+    links = lambda t: sum(1 for _, u in data if sets[t] and sets[u] and len(sets[t] & sets[u]) >= 0.8 * len(sets[t] | sets[u])) - 1
+    assert sorted((x.doc_id or 0, x.n_links) for x in got) == sorted((d or 0, max(0, links(t))) for d, t in data)
+    again = {(x.class_id, x.row_key == x.class_key, x.n_links) for x in got if x.doc_id == 9}
+    assert again == {(9, True, 29)}
+
+
+def test_pipeline_near_duplicates_by_row(spark):
+    import corpus_pipeline as p
+
+    docs = rows(spark, [(3, "a text of some words here"), (5, "a text of some words here"), (5, "another clean text with its words"), (6, ""), (6, ""), (8, "twice the same row of words"), (8, "twice the same row of words"), (None, "a text of some words here")])
+    out = p.drop_near_duplicates(spark, docs, DATA)
+    assert sorted((r.doc_id or 0, r.text) for r in out.collect()) == [(3, "a text of some words here"), (5, "another clean text with its words"), (6, ""), (6, ""), (8, "twice the same row of words")]
