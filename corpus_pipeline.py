@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quarryline.llm.labelled import held_out
 from quarryline.llm.op2_pack import pack_documents
-from quarryline.llm.op3_jaccard import jaccard_classes
+from quarryline.llm.op3_jaccard import jaccard_classes, row_key
 from quarryline.llm.op5_pii import masked, personal_data
 from quarryline.llm.op8_toxicity import REJECT, toxicity, train
 from quarryline.llm.op9_decontaminate import contamination, verdict
@@ -29,13 +29,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each connected group; equal rows of it count once. Texts without words and rows without a doc_id stay."""
-    classes = jaccard_classes(docs)
-    gone = classes.where("doc_id <> class_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    again = classes.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")  # rows that share a doc_id
-    once = kept.join(again, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id", "text"])
-    return kept.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(once)
+    """Keeps one row of each connected group, that with the smallest doc_id; equal rows of it count once. Texts without words stay."""
+    classes = written(jaccard_classes(docs).where("class_key is not null").groupBy("row_key").agg(F.first("class_key").alias("class_key"), F.count("*").alias("n")), "pipeline-classes")
+    keyed = docs.withColumn("_row_key", row_key("doc_id", "text"))
+    kept = keyed.join(classes.where("row_key <> class_key").select(F.col("row_key").alias("_row_key")), "_row_key", "left_anti")
+    again = classes.where("row_key = class_key and n > 1").select(F.col("row_key").alias("_row_key"))  # equal rows
+    once = kept.join(again, "_row_key", "left_semi").dropDuplicates(["_row_key"])
+    return kept.join(again, "_row_key", "left_anti").unionByName(once).select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
