@@ -14,9 +14,11 @@ def held_out(doc_id: str, folds: int, fold: int) -> Column:
 def training_rows(documents: DataFrame, labels: DataFrame, label: str, test: Column, most: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(text, y) of at most `most` labelled ids outside `test`: those whose hashed ids are smallest.
 
-    An id labelled several times counts once, with its largest label; null ids and labels are left
-    out. The sample of ids has a fixed bound, so it is broadcast.
+    An id labelled several times counts once, with its largest label, and an id on several texts with
+    one of them (that of the smallest hash); null ids and labels are left out. The sample of ids has a
+    fixed bound, so it is broadcast.
     """
     chosen = labels.where(F.col(doc_id).isNotNull() & F.col(label).isNotNull() & ~test).groupBy(doc_id).agg(F.max(label).cast("int").alias("y"))
     chosen = chosen.orderBy(F.xxhash64(doc_id), doc_id).limit(most)
-    return documents.select(F.col(doc_id), F.col(text).alias("text")).join(F.broadcast(chosen), doc_id).select(F.coalesce("text", F.lit("")).alias("text"), "y")
+    rows = documents.select(F.col(doc_id), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(chosen), doc_id)
+    return rows.groupBy(doc_id, "y").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("text", "y")

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import parallelism, written
+from .shared import parallelism, quoted, written
 
 _HOST = r"^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#]*@)?(\[[^\]/?#]*\]|[^/?#:@]*)"
 
@@ -64,7 +64,7 @@ def url_filter(captures: DataFrame, entries: DataFrame, url: str = "url", day: s
     share: captures of a host that one task takes, about; by default an even share of all, 500 at least.
     """
     mine = [c for c in captures.columns if c.lower() not in ("host", "entries", "blocked")]
-    c = captures.select(F.struct(*(F.col(f"`{x}`").alias(x) for x in mine)).alias("c"))
+    c = captures.select(F.struct(*(F.col(quoted(x)).alias(x) for x in mine)).alias("c"))
     c = c.select("c", host(F.col("c").getField(url)).alias("host"), F.col("c").getField(day).cast("date").alias("day"))
     counts = written(c.where("host is not null").groupBy("host").agg(F.count("*").alias("n")), "url-hosts")
     if share is None:

@@ -5,7 +5,9 @@ length is needed to decide the packing, so the plan is made from that histogram
 rows, whatever the corpus): large lengths go, in falling order, into groups of equal cardinality and
 are rounded up to their group's largest; sequences for the few rounded sizes are chosen by exact
 subset sums; the true lengths take the places of the rounded ones, and small pieces fill what is
-left by best fit. The plan says for each length which rank goes where; ranks are computed
+left by best fit. The scheme is
+run with a few numbers of groups and once as best fit alone, and the plan of fewest sequences is taken.
+The plan says for each length which rank goes where; ranks are computed
 distributedly, with each length dealt over many salts.
 
 Defined results: a null or empty text is one piece that holds the final id alone; every row gets its
@@ -28,8 +30,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .shared import parallelism, written
+from .shared import parallelism, quoted, written
 from .wordhash import pieces as batches_of
 
 CAPACITY = 2048
@@ -251,6 +254,12 @@ def pack_plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int =
     return done
 
 
+def best_plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS, small: float = SMALL) -> list[tuple[tuple[int, ...], int]]:
+    """The plan of fewest sequences among the grouping scheme's, the same with half as many groups and twice, and best fit of all lengths in falling order (the scheme without large ones)."""
+    tried = [(groups, small), (max(1, groups // 2), small), (2 * groups, small), (groups, 1.0)]
+    return min((pack_plan(histogram, capacity, g, s) for g, s in tried), key=lambda plan: sum(n for _, n in plan))
+
+
 def pack(pieces: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS, small: float = SMALL) -> DataFrame:
     """pieces (with doc_id, piece, start, length and any more) with sequence_id and offset. pieces is read twice: hand over a written table."""
     spark = pieces.sparkSession
@@ -259,7 +268,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS, smal
     counts = dealt.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
     histogram = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("_n")).collect()}  # at most `capacity` rows
     key, base, times, offset, next_rank, sequence = [], [], [], [], defaultdict(int), 0
-    for content, n in pack_plan(histogram, capacity, groups, small):
+    for content, n in best_plan(histogram, capacity, groups, small):
         at = 0
         for x in sorted(set(content), reverse=True):
             k = content.count(x)
@@ -271,7 +280,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS, smal
     plan = spark.sparkContext.broadcast(tuple(np.array(v, np.int64)[order] for v in (key, base, times, offset)))
     before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1))).select("length", "_salt", F.coalesce("_before", F.lit(0)).alias("_before"))
     ranked = dealt.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "ids_crc32")) - 1)
-    ranked = ranked.join(before, ["length", "_salt"]).withColumn("_rank", F.col("_rank") + F.col("_before")).select(*pieces.columns, "_rank")
+    ranked = ranked.join(before, ["length", "_salt"]).select(F.struct(*(F.col(quoted(c)).alias(c) for c in pieces.columns)).alias("doc"), "length", (F.col("_rank") + F.col("_before")).alias("_rank"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, base, times, offset = plan.value
@@ -280,10 +289,10 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS, smal
             want = (x << 44) + np.asarray(b.column("_rank"))
             row = np.searchsorted(key, want, "right") - 1
             i = want - key[row]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(base[row] + i // times[row]), pa.array(offset[row] + i % times[row] * x)], names=[*b.schema.names[:-1], "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array(base[row] + i // times[row]), pa.array(offset[row] + i % times[row] * x)], names=["doc", "sequence_id", "offset"])
 
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
-    return ranked.mapInArrow(place, f"{ddl}, sequence_id long, offset long")
+    schema = T.StructType([ranked.schema["doc"], T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    return ranked.mapInArrow(place, schema).select("doc.*", "sequence_id", "offset")
 
 
 def pack_documents(documents: DataFrame, capacity: int = CAPACITY, path: str | None = None, with_ids: bool = False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .labelled import held_out, training_rows
+from .shared import boxed, with_text
 from .wordhash import SPACED_LOW, grams, owner, pieces, utf8, whole, words
 
 #: Labelled documents that are learned from, at most.
@@ -195,14 +196,14 @@ def train(documents: DataFrame, labels: DataFrame, test=None, most: int = TRAIN,
 def quality(documents: DataFrame, model: Gam, text: str = "text") -> DataFrame:
     """documents with score, the likelihood of label 1, added."""
     held = documents.sparkSession.sparkContext.broadcast(model)
-    docs = documents.select([f"`{c}`" for c in documents.columns if c.lower() != "score"])
+    docs = boxed(documents, ["score"])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in pieces(batch, text):
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(held.value.score(figures(part.column(text))))], names=[*part.schema.names, "score"])
+        for batch in with_text(batches, text):
+            for part in pieces(batch, "text"):
+                yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(held.value.score(figures(part.column("text"))))], names=["doc", "score"])
 
-    return docs.mapInArrow(score, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
+    return docs.mapInArrow(score, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])).select("doc.*", "score")
 
 
 #: From this score on a document counts as good.

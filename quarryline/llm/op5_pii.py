@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import let
-from .shared import spread, written
+from .shared import boxed, quoted, spread, written
 
 #: Kinds in the order in which they are listed; the first four are the base.
 KINDS = ("email", "ip", "card", "phone", "secret", "id")
@@ -123,7 +123,7 @@ def _spans_of(text: Column, kind: str) -> Column:
 
 def scanned(documents: DataFrame, text: str = "text") -> DataFrame:
     """(id, doc: the row itself, text without null, seeds: spans by start, then kind)."""
-    whole = spread(documents).select(F.struct(*(F.col(f"`{c}`").alias(c) for c in documents.columns)).alias("doc")).withColumn("text", F.coalesce(F.col("doc").getField(text), F.lit("")))
+    whole = boxed(spread(documents), []).withColumn("text", F.coalesce(F.col("doc").getField(text), F.lit("")))
     each = whole.select("doc", "text", *(_spans_of(F.col("text"), kind).alias(kind) for kind in PATTERNS))
     return each.select(F.monotonically_increasing_id().alias("id"), "doc", F.array_sort(F.concat(*PATTERNS)).alias("seeds"))
 
@@ -303,7 +303,7 @@ def _listed(spans: Column) -> Column:
 
 def personal_data(documents: DataFrame, text: str = "text", rounds: int = ROUNDS, sure: float = SURE, support: int = SUPPORT, floor: float = FLOOR) -> DataFrame:
     """documents with base and spans (array<struct<s, k, e>>, k the place in KINDS) added: the contract's spans, and all."""
-    docs = documents.select([documents[f"`{c}`"] for c in documents.columns if c.lower() not in ("base", "spans")])
+    docs = documents.select([F.col(quoted(c)) for c in documents.columns if c.lower() not in ("base", "spans")])
     seen = written(scanned(docs, text), "pii")  # the ids are settled by writing them
     seen = seen.withColumn("text", F.coalesce(F.col("doc").getField(text), F.lit("")))
     hits = discovered(seen.select("id", "text", "seeds"), rounds, sure, support, floor)

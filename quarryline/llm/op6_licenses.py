@@ -25,8 +25,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .op3_jaccard import _factors
+from .shared import boxed, with_text
 from .wordhash import ALNUM_LOW, grams, pieces, utf8, words
 
 SHINGLE, CONTAINED, MISS = 5, 0.8, 1e-6
@@ -129,21 +131,21 @@ class Templates:
 def licenses(documents: DataFrame, templates: dict[str, str] | None = None, text: str = "text", contained: float = CONTAINED, miss: float = MISS) -> DataFrame:
     """documents with n_words and found: array<struct<license, start, end>> (words) added. The templates are a stated, small set that every worker gets."""
     held = documents.sparkSession.sparkContext.broadcast(Templates(TEMPLATES if templates is None else templates, contained, miss))
-    docs = documents.drop("n_words", "found")
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", n_words long, found array<struct<license:string,start:long,end:long>>"
+    docs = boxed(documents, ["n_words", "found"])
+    schema = T.StructType(docs.schema.fields + T.StructType.fromDDL("n_words long, found array<struct<license:string,start:long,end:long>>").fields)
     kind = pa.list_(pa.struct([("license", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = held.value
-        for batch in batches:
-            for part in pieces(batch, text):
-                h, _, _, woff = words(*utf8(part.column(text)), ALNUM_LOW)
+        for batch in with_text(batches, text):
+            for part in pieces(batch, "text"):
+                h, _, _, woff = words(*utf8(part.column("text")), ALNUM_LOW)
                 found: list = [[] for _ in range(part.num_rows)]
                 for d, i, s, e in t.found(h, woff):
                     found[d].append({"license": t.names[i], "start": s - int(woff[d]), "end": e - int(woff[d])})
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.diff(woff)), pa.array(found, kind)], names=[*part.schema.names, "n_words", "found"])
+                yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(np.diff(woff)), pa.array(found, kind)], names=["doc", "n_words", "found"])
 
-    return docs.mapInArrow(scan, ddl)
+    return docs.mapInArrow(scan, schema).select("doc.*", "n_words", "found")
 
 
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,9 @@ by a hash of their own instead.
 
 Defined results: a null, empty or blank text has no words; rows with a null doc_id neither lose words
 nor make others lose them; rows of one doc_id are judged alike against smaller doc_ids only; equal rows
-get equal results; an empty table gives no rows; other columns aren't read.
+get equal results; an empty table gives no rows; other columns, of any name, pass through ``without_repeats``,
+but for those named like its results. A row is known by a 64-bit hash of its id and text, a word within a
+segment by 32 bits, and segments meet by 64-bit hashes of 5 words.
 """
 
 from __future__ import annotations
@@ -29,9 +31,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .op9_decontaminate import winnow
-from .shared import parallelism, written
+from .shared import boxed, parallelism, written
 from .wordhash import SPACED, grams, mix, pieces, utf8, whole, words
 
 WINDOW, GRAM = 13, 5
@@ -217,14 +220,14 @@ def repeated_words(documents: DataFrame, doc_id: str = "doc_id", text: str = "te
 
 def without_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """documents with n_words, n_removed and kept (the words that stay, joined by one space) added; columns of these names are replaced."""
-    docs = documents.drop("n_words", "n_removed", "kept", "_key", "gone")
-    both = docs.withColumn("_key", F.xxhash64(doc_id, text)).join(repeated_words(documents, doc_id, text), "_key", "left").drop("_key")
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", n_words long, n_removed long, kept string"
+    packed = boxed(documents, ["n_words", "n_removed", "kept"]).withColumn("text", F.col("doc").getField(text)).withColumn("_key", F.xxhash64(F.col("doc").getField(doc_id), "text"))
+    both = packed.join(repeated_words(documents, doc_id, text), "_key", "left").drop("_key")
+    schema = T.StructType([packed.schema["doc"], *T.StructType.fromDDL("n_words long, n_removed long, kept string").fields])
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, text):
-                data, off = utf8(part.column(text))
+            for part in pieces(batch, "text"):
+                data, off = utf8(part.column("text"))
                 _, s, e, woff = words(data, off, SPACED)
                 lists = part.column("gone")
                 n = np.asarray(pc.list_value_length(lists).fill_null(0)).astype(np.int64)
@@ -243,10 +246,9 @@ def without_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
                         kept.append(b" ".join(raw[off[d] : off[d + 1]].split()))
                     else:
                         kept.append(b" ".join(raw[i:j] for i, j in zip(s[a:z][~g].tolist(), e[a:z][~g].tolist(), strict=True)))
-                columns = [c for c, name in zip(part.columns, part.schema.names, strict=True) if name != "gone"]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.diff(woff)), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=[*(x for x in part.schema.names if x != "gone"), "n_words", "n_removed", "kept"])
+                yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(np.diff(woff)), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc", "n_words", "n_removed", "kept"])
 
-    return both.mapInArrow(keep, ddl)
+    return both.mapInArrow(keep, schema).select("doc.*", "n_words", "n_removed", "kept")
 
 
 def op7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:

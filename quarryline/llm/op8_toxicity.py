@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .labelled import held_out, training_rows
-from .shared import written
+from .shared import boxed, with_text, written
 from .wordhash import ALNUM_LOW, pieces, utf8, words
 
 #: Labelled documents that are learned from, at most, and features that get a weight.
@@ -210,28 +210,28 @@ RESULT = [("score", "double"), ("sentences", "array<struct<start:long,end:long,s
 def toxicity(documents: DataFrame, model: Model, text: str = "text", offending: float = 0.5) -> DataFrame:
     """documents with score and sentences (code points and scores of the sentences from `offending` on) added."""
     held = documents.sparkSession.sparkContext.broadcast(model)
-    names = {x for x, _ in RESULT}
-    docs = documents.select([f"`{c}`" for c in documents.columns if c.lower() not in names])
+    names = [x for x, _ in RESULT]
+    docs = boxed(documents, names)
     schema = T.StructType(docs.schema.fields + T.StructType.fromDDL(", ".join(f"{a} {t}" for a, t in RESULT)).fields)
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
-        for batch in batches:
-            for part in pieces(batch, text):
-                soff, kinds, sentence, first, end, data = bags(part.column(text))
+        for batch in with_text(batches, text):
+            for part in pieces(batch, "text"):
+                soff, kinds, sentence, first, end, data = bags(part.column("text"))
                 raw = model.sentences(kinds, sentence, len(first))
                 p = model.calibrated(raw)
                 found: list = [[] for _ in range(part.num_rows)]
                 if len(bad := np.flatnonzero(p >= offending)):
                     points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
                     doc = np.searchsorted(soff, bad, "right") - 1
-                    base = points[utf8(part.column(text))[1][doc]]
+                    base = points[utf8(part.column("text"))[1][doc]]
                     for d, a, z, x in zip(doc.tolist(), (points[first[bad]] - base).tolist(), (points[end[bad]] - base).tolist(), p[bad].tolist(), strict=True):
                         found[d].append({"start": a, "end": z, "score": x})
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model.calibrated(noisy_or(raw, soff))), pa.array(found, kind)], names=[*part.schema.names, *(x for x, _ in RESULT)])
+                yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(model.calibrated(noisy_or(raw, soff))), pa.array(found, kind)], names=["doc", *(x for x, _ in RESULT)])
 
-    return docs.mapInArrow(score, schema)
+    return docs.mapInArrow(score, schema).select("doc.*", *(x for x, _ in RESULT))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

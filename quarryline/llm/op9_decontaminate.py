@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import boxed, with_text
 from .wordhash import ALNUM_LOW, grams, owner, pieces, utf8, whole, words
 
 WINDOW, GRAM = 13, 5
@@ -115,14 +116,13 @@ def contamination(documents: DataFrame, benchmark: DataFrame, text: str = "text"
     for k in range(n):
         rows = b.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).orderBy("i", "t").collect()
         blocks.append(spark.sparkContext.broadcast(Index([tuple(r) for r in rows])))
-    names = {x for x, _ in RESULT}
-    docs = documents.select([f"`{c}`" for c in documents.columns if c.lower() not in names])
+    docs = boxed(documents, [x for x, _ in RESULT])
     schema = T.StructType(docs.schema.fields + T.StructType.fromDDL(", ".join(f"{a} {t}" for a, t in RESULT)).fields)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in pieces(batch, text):
-                h, _, _, woff = words(*utf8(part.column(text)), ALNUM_LOW)
+        for batch in with_text(batches, text):
+            for part in pieces(batch, "text"):
+                h, _, _, woff = words(*utf8(part.column("text")), ALNUM_LOW)
                 found = []
                 for k, block in enumerate(blocks):
                     index = block.value
@@ -145,11 +145,11 @@ def contamination(documents: DataFrame, benchmark: DataFrame, text: str = "text"
                     x = np.diff(np.concatenate([[0], hit[woff[d] : woff[d + 1]].astype(np.int8), [0]]))
                     spans[d] = [{"start": s, "end": e} for s, e in zip(np.flatnonzero(x == 1).tolist(), np.flatnonzero(x == -1).tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array(np.diff(woff)), pa.array(n_hit), pa.array([sorted(s) for s in which], pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
-                    names=[*part.schema.names, *(x for x, _ in RESULT)],
+                    [part.column("doc"), pa.array(np.diff(woff)), pa.array(n_hit), pa.array([sorted(s) for s in which], pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
+                    names=["doc", *(x for x, _ in RESULT)],
                 )
 
-    return docs.mapInArrow(score, schema)
+    return docs.mapInArrow(score, schema).select("doc.*", *(x for x, _ in RESULT))
 
 
 def verdict(n_hit: str = "n_hit", n_words: str = "n_words"):

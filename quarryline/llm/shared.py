@@ -2,12 +2,34 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.scratch import shared_dir, written
 
-__all__ = ["components", "parallelism", "shared_dir", "spread", "written"]
+__all__ = ["boxed", "components", "parallelism", "quoted", "shared_dir", "spread", "with_text", "written"]
+
+
+def quoted(name: str) -> str:
+    """A column's name as it can be selected, whatever signs it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def boxed(documents: DataFrame, results: Iterable[str]) -> DataFrame:
+    """(doc): the columns of each row but for those named like the results, as one, so that no name of theirs can clash."""
+    names = {x.lower() for x in results}
+    return documents.select(F.struct(*(F.col(quoted(c)).alias(c) for c in documents.columns if c.lower() not in names)).alias("doc"))
+
+
+def with_text(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
+    """Batches of boxed rows with the field of that name beside them, as column text."""
+    for batch in batches:
+        doc = batch.column("doc")
+        names = [doc.type.field(i).name for i in range(doc.type.num_fields)]
+        yield pa.RecordBatch.from_arrays([doc, doc.flatten()[names.index(text)]], names=["doc", "text"])
 
 
 def parallelism(spark: SparkSession) -> int:

@@ -476,3 +476,74 @@ def test_pipeline_near_duplicates_by_row(spark):
     docs = rows(spark, [(3, "a text of some words here"), (5, "a text of some words here"), (5, "another clean text with its words"), (6, ""), (6, ""), (8, "twice the same row of words"), (8, "twice the same row of words"), (None, "a text of some words here")])
     out = p.drop_near_duplicates(spark, docs, DATA)
     assert sorted((r.doc_id or 0, r.text) for r in out.collect()) == [(3, "a text of some words here"), (5, "another clean text with its words"), (6, ""), (6, ""), (8, "twice the same row of words")]
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_packing_is_no_worse_than_best_fit(seed):
+    """No more sequences than plain best fit in falling order, piece by piece."""
+    from bisect import bisect_left, insort
+    from collections import Counter
+
+    from quarryline.llm.op2_pack import best_plan
+
+    r = random.Random(seed)
+    lengths = [min(2048, 1 + int(r.expovariate(1 / r.choice([50, 300, 900, 1500])))) for _ in range(r.choice([300, 4000]))]
+    rooms, bins = [], 0
+    for x in sorted(lengths, reverse=True):
+        k = bisect_left(rooms, x)
+        if k == len(rooms):
+            bins += 1
+            room = 2048
+        else:
+            room = rooms.pop(k)
+        insort(rooms, room - x)
+    plan = best_plan(dict(Counter(lengths)))
+    used = Counter()
+    for content, n in plan:
+        assert sum(content) <= 2048
+        for x in content:
+            used[x] += n
+    assert used == Counter(lengths) and sum(n for _, n in plan) <= bins
+
+
+def test_licenses_and_packing_with_odd_columns(spark):
+    """Names with backticks, dots and the results' own names; a very long text; rows that repeat; no rows."""
+    from quarryline.llm.op2_pack import pack
+    from quarryline.llm.op6_licenses import licenses
+
+    data = [(1, "x " * 200_000 + "Released under the MIT License. " + "y " * 10), (2, None), (2, None)]
+    df = rows(spark, data).withColumn("a`b.c", F.lit(5)).withColumn("Found", F.lit("clash")).withColumn("n_words", F.lit("clash"))
+    got = licenses(df).collect()
+    assert [[f.license for f in x.found] for x in got] == [["mit-line"], [], []] and all(x["a`b.c"] == 5 for x in got)
+    assert licenses(df.limit(0)).count() == 0
+    pieces = spark.createDataFrame([(1, 0, 0, 2000, 5), (1, 1, 2000, 48, 6), (None, 0, 0, 48, 7)], "doc_id long, piece int, start long, length long, ids_crc32 long").withColumn("a`b.c", F.lit(5))
+    assert sorted((x.sequence_id, x.offset, x.length) for x in pack(pieces).collect())[:2] == [(0, 0, 2000), (0, 2000, 48)]
+
+
+def test_odd_columns_pass_through(spark):
+    """Names that operators use inside, names with dots and backticks, and the results' own names in other cases."""
+    from quarryline.llm.op4_quality import quality
+    from quarryline.llm.op4_quality import train as train_quality
+    from quarryline.llm.op5_pii import personal_data
+    from quarryline.llm.op7_passages import without_repeats
+    from quarryline.llm.op9_decontaminate import contamination
+
+    df = rows(spark, [(1, "some words a@b.cc here"), (2, None), (2, None)]).withColumn("a`b.c", F.lit(5))
+    names = ["_email", "_key", "gone", "doc", "seeds", "id", "_m_card", "x", "_row_key", "w"]
+    df = df.withColumns({n: F.lit(n) for n in names}).withColumns({"Base": F.lit(0), "SCORE": F.lit(0), "Kept": F.lit(0), "N_hit": F.lit(0)})
+    bench = rows(spark, [(1, "some words")], "item_id long, text string")
+    model = train_quality(rows(spark, []), rows(spark, [], "doc_id long, quality int"))
+    for out in (personal_data(df), without_repeats(df), contamination(df, bench), quality(df, model)):
+        got = out.collect()
+        assert len(got) == 3 and all(r[n] == n for r in got for n in names) and all(r["a`b.c"] == 5 for r in got)
+
+
+def test_pii_of_a_very_long_text(spark):
+    import time
+
+    from quarryline.llm.op5_pii import masked, personal_data
+
+    text = " ".join(f"u{i}@mail.org" for i in range(100_000))
+    begun = time.time()
+    got = personal_data(rows(spark, [(1, text)])).select(F.size("base").alias("n"), F.length(masked(F.col("text"), F.col("spans"))).alias("m")).first()
+    assert (got.n, got.m) == (100_000, 100_000 * 8 - 1) and time.time() - begun < 120
