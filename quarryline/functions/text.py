@@ -142,6 +142,10 @@ def frontmatter_block(s: Column) -> Column:
     return F.regexp_extract(_c(s), r"(?s)\A---\s*\n(.*?)\n---\s*\n", 1)
 
 
+def distinct_lines(s: Column) -> Column:  # U2: repeated lines go where they are more than a fifth
+    return let(F.split(_c(s), "\n"), lambda ls: let(F.array_distinct(ls), lambda d: F.when(F.size(d) < F.size(ls) * 0.8, F.array_join(d, "\n")).otherwise(_c(s))))
+
+
 def _listed_after(s: Column, name: str) -> Column:
     return F.filter(F.transform(F.split(F.regexp_extract(s, rf"(?s)\*\*{name}\*\*:\s*(.+?)(?:\n\n|\n\*\*|\z)", 1), ","), trimmed), lambda t: t != "")
 

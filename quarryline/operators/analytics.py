@@ -147,6 +147,10 @@ def active_jobs(jobs: DataFrame, most: int = 50) -> DataFrame:  # P17, S3
     return jobs.where(F.col("status").isin("pending", "processing")).withColumn("doc_id", ids).orderBy(F.col("created_at").desc_nulls_first(), "job_id").limit(most)
 
 
+def job_fields(jobs: DataFrame, *fields: str) -> DataFrame:  # P16: fields of the result's JSON as columns
+    return jobs.select("job_id", *(F.get_json_object("result_data", f"$.{f}").alias(f) for f in fields))
+
+
 def job_millis(started: Column, completed: Column, as_of: Column) -> Column:
     return F.unix_millis(F.coalesce(completed, as_of).cast("timestamp")) - F.unix_millis(started.cast("timestamp"))
 

@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .sections import section_rule
 
 MIN_CHARS, TARGET_CHARS, MAX_CHARS = 1800, 2400, 3000
 MIN_TOKENS, MAX_TOKENS, OVERLAP = 800, 1200, 0.175
@@ -81,12 +82,15 @@ def page_slices(text: Column, n_pages: Column) -> Column:  # IO8: equal slices,
     return F.transform(F.sequence(F.lit(0), F.greatest(n_pages, F.lit(1)) - 1), lambda i: F.struct((i + 1).alias("page_number"), text.substr(i * size + 1, size).alias("text")))
 
 
-def sections_merged(sections: Column, least: int = MIN_TOKENS) -> Column:  # T5: small neighbours that aren't of a higher rank join
+def sections_merged(sections: Column, least: int = MIN_TOKENS, structure: Column | None = None) -> Column:  # T5
+    """Small neighbours that aren't of a higher rank join. With a structure, critical sections don't, and a section's own rule says what is small."""
     kind = "array<struct<level:int,title:string,content:string,start_line:int,end_line:int>>"
 
     def put(a: Column, s: Column) -> Column:
         last = F.try_element_at(a, F.lit(-1))
-        joins = (F.size(a) > 0) & (X.token_estimate(last["content"]) + X.token_estimate(s["content"]) < least) & (s["level"] >= last["level"])
+        heading = F.concat(F.repeat(F.lit("#"), s["level"]), F.lit(" "), s["title"])
+        rule = section_rule(structure, heading, least) if structure is not None else F.struct(F.lit(False).alias("critical"), F.lit(least).alias("least"))
+        joins = (F.size(a) > 0) & ~rule["critical"] & (X.token_estimate(last["content"]) + X.token_estimate(s["content"]) < rule["least"]) & (s["level"] >= last["level"])
         both = F.struct(last["level"].alias("level"), last["title"].alias("title"), F.concat(last["content"], F.lit("\n\n"), s["content"]).alias("content"), last["start_line"].alias("start_line"), s["end_line"].alias("end_line"))
         return F.when(joins, F.concat(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), F.array(both))).otherwise(F.concat(a, F.array(s))).cast(kind)
 
@@ -180,6 +184,15 @@ def token_chunks(sections: DataFrame, least: int = MIN_TOKENS, most: int = MAX_T
     return sections.select("doc_id", "sections").mapInPandas(run, f"doc_id {kind}, chunk_index int, section_path string, text string, token_count int")
 
 
+def united(metadata: DataFrame, summary: DataFrame, body: DataFrame) -> DataFrame:  # U3
+    """(doc_id, kind, chunk_index, text): a document's metadata chunk, its summary if there is one, then its body chunks. body: doc_id, n, text."""
+    own = [df.select("doc_id", F.lit(k).alias("kind"), F.lit(0).cast("long").alias("n"), "text") for k, df in enumerate((metadata, summary))]
+    rows = own[0].unionByName(own[1]).unionByName(body.select("doc_id", F.lit(2).alias("kind"), F.col("n").cast("long").alias("n"), "text")).where("text is not null")
+    names = F.array(F.lit("metadata"), F.lit("summary"), F.lit("body"))
+    index = F.row_number().over(Window.partitionBy("doc_id").orderBy("kind", "n")) - 1
+    return rows.select("doc_id", F.get(names, F.col("kind")).alias("kind"), index.alias("chunk_index"), "text")
+
+
 def metadata_chunk(title: Column, type_: Column, date: Column, tags: Column, actors: Column, identifiers: Column) -> Column:  # T9
     part = lambda name, v: F.when(F.coalesce(v, F.lit("")) != "", F.concat(F.lit(f"{name}: "), v))
     entries = F.array_join(F.transform(F.array_sort(F.map_entries(identifiers)), lambda e: F.concat(e["key"], F.lit(": "), e["value"])), ", ")

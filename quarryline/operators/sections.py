@@ -168,8 +168,37 @@ def first_claims(sections_: Column, n: int = 3) -> Column:  # T16
     return F.transform(F.slice(F.regexp_extract_all(content, F.lit(r"(?ms)^\d+\.\s+.+?(?=^\d+\.|\z)"), F.lit(0)), 1, n), X.trimmed)
 
 
-def is_critical(title: Column, patterns: list[str]) -> Column:  # T17; the reference's patterns want a leading # that titles don't have (Q1)
-    test = F.lit(False)
-    for p in patterns:
-        test = test | title.rlike(p)
-    return test
+# Headings by structure that matter, whether their sections are never merged, and their own least tokens.
+_ABSTRACT = (r"(?i)^#{1,3}\s*Abstract\s*\z", True, 100)
+_PAPER = [
+    _ABSTRACT,
+    (r"(?i)^#{1,3}\s*Introduction\s*\z", False, None),
+    (r"(?i)^#{1,3}\s*(Methods?|Methodology|Materials\s*and\s*Methods)\s*\z", True, 200),
+    (r"(?i)^#{1,3}\s*Results\s*\z", True, 200),
+    (r"(?i)^#{1,3}\s*Discussion\s*\z", False, None),
+    (r"(?i)^#{1,3}\s*Conclusions?\s*\z", True, 150),
+    (r"(?i)^#{1,3}\s*References\s*\z", False, None),
+]
+SECTION_RULES = {
+    "patent": [
+        _ABSTRACT,
+        (r"(?i)^#{1,3}\s*(Claims?|What is claimed)\s*\z", True, 200),
+        (r"(?i)^#{1,3}\s*Summary\s*(of\s*(the\s*)?Invention)?\s*\z", True, 150),
+        (r"(?i)^#{1,3}\s*Technical\s*Field\s*\z", False, None),
+        (r"(?i)^#{1,3}\s*Background(\s*of\s*(the\s*)?Invention)?\s*\z", False, None),
+        (r"(?i)^#{1,3}\s*Brief\s*Description\s*(of\s*(the\s*)?Drawings)?\s*\z", False, None),
+        (r"(?i)^#{1,3}\s*Detailed\s*Description\s*\z", False, None),
+    ],
+    "paper": _PAPER,
+    "arxiv": [*_PAPER, (r"(?i)^#{1,3}\s*Related\s*Work\s*\z", False, None), (r"(?i)^#{1,3}\s*Experiments?\s*\z", True, 200)],
+}
+
+
+def section_rule(structure: Column, heading: Column, least: int) -> Column:  # T17: struct(critical, least)
+    """By the first rule that fits. Rules want a heading's # marks: a bare title fits none (Q1)."""
+    rule = lambda critical, n: F.struct(F.lit(critical).alias("critical"), F.lit(least if n is None else n).alias("least"))
+    out = rule(False, None)
+    for kind, rules in SECTION_RULES.items():
+        for pattern, critical, n in reversed(rules):
+            out = F.when((structure == kind) & heading.rlike(pattern), rule(critical, n)).otherwise(out)
+    return out

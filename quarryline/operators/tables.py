@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,6 +38,14 @@ def missing_any(df: DataFrame, *columns: str) -> DataFrame:  # P5
     return df.where(test)
 
 
+def present(df: DataFrame, *columns: str) -> DataFrame:  # P4
+    return df.where(reduce(and_, (F.col(c).isNotNull() for c in columns)))
+
+
+def owned(df: DataFrame, owner: str, user, is_admin: bool = False) -> DataFrame:  # P23: an admin sees all rows, others their own
+    return df if is_admin else df.where(F.col(owner) == user)
+
+
 def like_any(q: str, *columns: str) -> Column:  # P6: % and _ in q stay wildcards
     test = F.lit(False)
     for c in columns:
@@ -66,6 +77,14 @@ def page(df: DataFrame, offset: int, limit: int, *order) -> DataFrame:  # A8, S1
     return df.orderBy(*order).offset(offset).limit(limit).join(F.broadcast(total)).withColumn("has_more", F.col("total") > offset + limit)
 
 
+def counted(df: DataFrame) -> DataFrame:  # A7: the number of rows, and none of them
+    return df.agg(F.count("*").alias("total"))
+
+
+def by_weight(df: DataFrame, weight: str, *ties: str) -> DataFrame:  # S5: no weight counts as 1
+    return df.orderBy(F.coalesce(F.col(weight), F.lit(1.0)), *ties)
+
+
 def newest_first(column: str) -> Column:  # S1: nulls first, as the reference's database has it
     return F.col(column).desc_nulls_first()
 

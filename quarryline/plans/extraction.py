@@ -162,11 +162,16 @@ def stitch_chunks(t):
     return t.documents.select("doc_id", E.stitched(parts).alias("text"))
 
 
-_NORMAL = _r(
-    "text || chr(10) || '##Head' || chr(13) || chr(10) || '*item  ' || chr(10) || chr(10) || chr(10) || chr(10) || '3.end' || chr(10)",
-    ("\\r\\n?", "\n", "g"), ("\\n{3,}", "\n\n", "g"), ("([^\\n])\\n(#{1,6}\\s)", "\\1\n\n\\2", "g"), ("(#{1,6}\\s[^\\n]+)\\n([^\\n#])", "\\1\n\n\\2", "g"),
-    ("(?m)^(#{1,6})([^\\s#])", "\\1 \\2", "g"), ("(?m)^[*\\-+]\\s*", "- ", "g"), ("(?m)^(\\d+\\.)\\s*", "\\1 ", "g"), ("(?m)[^\\S\\n]+$", "", "g"), ("^\\s+|\\s+$", "", "g"),
-)
+def normal(text: str) -> str:
+    """SQL of the Markdown rewrites over an expression."""
+    return _r(
+        text,
+        ("\\r\\n?", "\n", "g"), ("\\n{3,}", "\n\n", "g"), ("([^\\n])\\n(#{1,6}\\s)", "\\1\n\n\\2", "g"), ("(#{1,6}\\s[^\\n]+)\\n([^\\n#])", "\\1\n\n\\2", "g"),
+        ("(?m)^(#{1,6})([^\\s#])", "\\1 \\2", "g"), ("(?m)^[*\\-+]\\s*", "- ", "g"), ("(?m)^(\\d+\\.)\\s*", "\\1 ", "g"), ("(?m)[^\\S\\n]+$", "", "g"), ("^\\s+|\\s+$", "", "g"),
+    )
+
+
+_NORMAL = normal("text || chr(10) || '##Head' || chr(13) || chr(10) || '*item  ' || chr(10) || chr(10) || chr(10) || chr(10) || '3.end' || chr(10)")
 
 
 @query(f"SELECT doc_id, {_NORMAL} || chr(10) AS md FROM documents")
