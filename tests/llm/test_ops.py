@@ -54,7 +54,7 @@ def test_top_k(spark):
     v += [(1000 + i, v[100][1]) for i in range(40)]  # ties
     v += [(5, None), (6, [1.0, None] + [0.0] * 6), (7, [float("nan")] * 8), (8, []), (9, [float("inf")] * 8), (11, [1.0, 2.0]), (300, [3.0, 1.0]), (None, v[0][1]), v[200]]
     df = rows(spark, v, "vec_id long, embedding array<double>").withColumn("rank", F.lit("clash"))
-    got = {(x.query_id, x.rank): (x.vec_id, x.score) for x in top_k(df, F.coalesce(F.col("vec_id") % 100 == 0, F.lit(False)), cell_vectors=64, cell_queries=2).collect()}
+    got = {(x.query_id, x.rank): (x.vec_id, x.score) for x in top_k(df, F.coalesce(F.col("vec_id") % 100 == 0, F.lit(False)), cell_bytes=512, query_bytes=128).collect()}
     good = {(i, tuple(np.floor(1024 * np.array(x)).astype(int).tolist())) for i, x in v if i is not None and x and None not in x and np.isfinite(x).all()}
     want = {}
     for q, a in good:
