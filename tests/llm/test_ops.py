@@ -547,3 +547,92 @@ def test_pii_of_a_very_long_text(spark):
     begun = time.time()
     got = personal_data(rows(spark, [(1, text)])).select(F.size("base").alias("n"), F.length(masked(F.col("text"), F.col("spans"))).alias("m")).first()
     assert (got.n, got.m) == (100_000, 100_000 * 8 - 1) and time.time() - begun < 120
+
+
+def test_pii_recall(spark):
+    """Identifiers of other kinds, without digits, in the contexts that known kinds share: 0.9 of them or more are found, and ordinary words aren't."""
+    from quarryline.llm.op5_pii import personal_data
+
+    r, v = random.Random(11), vocabulary(12, 500)
+    noise = lambda n: " ".join(r.choice(v) for _ in range(n))
+    contexts = ["please contact me at {} today", "user = \"{}\" logged in", "reply to: {}", "my account {} was closed", "send it to <{}> soon", "signed up as {} yesterday", "the handle ({}) belongs to", "login: {} password"]
+    seed = lambda i: r.choice([f"u{i}.x@mail.org", f"+1 (222) 333-{1000 + i}", f"10.0.{i % 250}.{i % 200}", f"n{i}@corp.example.com"])
+    name = lambda: "".join(r.choice("klmnopqrst") for _ in range(9)) + r.choice(["", "_x", ".q"])
+    data, want = [], {}
+    for i in range(1200):
+        known = i % 10 < 9  # a pattern that stands on one side alone is sure where 0.8 of its fillers are known
+        x = seed(i) if known else name()
+        data.append((i, f"{noise(r.randint(5, 60))} {r.choice(contexts).format(x)} {noise(r.randint(5, 60))}"))
+        if not known:
+            want[i] = x
+    data += [(5000 + i, noise(80)) for i in range(300)]
+    found = {x.doc_id: [x.text[s.s : s.e] for s in x.spans if s.k == 5] for x in personal_data(rows(spark, data)).collect()}
+    hit = sum(found[i] == [x] for i, x in want.items())
+    assert hit >= 0.9 * len(want)
+    assert not any(found[i] for i in found if i >= 5000)
+
+
+# --- 4, plain versions --------------------------------------------------------------------------
+
+
+def test_gam_against_a_plain_one():
+    """Scores by a loop over tables, the best cut by trying all, and boosting that lowers the loss."""
+    from quarryline.llm.op4_quality import Gam, _cut, fit
+
+    r = np.random.default_rng(2)
+    x = r.normal(size=(400, 4))
+    y = ((x[:, 0] > 0) ^ (x[:, 1] > 0.3)).astype(float)
+    model = fit(x, y, rounds=40)
+
+    def plain(row):
+        z = model.base
+        bins = [sum(row[i] >= c for c in model.cuts[i]) for i in range(4)]
+        z += sum(model.main[i][bins[i]] for i in range(4))
+        z += sum(t[model.coarse[i][bins[i]]][model.coarse[j][bins[j]]] for i, j, t in model.pairs)
+        return 1 / (1 + np.exp(-z))
+
+    got = model.score(x)
+    assert got == pytest.approx([plain(row) for row in x])
+    flat = Gam(model.base, model.cuts, model.main, model.coarse, [])
+    loss = lambda p: -(y * np.log(p) + (1 - y) * np.log(1 - p)).mean()
+    assert loss(got) < loss(flat.score(x)) < loss(np.full(400, y.mean())) + 1e-9  # the interaction is what tells here
+    assert ((got > 0.5) == y).mean() > 0.9
+    g, h = r.normal(size=9), r.random(9) + 0.1
+    value = lambda a, b: g[a:b].sum() / (h[a:b].sum() + 2.0)
+    worth = lambda a, b: g[a:b].sum() ** 2 / (h[a:b].sum() + 2.0)
+    k = max(range(1, 9), key=lambda k: worth(0, k) + worth(k, 9))
+    assert _cut(g, h, 2, 2.0) == pytest.approx([value(0, k)] * k + [value(k, 9)] * (9 - k))
+
+
+def test_quality_of_repeated_rows(spark):
+    """Equal rows score alike, and an id on several texts teaches once."""
+    from quarryline.llm.labelled import training_rows
+    from quarryline.llm.op4_quality import quality, train
+
+    data = [(i, "plain words of a kind " * 5 if i % 2 else "JUNK!! | $$$ JUNK!! " * 5) for i in range(60)]
+    labels = rows(spark, [(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    twice = data + data + [(1, "another text of that id")] * 3
+    assert training_rows(rows(spark, twice), labels, "quality", F.lit(False), 50).count() == 50
+    got = quality(rows(spark, twice), train(rows(spark, twice), labels)).collect()
+    assert len(got) == len(twice) and len({(x.text, x.score) for x in got}) == len({x.text for x in got})
+
+
+def test_pipeline_packing(spark):
+    """The last stage against the tokenizer, document by document."""
+    import corpus_pipeline as p
+    from quarryline.llm.op2_pack import tokenizer_path
+    from tokenizers import Tokenizer
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    t = Tokenizer.from_file(tokenizer_path())
+    want = []
+    for d in docs.collect():
+        ids = [*t.encode(d.text or "", add_special_tokens=False).ids, 0]
+        want += [(d.doc_id, k, a, len(ids[a : a + 2048]), zlib.crc32(np.array(ids[a : a + 2048], "<u4").tobytes())) for k, a in enumerate(range(0, len(ids), 2048))]
+    got = p.pack(spark, docs, DATA).collect()
+    assert sorted((g.doc_id, g.piece, g.start, g.length, g.ids_crc32) for g in got) == sorted(want)
+    used = {}
+    for g in sorted(got, key=lambda g: (g.sequence_id, g.offset)):
+        assert g.offset == used.get(g.sequence_id, 0)
+        used[g.sequence_id] = g.offset + g.length
+    assert max(used.values()) <= 2048
