@@ -222,18 +222,18 @@ def _seeds(seen: DataFrame) -> DataFrame:
 
 
 #: Places in the table that tells most words apart from those in a pattern.
-_BITS = 1 << 16
+_BITS = 1 << 15
 
 
 def _filter_of(patterns: DataFrame) -> Callable[[Column], Column]:
     """A test of a pattern's hash that no pattern of the table fails, and most others do: a table of _BITS places, of which those that a pattern falls on are gathered."""
     at = F.col("pattern").bitwiseAND(F.lit(_BITS - 1)).cast("int")
-    held = ["0"] * _BITS
+    held = bytearray(_BITS)
     for r in patterns.select(at.alias("at")).groupBy(F.shiftright("at", 10)).agg(F.collect_set("at").alias("places")).toLocalIterator():
         for x in r["places"]:
-            held[x] = "1"
-    table = F.split(F.lit(",".join(held)), ",").cast("array<boolean>")
-    return lambda h: F.get(table, h.bitwiseAND(F.lit(_BITS - 1)).cast("int"))
+            held[x] = 1
+    table, one = F.lit(held), F.lit(bytearray([1]))  # a byte a place: found without a walk, and short in a plan
+    return lambda h: F.substring(table, h.bitwiseAND(F.lit(_BITS - 1)).cast("int") + 1, F.lit(1)) == one
 
 
 def _fillers(seen: DataFrame, patterns: DataFrame) -> DataFrame:
