@@ -220,12 +220,14 @@ def repeated_words(documents: DataFrame, doc_id: str = "doc_id", text: str = "te
 
 def without_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """documents with n_words, n_removed and kept (the words that stay, joined by one space) added; columns of these names are replaced."""
-    packed = boxed(documents, ["n_words", "n_removed", "kept"]).withColumn("text", F.col("doc").getField(text)).withColumn("_key", F.xxhash64(F.col("doc").getField(doc_id), "text"))
+    packed = boxed(documents, ["n_words", "n_removed", "kept"]).withColumn("_key", F.xxhash64(F.col("doc").getField(doc_id), F.col("doc").getField(text)))
     both = packed.join(repeated_words(documents, doc_id, text), "_key", "left").drop("_key")
     schema = T.StructType([packed.schema["doc"], *T.StructType.fromDDL("n_words long, n_removed long, kept string").fields])
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            names = [batch.column("doc").type.field(i).name for i in range(batch.column("doc").type.num_fields)]
+            batch = batch.append_column("text", batch.column("doc").flatten()[names.index(text)])
             for part in pieces(batch, "text"):
                 data, off = utf8(part.column("text"))
                 _, s, e, woff = words(data, off, SPACED)
