@@ -636,3 +636,16 @@ def test_pipeline_packing(spark):
         assert g.offset == used.get(g.sequence_id, 0)
         used[g.sequence_id] = g.offset + g.length
     assert max(used.values()) <= 2048
+
+
+def test_pii_query(spark):
+    """The contract's columns against plain ones, over a whole table."""
+    from quarryline.llm.op5_pii import KINDS, op5_pii
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    got = op5_pii(spark, DATA).collect()
+    assert {x.doc_id for x in got} == set(texts)
+    for x in got:
+        want = base_spans(texts[x.doc_id])
+        assert [x.n_email, x.n_ip, x.n_card, x.n_phone] == [sum(s.startswith(k + ":") for s in want) for k in KINDS[:4]]
+        assert x.base_sha256 == sha(",".join(want)) and set(want) <= set(x.spans.split(","))
