@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import shared_dir, written
 
-__all__ = ["boxed", "components", "parallelism", "quoted", "shared_dir", "spread", "with_text", "written"]
+__all__ = ["boxed", "components", "numbered", "parallelism", "quoted", "shared_dir", "spread", "with_text", "written"]
 
 
 def quoted(name: str) -> str:
@@ -67,3 +67,21 @@ def components(edges: DataFrame) -> DataFrame:
         seen = now
     star = e.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.col("m").alias("component"))
     return star.unionByName(star.select(F.col("component").alias("node"), "component").distinct())
+
+
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """df with column `name`: each row's place in that order, from 1; rows that are equal in it stand in any order.
+
+    One shuffle into ranges and a sort of each; a row's place in its range and the range's number are
+    its monotonic id, so that only a row count for each range has to be summed up in one task. df is
+    read twice (once for the ranges' bounds): hand over a written table.
+    """
+    spark = df.sparkSession
+    placed = df.repartitionByRange(parallelism(spark), *order).sortWithinPartitions(*order)
+    placed = written(placed.withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("_at", 33)
+    counts = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("_part", before.alias("_before"))  # a row for each range: as many as there are partitions
+    place = F.col("_before") + (F.col("_at") - F.shiftleft("_part", 33)) + 1
+    return placed.join(F.broadcast(offsets), part == F.col("_part")).select(*(F.col(quoted(c)) for c in df.columns), place.alias(name))
