@@ -231,7 +231,7 @@ def pack_plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int =
                     if not s[0][1]:
                         s.pop(0)
     # best fit of what is left, largest first: a piece goes where least room remains
-    for x in (y for y in lengths if y <= small * capacity):
+    for x in (y for y in lengths if y <= small * capacity and y < capacity):
         n = histogram[x]
         while n:
             fits = [r for r, b in open_bins.items() if r >= x and b]
@@ -251,6 +251,11 @@ def pack_plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int =
                 open_bins[r][content] += bins - times
             n -= k * times
     done += [(c, n) for r in sorted(open_bins) for c, n in open_bins[r].items() if n]
+    covered: dict[int, int] = defaultdict(int)
+    for content, n in done:
+        for x in content:
+            covered[x] += n
+    assert covered == {x: histogram[x] for x in lengths}, "a plan has each piece once"
     return done
 
 

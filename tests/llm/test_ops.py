@@ -506,6 +506,33 @@ def test_packing_is_no_worse_than_best_fit(seed):
     assert used == Counter(lengths) and sum(n for _, n in plan) <= bins
 
 
+@pytest.mark.parametrize(("groups", "small"), [(512, 1 / 3), (8, 0.5), (1, 1.0), (512, 1.0)])
+def test_packing_counts_full_pieces_once(groups, small):
+    from quarryline.llm.op2_pack import pack_plan
+
+    h = {2048: 1337, 2047: 3, 1024: 11, 700: 5, 1: 40}
+    used = {}
+    for content, n in pack_plan(h, groups=groups, small=small):
+        for x in content:
+            used[x] = used.get(x, 0) + n
+    assert used == h
+
+
+def test_packing_of_a_table_takes_as_few_sequences_as_its_ids_fill():
+    """On sf0.1 the plan meets the bound that no packing can go below."""
+    import pyarrow.parquet as pq
+
+    from quarryline.llm.op2_pack import best_plan, encoder, tokenizer_path
+
+    h = {}
+    for x in encoder(tokenizer_path())([t or "" for t in pq.read_table("/root/testdata/sf0.1/documents.parquet")["text"].to_pylist()]):
+        full, rest = divmod(len(x) // 4 + 1, 2048)
+        h[2048] = h.get(2048, 0) + full
+        h[rest] = h.get(rest, 0) + (rest > 0)
+    h = {x: n for x, n in h.items() if x and n}
+    assert sum(n for _, n in best_plan(h)) == -(-sum(x * n for x, n in h.items()) // 2048)
+
+
 def test_licenses_and_packing_with_odd_columns(spark):
     """Names with backticks, dots and the results' own names; a very long text; rows that repeat; no rows."""
     from quarryline.llm.op2_pack import pack
