@@ -1,6 +1,6 @@
 """Whole queries over the driver's tables, with the SQL that gives the same rows."""
 
-from . import extraction, fields, grounding, relational, retrieval, structure
+from . import extraction, fields, grounding, relational, retrieval, streams, structure
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "extraction", "fields", "grounding", "relational", "retrieval", "structure"]
+__all__ = ["QUERIES", "SQL", "extraction", "fields", "grounding", "relational", "retrieval", "streams", "structure"]

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import vectors as V
+from ..operators import ann as N
+from ..operators import lexical as L
 from ..operators import search as S
-from ..sources.scratch import shared_dir
+from ..sources.kept import kept
 from .registry import Tables, query
 
 TERMS = ["the", "idiot", "erin", "que", "der"]
@@ -40,17 +40,9 @@ def vector_list(t: Tables):
     return docs.join(F.broadcast(best), "chunk_id").select("chunk_id", "doc_id", "score", "rank")  # every vector has its chunk; 20 rows
 
 
-_indexes: dict[tuple[str, str], str] = {}
-
-
 def lexical_index(t: Tables) -> str:
-    """The postings of a folder's documents, written once for a session, during which the tables stay as they are."""
-    key = (t.spark.sparkContext.applicationId, t.folder)
-    if key not in _indexes:
-        path = f"{shared_dir(t.spark)}/postings-{uuid.uuid4().hex}"
-        S.lexical_index(chunks(t), path)
-        _indexes[key] = path
-    return _indexes[key]
+    """The postings of a folder's documents, written once for each state of the table's files."""
+    return kept(t.spark, "postings", f"{t.folder}/documents.parquet", lambda path: S.lexical_index(chunks(t), path))
 
 
 def lexical_list(t: Tables):
@@ -76,6 +68,37 @@ def rrf_fusion(t):
     return fused(t)
 
 
+_CHANGED = """final AS (SELECT doc_id AS chunk_id, source AS doc_id, CASE WHEN source = 'src5' THEN text || ' idiot erin' ELSE text END AS text FROM documents WHERE source <> 'src3' OR lang = 'en'
+UNION ALL SELECT -1 - (conv_id * 4294967296 + turn), 'conversation', text FROM conversations), """ + _B.replace("doc_id AS chunk_id, source AS doc_id", "chunk_id, doc_id").replace("FROM documents", "FROM final")
+
+
+def changed_index(t: Tables) -> str:
+    """An index of all documents; then one source goes, another changes and the conversations come; then a part of what went comes back."""
+
+    def build(path: str) -> None:
+        every = t.documents.select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("doc_id"), "text", "lang")
+        L.create(every.drop("lang"), path)
+        longer = every.where("doc_id = 'src5'").withColumn("text", F.concat("text", F.lit(" idiot erin"))).drop("lang")
+        talk = messages(t).select((-1 - F.col("message_id")).alias("chunk_id"), F.lit("conversation").alias("doc_id"), "text")
+        L.change(t.spark, path, longer.unionByName(talk), every.where("doc_id = 'src3'").select("chunk_id"))
+        L.change(t.spark, path, every.where("doc_id = 'src3' and lang = 'en'").drop("lang"))
+
+    return kept(t.spark, "postings-changed", f"{t.folder}/documents.parquet", build)
+
+
+@query(f"WITH {_CHANGED} SELECT chunk_id, doc_id, score, rank FROM b")
+def bm25_after_changes(t):
+    return S.bm25_top(L.scores(t.spark, changed_index(t), TERMS))
+
+
+@query(f"WITH {_CHANGED} SELECT (SELECT count(*) FROM w) AS n, round((SELECT avg(len(w)) FROM w), 6) AS mean, term, df FROM dfs")
+def lexical_statistics(t):
+    """Corpus size, mean length and the terms' document counts after the changes."""
+    path = changed_index(t)
+    df = L.live_postings(t.spark, path, TERMS).groupBy("term").agg(F.count("*").alias("df"))
+    return df.join(F.broadcast(L.corpus(t.spark, path)).select("n", F.round("mean", 6).alias("mean"))).select("n", "mean", "term", "df")
+
+
 _MSG = "m AS (SELECT conv_id * 4294967296 + turn AS message_id, conv_id AS conversation_id, role, turn AS created_at, text FROM conversations), ct AS (SELECT message_id, length(text) % 11 AS document_id FROM m WHERE contains(text, ','))"
 
 
@@ -197,3 +220,55 @@ def lsh_buckets(t):
     """Sizes of random-hyperplane buckets (an approximate index, so rows only)."""
     c = t.embeddings.select(F.col("vec_id").alias("chunk_id"), "embedding")
     return S.lsh_candidates(c, 64).groupBy("bucket").agg(F.count("*").alias("n"))
+
+
+def inverted_file(t: Tables) -> N.InvertedFile:
+    v = t.embeddings.select(F.col("vec_id").alias("chunk_id"), "embedding")
+    return N.open_index(t.spark, kept(t.spark, "inverted-file", f"{t.folder}/embeddings.parquet", lambda path: N.write_index(v, path, 64)))
+
+
+def _asked(t: Tables):
+    return t.embeddings.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+@query()
+def ivf_topk(t):
+    """The ten nearest of each hundredth vector among all, by the inverted file: approximate, so its recall is tested instead."""
+    return N.search_all(t.spark, inverted_file(t), _asked(t))
+
+
+@query(
+    """WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 100 = 0),
+s AS (SELECT query_id, vec_id AS chunk_id, round(list_dot_product(embedding::DOUBLE[], q) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(q, q))), 6) AS score FROM embeddings, q WHERE vec_id <> query_id)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank, chunk_id, score FROM s QUALIFY rank <= 10"""
+)
+def ivf_every_list(t):
+    """The same with all lists probed, which is exact."""
+    index = inverted_file(t)
+    return N.search_all(t.spark, index, _asked(t), probes=len(index.centroids))
+
+
+_GRAMS = "list_distinct(list_transform(range(1, len('  ' || lower({0}) || ' ') - 1), lambda i: substr('  ' || lower({0}) || ' ', i, 3)))"
+
+
+def _trigrams(t: Tables, table: str, key: str, text: str) -> str:
+    rows = getattr(t, table).select(F.col(key).alias("id"), F.col(text).alias("text"))
+    return kept(t.spark, f"trigrams-{table}", f"{t.folder}/{table}.parquet", lambda path: L.trigram_index(rows, path))
+
+
+@query(
+    f"""WITH g AS (SELECT page_id AS id, {_GRAMS.format("url")} AS g FROM pages), p AS (SELECT q.id AS query_id, g.id, len(list_intersect(g.g, q.g))::DOUBLE / len(list_distinct(list_concat(g.g, q.g))) AS s FROM g, g q WHERE q.id % 100 = 0)
+SELECT query_id, id, round(s, 6) AS similarity FROM p WHERE s >= 0.45::DOUBLE"""
+)
+def trigram_join(t):
+    """Page addresses that are similar to each hundredth one."""
+    asked = t.pages.where("page_id % 100 = 0").select(F.col("page_id").alias("query_id"), F.col("url").alias("text"))
+    return L.trigram_matches(t.spark, _trigrams(t, "pages", "page_id", "url"), asked, 0.45)
+
+
+@query(
+    f"""WITH g AS (SELECT p_partkey, {_GRAMS.format("p_name")} AS g FROM part), q AS (SELECT {_GRAMS.format("'small rings'")} AS q), p AS (SELECT p_partkey, len(list_intersect(g, q))::DOUBLE / len(list_distinct(list_concat(g, q))) AS s FROM g, q)
+SELECT p_partkey AS id, round(s, 6) AS similarity FROM p WHERE s >= 0.3::DOUBLE"""
+)
+def trigram_search(t):
+    return L.trigram_search(t.spark, _trigrams(t, "part", "p_partkey", "p_name"), "small rings", 0.3)
