@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.folds import bound, folded
 
 _SECTION = "struct<level:int,title:string,content:string,start_line:int,end_line:int>"
 
@@ -30,23 +31,28 @@ def sections_of(md: Column, heading: str = r"^(#{1,6})\s+(.+)$") -> Column:  # T
     return X.let(each_, lambda each: X.let(F.filter(each, lambda x: x["h"]), lambda starts: F.transform(starts, lambda x, k: section(each, starts, x, k))))
 
 
-def path_of(sections: Column, k: Column) -> Column:  # T6, W7: the titles of the nearest sections above of ever smaller level, the document's root left out
-    own = F.get(sections, k)
-    above = F.when(k > 0, F.reverse(F.slice(sections, 1, F.greatest(k, F.lit(1))))).otherwise(F.slice(sections, 1, 0))
-    walked = F.aggregate(
-        above,
-        F.struct(own["level"].alias("level"), F.array(own["title"]).alias("path")),
-        lambda a, s: F.struct(F.least(a["level"], s["level"]).alias("level"), F.when(s["level"] < a["level"], F.concat(F.array(s["title"]), a["path"])).otherwise(a["path"]).alias("path")),
-    )["path"]
+def paths_of(sections: Column) -> Column:  # T3, T6, W7: of each section the titles of those it stands in, joined; the document's root is left out
+    """One pass: the stack holds the open sections of ever larger level, so it is never deeper than there are levels."""
+    kind = "struct<level:int,title:string>"
+
+    def step(stack: Column, s: Column, _: Column) -> Column:
+        return F.concat(F.filter(stack, lambda x: x["level"] < s["level"]), F.array(F.struct(s["level"].alias("level"), s["title"].alias("title"))))
+
+    def titles(stack: Column, s: Column, i: Column) -> Column:
+        return F.array(F.transform(step(stack, s, i), lambda x: x["title"]))
+
+    stacks = folded(sections, F.array().cast(f"array<{kind}>"), step, titles, "array<string>")
     first = F.get(sections, F.lit(0))
-    root = (F.size(walked) > 1) & (first["level"] == F.array_min(F.transform(sections, lambda s: s["level"]))) & (F.get(walked, F.lit(0)) == first["title"])
-    return F.array_join(F.when(root, F.slice(walked, 2, F.greatest(F.size(walked) - 1, F.lit(0)))).otherwise(walked), " > ")
+    root = F.when(first["level"] == F.array_min(F.transform(sections, lambda s: s["level"])), first["title"])
+    return bound(root, lambda r: F.transform(stacks, lambda p: F.array_join(F.when((F.size(p) > 1) & F.coalesce(F.get(p, F.lit(0)) == r, F.lit(False)), F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0)))).otherwise(p), " > ")))
 
 
 def sections(docs: DataFrame, text: str = "text", heading: str = r"^(#{1,6})\s+(.+)$") -> DataFrame:  # T1, T3
     """(doc_id, section_no, level, title, content, start_line, end_line, path)."""
     arrays = docs.select("doc_id", sections_of(F.col(text), heading).alias("s"))
-    return arrays.select("doc_id", F.posexplode(F.transform("s", lambda x, k: F.struct(x.alias("x"), path_of(F.col("s"), k).alias("path")))).alias("section_no", "y")).select("doc_id", "section_no", "y.x.*", "y.path")
+    # outer: for a plain one the optimizer adds tests of the array, and each would make it anew; let: its two uses, too
+    both = bound(F.col("s"), lambda s: F.arrays_zip(s.alias("x"), paths_of(s).alias("path")))
+    return arrays.select("doc_id", F.posexplode_outer(both).alias("section_no", "y")).where("section_no is not null").select("doc_id", "section_no", "y.x.*", "y.path")
 
 
 def code_blocks(text: Column) -> Column:  # T4: array of struct(language, code, start_line, end_line); an unclosed fence gives none
@@ -55,26 +61,31 @@ def code_blocks(text: Column) -> Column:  # T4: array of struct(language, code,
     def block(each: Column, fences: Column, k: Column) -> Column:
         a, b = F.get(fences, k), F.get(fences, k + 1)
         code = F.array_join(F.transform(F.slice(each, a["i"] + 2, b["i"] - a["i"] - 1), lambda y: y["line"]), "\n")
-        return F.struct(F.trim(F.trim(a["line"]).substr(F.lit(4), F.length(a["line"]))).alias("language"), code.alias("code"), a["i"].alias("start_line"), b["i"].alias("end_line"))
+        return F.struct(X.trimmed(X.trimmed(a["line"]).substr(F.lit(4), F.length(a["line"]))).alias("language"), code.alias("code"), a["i"].alias("start_line"), b["i"].alias("end_line"))
 
     def blocks(each: Column, fences: Column) -> Column:
         pairs = F.when(F.size(fences) >= 2, F.sequence(F.lit(0), F.size(fences) - 2, F.lit(2))).otherwise(F.array().cast("array<int>"))
         return F.transform(pairs, lambda k: block(each, fences, k))
 
-    return X.let(each_, lambda each: X.let(F.filter(each, lambda x: F.ltrim(x["line"]).startswith("```")), lambda fences: blocks(each, fences)))
+    return X.let(each_, lambda each: X.let(F.filter(each, lambda x: X.trimmed(x["line"]).startswith("```")), lambda fences: blocks(each, fences)))
+
 
+def prose_lines(text: Column) -> Column:  # T4
+    """Lines outside code fences, with [CODE_BLOCK_i] for each block, as an array; what follows an unclosed fence is lost."""
 
-def without_code(text: Column) -> Column:  # T4: [CODE_BLOCK_i] for each block; what follows an unclosed fence is lost
-    ls = F.split(text, "\n")
-    folded = F.aggregate(
-        ls,
-        F.struct(F.lit(False).alias("inside"), F.lit(0).alias("n"), F.array().cast("array<string>").alias("out")),
-        lambda a, line: F.when(
-            F.ltrim(line).startswith("```"),
-            F.struct((~a["inside"]).alias("inside"), F.when(a["inside"], a["n"]).otherwise(a["n"] + 1).alias("n"), F.when(a["inside"], a["out"]).otherwise(F.concat(a["out"], F.array(F.concat(F.lit("[CODE_BLOCK_"), a["n"].cast("string"), F.lit("]"))))).alias("out")),
-        ).otherwise(F.struct(a["inside"].alias("inside"), a["n"].alias("n"), F.when(a["inside"], a["out"]).otherwise(F.concat(a["out"], F.array(line))).alias("out"))),
-    )
-    return F.array_join(folded["out"], "\n")
+    def prose(ls: Column, fences: Column) -> Column:
+        opening = F.filter(F.transform(fences, lambda f, k: F.when(k % 2 == 0, f)), lambda f: f.isNotNull())
+        since = lambda k: F.when(k == 0, 0).otherwise(F.coalesce(F.get(fences, 2 * k - 1) + 1, F.size(ls)))  # noqa: E731  where prose goes on
+        before = F.transform(opening, lambda f, k: F.concat(F.slice(ls, since(k) + 1, f - since(k)), F.array(F.concat(F.lit("[CODE_BLOCK_"), k.cast("string"), F.lit("]")))))
+        rest = since(F.size(opening))
+        return F.concat(F.flatten(before), F.slice(ls, rest + 1, F.size(ls) - rest))
+
+    at = lambda ls: F.filter(F.transform(ls, lambda line, i: F.when(X.trimmed(line).startswith("```"), i)), lambda i: i.isNotNull())
+    return bound(F.split(text, "\n"), lambda ls: bound(at(ls), lambda fences: prose(ls, fences)))
+
+
+def without_code(text: Column) -> Column:  # T4
+    return F.array_join(prose_lines(text), "\n")
 
 
 def blocks_of(text: Column) -> Column:  # X22: array of struct(type, content, start_line, end_line) of neighbouring lines of one type
@@ -94,30 +105,33 @@ def blocks_of(text: Column) -> Column:  # X22: array of struct(type, content, st
 
 
 def merged_paragraphs(blocks: Column) -> Column:  # X23
-    last = lambda a: F.element_at(a, -1)
-    kind = "array<struct<type:string,content:string,start_line:int,end_line:int>>"
-    return F.aggregate(
-        blocks,
-        F.array().cast(kind),
-        lambda a, b: F.when(
-            (F.size(a) > 0) & (b["type"] == "paragraph") & (F.try_element_at(a, F.lit(-1))["type"] == "paragraph"),
-            F.concat(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), F.array(F.struct(b["type"].alias("type"), F.concat(last(a)["content"], F.lit("\n\n"), b["content"]).alias("content"), last(a)["start_line"].alias("start_line"), b["end_line"].alias("end_line")))),
-        ).otherwise(F.concat(a, F.array(b))).cast(kind),
-    )
+    """Runs of neighbouring paragraphs become one: where a run begins is known from two neighbours, so each run is cut out once."""
+    starts = F.filter(F.transform(blocks, lambda b, i: F.when((i == 0) | (b["type"] != "paragraph") | (F.get(blocks, i - 1)["type"] != "paragraph"), i)), lambda i: i.isNotNull())
+
+    def run(begin: Column, i: Column, k: Column) -> Column:
+        n = F.coalesce(F.get(begin, k + 1), F.size(blocks)) - i
+        first, last = F.get(blocks, i), F.get(blocks, i + n - 1)
+        text = F.array_join(F.transform(F.slice(blocks, i + 1, n), lambda b: b["content"]), "\n\n")
+        return F.struct(first["type"].alias("type"), text.alias("content"), first["start_line"].alias("start_line"), last["end_line"].alias("end_line"))
+
+    return X.let(starts, lambda begin: F.transform(begin, lambda i, k: run(begin, i, k)))
 
 
 def rebuilt_paragraphs(text: Column) -> Column:  # X20
-    ends = lambda ls: F.transform(ls, lambda x, i: F.struct(x.alias("x"), ((x == "") | x.rlike(r"[.!?]\z") | F.coalesce(F.get(ls, i + 1), F.lit("")).rlike("^[A-Z0-9]") | (F.length(x) < 50)).alias("ends")))
+    """A line goes on in the next one unless it ends a sentence, is short, or the next begins with a capital or a digit; an empty line stands by itself."""
+    ends = lambda ls: F.transform(ls, lambda x, i: F.struct(x.alias("x"), ((x == "") | x.rlike(r"[.!?]\z") | F.coalesce(F.get(ls, i + 1), F.lit("")).rlike("^[A-Z0-9]|^\\z") | (F.length(x) < 50)).alias("ends")))
     each = X.let(F.transform(F.split(text, "\n"), X.trimmed), ends)
-    folded = F.aggregate(
-        each,
-        F.struct(F.array().cast("array<string>").alias("open"), F.array().cast("array<string>").alias("out")),
-        lambda a, e: F.when(e["x"] == "", F.struct(F.array().cast("array<string>").alias("open"), F.concat(a["out"], F.when(F.size(a["open"]) > 0, F.array(F.array_join(a["open"], " "))).otherwise(F.array().cast("array<string>")), F.array(F.lit(""))).alias("out")))
-        .when(e["ends"], F.struct(F.array().cast("array<string>").alias("open"), F.concat(a["out"], F.array(F.array_join(F.concat(a["open"], F.array(e["x"])), " "))).alias("out")))
-        .otherwise(F.struct(F.concat(a["open"], F.array(e["x"])).alias("open"), a["out"].alias("out"))),
-        lambda a: F.concat(a["out"], F.when(F.size(a["open"]) > 0, F.array(F.array_join(a["open"], " "))).otherwise(F.array().cast("array<string>"))),
-    )
-    return F.array_join(folded, "\n")
+
+    def joined(es: Column) -> Column:
+        last = F.filter(F.transform(es, lambda e, i: F.when(e["ends"] | (i == F.size(es) - 1), i)), lambda i: i.isNotNull())
+
+        def paragraph(at: Column, i: Column, k: Column) -> Column:
+            begin = F.coalesce(F.get(at, k - 1), F.lit(-1)) + 1
+            return F.array_join(F.transform(F.slice(es, begin + 1, i - begin + 1), lambda e: e["x"]), " ")
+
+        return X.let(last, lambda at: F.transform(at, lambda i, k: paragraph(at, i, k)))
+
+    return F.array_join(X.let(each, joined), "\n")
 
 
 def normalized_page(text: Column) -> Column:  # X24: struct(text, blocks)
@@ -127,16 +141,12 @@ def normalized_page(text: Column) -> Column:  # X24: struct(text, blocks)
 def text_to_markdown(text: Column) -> Column:  # X13
     heads = lambda ls: F.transform(ls, lambda x, i: F.struct(x.alias("x"), ((x != "") & (F.length(x) < 60) & x.rlike("^[A-Z]") & (F.coalesce(F.get(ls, i + 1), F.lit("")) == "") & ~x.endswith(".")).alias("h")))
     each = X.let(F.transform(F.split(text, "\n"), X.trimmed), heads)
-    strings = "array<string>"
-    folded = F.aggregate(
-        each,
-        F.struct(F.lit(False).alias("inside"), F.array().cast(strings).alias("out")),
-        lambda a, e: F.when(e["x"] == "", F.struct(F.lit(False).alias("inside"), F.when(a["inside"], F.concat(a["out"], F.array(F.lit("")))).otherwise(a["out"]).alias("out")))
-        .when(e["h"], F.struct(F.lit(False).alias("inside"), F.concat(a["out"], F.array(F.lit(""), F.concat(F.lit("## "), e["x"]), F.lit(""))).alias("out")))
-        .otherwise(F.struct(F.lit(True).alias("inside"), F.concat(a["out"], F.when(a["inside"], F.array(e["x"])).otherwise(F.array(F.lit(""), e["x"]))).alias("out"))),
-        lambda a: a["out"],
-    )
-    return F.concat(X.trimmed(F.array_join(folded, "\n")), F.lit("\n"))
+
+    def marked(es: Column) -> Column:
+        inside = lambda i: (i > 0) & F.coalesce((F.get(es, i - 1)["x"] != "") & ~F.get(es, i - 1)["h"], F.lit(False))  # noqa: E731  in a paragraph
+        return F.transform(es, lambda e, i: F.when(e["x"] == "", F.when(inside(i), F.lit(""))).when(e["h"], F.concat(F.lit("\n## "), e["x"], F.lit("\n"))).when(inside(i), e["x"]).otherwise(F.concat(F.lit("\n"), e["x"])))
+
+    return F.concat(X.trimmed(F.array_join(F.array_compact(bound(each, marked)), "\n")), F.lit("\n"))
 
 
 def processed_markdown(raw: Column) -> Column:  # X14

@@ -48,21 +48,21 @@ def updates(t):
     )
 
 
-_UPDATES = """u AS (SELECT user_id AS job_id, epoch_us(date_trunc('second', ts)) + event_id AS at, CASE event_type WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'completed' WHEN 'signup' THEN 'pending' WHEN 'click' THEN 'processing' END AS status,
+_UPDATES = """u AS (SELECT user_id AS job_id, epoch_us(date_trunc('second', ts)) + event_id AS us, CASE event_type WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'completed' WHEN 'signup' THEN 'pending' WHEN 'click' THEN 'processing' END AS status,
 CASE WHEN event_type <> 'view' THEN value END AS current, CASE WHEN event_type = 'view' THEN value END AS total, CASE WHEN event_type = 'view' THEN props END AS message FROM events)"""
 
 
-@query(f"WITH {_UPDATES} SELECT job_id, arg_max(status, at) FILTER (status IS NOT NULL) AS status, arg_max(current, at) FILTER (current IS NOT NULL) AS current, arg_max(total, at) FILTER (total IS NOT NULL) AS total, arg_max(message, at) FILTER (message IS NOT NULL) AS message, min(at) AS created_at, max(at) AS updated_at FROM u GROUP BY job_id")
+@query(f"WITH {_UPDATES} SELECT job_id, arg_max(status, us) FILTER (status IS NOT NULL) AS status, arg_max(current, us) FILTER (current IS NOT NULL) AS current, arg_max(total, us) FILTER (total IS NOT NULL) AS total, arg_max(message, us) FILTER (message IS NOT NULL) AS message, min(us) AS created_at, max(us) AS updated_at FROM u GROUP BY job_id")
 def progress_stream(t):
     """All updates as a stream of four micro-batches, in no order; the jobs' views at its end."""
     return P.view(P.replayed(updates(t), _folder(t), P.tracked, 4))
 
 
-_POLLS = "u2 AS (SELECT *, (at - (SELECT min(at) FROM u)) * 3 // ((SELECT max(at) - min(at) FROM u) + 1) AS poll FROM u)"
+_POLLS = "u2 AS (SELECT *, (us - (SELECT min(us) FROM u)) * 3 // ((SELECT max(us) - min(us) FROM u) + 1) AS poll FROM u)"
 
 
 @query(
-    f"""WITH {_UPDATES}, {_POLLS}, p AS (SELECT DISTINCT poll FROM u2), s AS (SELECT p.poll, job_id, arg_max(status, at) FILTER (status IS NOT NULL) AS status FROM p JOIN u2 ON u2.poll <= p.poll GROUP BY p.poll, job_id)
+    f"""WITH {_UPDATES}, {_POLLS}, p AS (SELECT DISTINCT poll FROM u2), s AS (SELECT p.poll, job_id, arg_max(status, us) FILTER (status IS NOT NULL) AS status FROM p JOIN u2 ON u2.poll <= p.poll GROUP BY p.poll, job_id)
 SELECT b.poll, b.job_id, b.status FROM s a JOIN s b ON a.job_id = b.job_id AND b.poll = a.poll + 1 WHERE a.status NOT IN ('completed', 'failed') AND b.status IN ('completed', 'failed')"""
 )
 def completions_by_poll(t):
