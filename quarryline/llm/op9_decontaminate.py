@@ -2,7 +2,11 @@
 
 Of each 13 consecutive words, the smallest of the nine 5-gram hashes is kept (the last one, on a
 tie), on both sides. Two texts that share 13 words in a row therefore share a fingerprint inside
-them, so looking up fingerprints and extending the hits word by word finds every shared window.
+them, so looking up fingerprints and extending the hits finds every shared window: a fingerprint of a
+document that the benchmark has, too, is extended to the nine windows of words that it can stand for,
+and each is looked up among the benchmark's different windows. A fingerprint is marked once however
+often the benchmark has it, and windows of the same items are one set of items, so equal texts on
+both sides don't multiply.
 
 Defined results: a null text has no words; an item without words matches nothing; an item of 1 to 12
 words is one window of its own length; items with equal texts each count; a null item_id sorts and
@@ -45,56 +49,61 @@ def winnow(h: np.ndarray, woff: np.ndarray, window: int = WINDOW, gram: int = GR
 
 
 class Index:
-    """Fingerprints of benchmark items, to be looked up by binary search."""
+    """Fingerprints and different windows of benchmark items, to be looked up by binary search; windows name sets of items."""
 
     def __init__(self, rows: list[tuple]):
         self.ids = ["" if i is None else str(i) for i, _ in rows]
         h, _, _, off = words(*utf8(pa.array([t for _, t in rows], pa.string())), ALNUM_LOW)
         n, own = np.diff(off), owner(off)
-        self.words, self.off, self.own = h, off, own
-        fp, at = winnow(h, off)
-        order = np.argsort(fp, kind="stable")
-        self.fp, self.at = fp[order], at[order]
-        self.short = {}
-        for k in range(1, WINDOW):
-            if len(items := np.flatnonzero(n == k)):
-                g = grams(h, k)[off[items]]
-                order = np.argsort(g, kind="stable")
-                self.short[k] = (g[order], items[order])
+        self.fp = np.unique(winnow(h, off)[0])
+        found = []  # (length, hash, item) of each window
+        for k in range(1, WINDOW + 1):
+            ok = np.flatnonzero(whole(off, k, len(h)))
+            ok = ok[n[own[ok]] >= WINDOW] if k == WINDOW else ok[n[own[ok]] == k]
+            if len(ok):
+                found.append((k, grams(h, k)[ok], own[ok]))
+        self.windows: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # by length: the different hashes, and each one's set
+        self.sets: list[list[int]] = []
+        known: dict[bytes, int] = {}
+        for k, g, item in found:
+            order = np.lexsort((item, g))
+            g, item = g[order], item[order]
+            once = np.concatenate([[True], (np.diff(g) != 0) | (np.diff(item) != 0)])
+            g, item = g[once], item[once].astype("<i8")
+            first = np.flatnonzero(np.concatenate([[True], np.diff(g) != 0]))
+            which = np.zeros(len(first), np.int64)
+            for j, (a, z) in enumerate(zip(first.tolist(), [*first[1:].tolist(), len(g)], strict=True)):
+                key = item[a:z].tobytes()
+                if key not in known:
+                    known[key] = len(self.sets)
+                    self.sets.append(item[a:z].tolist())
+                which[j] = known[key]
+            self.windows[k] = (g[first], which)
+
+    def _found(self, k: int, h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first word, set) of the windows of k words that begin at the places at and are the benchmark's."""
+        g, which = self.windows[k]
+        x = grams(h, k)[at] if len(at) else np.zeros(0, np.uint64)
+        i = np.minimum(np.searchsorted(g, x), len(g) - 1)
+        same = np.flatnonzero(g[i] == x)
+        return at[same], which[i[same]]
 
     def hits(self, h: np.ndarray, woff: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(first word, end word, item) of the shared spans."""
+        """(first word, end word, set of items) of the windows that the texts share with the benchmark."""
         out = []
-        if len(self.fp):
-            fp, at = winnow(h, woff)
-            lo, hi = np.searchsorted(self.fp, fp, "left"), np.searchsorted(self.fp, fp, "right")
-            some = np.flatnonzero(hi > lo)
-            times = (hi - lo)[some]
-            p = np.repeat(at[some], times)
-            q = self.at[np.repeat(lo[some], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
-            doc, item = np.searchsorted(woff, p, "right") - 1, self.own[q]
-            left, right = np.zeros(len(p), np.int64), np.full(len(p), 0, np.int64)
-            for side, step in ((left, -1), (right, 1)):
-                live = np.arange(len(p))
-                for t in range(WINDOW):  # the words of the gram itself are compared too
-                    i, j = (p[live] - 1 - t, q[live] - 1 - t) if step < 0 else (p[live] + t, q[live] + t)
-                    ok = (i >= woff[doc[live]]) & (i < woff[doc[live] + 1]) & (j >= self.off[item[live]]) & (j < self.off[item[live] + 1])
-                    live, i, j = live[ok], i[ok], j[ok]
-                    same = h[i] == self.words[j]
-                    live = live[same]
-                    side[live] += 1
-                    if not len(live):
-                        break
-            good = left + right >= WINDOW
-            out.append((p[good] - left[good], p[good] + right[good], item[good]))
-        for k, (g, items) in self.short.items():
-            ok = np.flatnonzero(whole(woff, k, len(h)))
-            x = grams(h, k)[ok] if len(ok) else np.zeros(0, np.uint64)
-            lo, hi = np.searchsorted(g, x, "left"), np.searchsorted(g, x, "right")
-            some = np.flatnonzero(hi > lo)
-            times = (hi - lo)[some]
-            p = np.repeat(ok[some], times)
-            out.append((p, p + k, items[np.repeat(lo[some], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]))
+        for k in self.windows:
+            if k == WINDOW:
+                fp, at = winnow(h, woff)
+                at = at[np.isin(fp, self.fp)] if len(fp) else at
+                mark = np.zeros(len(h) + 1, np.int64)  # the windows that hold a marked fingerprint begin at most so far before it
+                np.add.at(mark, np.maximum(at - (WINDOW - GRAM), 0), 1)
+                np.add.at(mark, at + 1, -1)
+                can = np.cumsum(mark)[:-1] > 0
+                ok = whole(woff, k, len(h))
+                p, s = self._found(k, h, np.flatnonzero(can[: len(ok)] & ok))
+            else:
+                p, s = self._found(k, h, np.flatnonzero(whole(woff, k, len(h))))
+            out.append((p, p + k, s))
         return tuple(np.concatenate([x[i] for x in out]) if out else np.zeros(0, np.int64) for i in range(3))
 
 
@@ -126,20 +135,21 @@ def contamination(documents: DataFrame, benchmark: DataFrame, text: str = "text"
                 found = []
                 for k, block in enumerate(blocks):
                     index = block.value
-                    a, z, items = index.hits(h, woff)
-                    found.append((a, z, [index.ids[i] for i in items.tolist()]))
+                    a, z, sets = index.hits(h, woff)
+                    each = np.unique((np.searchsorted(woff, a, "right") - 1) * max(1, len(index.sets)) + sets)  # a text's different sets
+                    named = [(d, [index.ids[i] for i in index.sets[s]]) for d, s in zip((each // max(1, len(index.sets))).tolist(), (each % max(1, len(index.sets))).tolist(), strict=True)]
+                    found.append((a, z, named))
                     if len(blocks) > 1:
                         del block._value
                 a, z = np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
-                ids = [i for x in found for i in x[2]]
                 mark = np.zeros(len(h) + 1, np.int64)
                 np.add.at(mark, a, 1)
                 np.add.at(mark, z, -1)
                 hit = np.cumsum(mark)[:-1] > 0
                 n_hit = np.add.reduceat(np.append(hit, False).astype(np.int64), woff[:-1]) * (np.diff(woff) > 0) if len(h) else np.zeros(part.num_rows, np.int64)
                 which: list = [set() for _ in range(part.num_rows)]
-                for d, i in zip((np.searchsorted(woff, a, "right") - 1).tolist(), ids, strict=True):
-                    which[d].add(i)
+                for d, ids in (y for x in found for y in x[2]):
+                    which[d].update(ids)
                 spans: list = [[] for _ in range(part.num_rows)]
                 for d in np.flatnonzero(n_hit).tolist():
                     x = np.diff(np.concatenate([[0], hit[woff[d] : woff[d + 1]].astype(np.int8), [0]]))

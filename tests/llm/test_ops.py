@@ -362,6 +362,51 @@ def test_contamination(spark, corpus, block):
 # --- 10 -----------------------------------------------------------------------------------------
 
 
+def test_contamination_of_equal_words_and_items():
+    """A thousand equal items against a text of a hundred thousand equal words: fingerprints aren't paired."""
+    import time
+
+    import pyarrow as pa
+
+    from quarryline.llm.op9_decontaminate import Index
+    from quarryline.llm.wordhash import ALNUM_LOW, utf8, words
+
+    index = Index([(i, "word " * 200) for i in range(1000)] + [(2000, "word " * 5), (2001, "other " * 30), (2002, None)])
+    h, _, _, off = words(*utf8(pa.array(["word " * 100_000, None, "other " * 13 + "word " * 4])), ALNUM_LOW)
+    start = time.perf_counter()
+    a, z, sets = index.hits(h, off)
+    assert time.perf_counter() - start < 5
+    assert len(a) == 2 * 100_000 - 12 - 4 + 1 and z.max() == len(h) - 4
+    assert sorted(len(s) for s in index.sets) == [1, 1, 1000] and {len(index.sets[s]) for s in set(sets.tolist())} == {1, 1000}
+
+
+@pytest.mark.parametrize("block", [8 << 20, 40])
+def test_contamination_with_nulls_and_names_that_clash(spark, block):
+    """Null texts and ids on both sides, a clashing column, equal items and repeated words, against windows as sets."""
+    from quarryline.llm.op9_decontaminate import contamination
+
+    r = random.Random(8)
+    text = lambda n: " ".join(r.choice("ab") for _ in range(n))
+    items = [(i, text(r.choice([0, 1, 3, 12, 13, 14, 40]))) for i in range(30)] + [(100, "same " * 20), (101, "same " * 20), (None, "same " * 13), (102, None)]
+    docs = [(i, text(r.randint(0, 60))) for i in range(30)] + [(50, "Same, " * 40), (51, None), (None, "same " * 12), (52, "same " * 13 + "x")]
+    df = rows(spark, docs).withColumn("items", F.lit("clash")).withColumn("n_HIT", F.lit(1))
+    got = contamination(df, rows(spark, items, "item_id long, text string"), block_bytes=block).collect()
+    word = lambda t: re.findall("[a-z0-9]+", (t or "").lower())
+    wanted = []
+    for d, t in docs:
+        w, hit, ids = word(t), set(), set()
+        for i, x in items:
+            y = word(x)
+            k = min(13, len(y))
+            windows = {tuple(y[j : j + k]) for j in range(len(y) - k + 1)} if y else set()
+            for p in range(len(w) - k + 1) if k else ():
+                if tuple(w[p : p + k]) in windows:
+                    hit.update(range(p, p + k))
+                    ids.add("" if i is None else str(i))
+        wanted.append((d or -1, len(w), len(hit), sorted(ids)))
+    assert sorted((x.doc_id or -1, x.n_words, x.n_hit, x["items"]) for x in got) == sorted(wanted)
+
+
 @pytest.mark.parametrize("share", [None, 2])
 def test_url_filter(spark, share):
     from datetime import date
