@@ -159,8 +159,8 @@ def key_terms(s: Column) -> Column:  # X16
 def key_terms_fallback(s: Column, most: int = 15) -> Column:  # X17
     opening = F.coalesce(F.nullif(F.regexp_extract(_c(s), r"(?is)#+\s*abstract\s*\n(.+?)(?=\n#|\z)", 1), F.lit("")), F.nullif(F.regexp_extract(_c(s), r"(?is)#+\s*introduction\s*\n(.+?)(?=\n#|\z)", 1), F.lit("")), F.substring(_c(s), 1, 500))
     named = F.regexp_extract_all(opening, F.lit(r"([A-Z][a-z]+(?:\s+[A-Za-z][a-z]+)*)\s*\([A-Z]{2,6}\)"), F.lit(1))
-    phrases = F.regexp_extract_all(opening, F.lit(r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+){1,3}\b"), F.lit(0))
-    return F.slice(F.array_distinct(F.concat(named, phrases, F.regexp_extract_all(opening, F.lit(r"\b[A-Z]{2,6}\b"), F.lit(0)))), 1, most)
+    phrases = F.regexp_extract_all(opening, F.lit(rf"{EDGE}[A-Z][a-z]+(?:\s+[A-Z][a-z]+){{1,3}}{EDGE}"), F.lit(0))
+    return F.slice(F.array_distinct(F.concat(named, phrases, F.regexp_extract_all(opening, F.lit(rf"{EDGE}[A-Z]{{2,6}}{EDGE}"), F.lit(0)))), 1, most)
 
 
 def auto_tags(tags: Column, s: Column) -> Column:  # X18, U1

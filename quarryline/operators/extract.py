@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.folds import bound, folded
 
 
 def first(text: Column, pattern: str, group: int = 1) -> Column:
@@ -86,23 +87,40 @@ def patent_metadata(html: Column) -> Column:  # T22, T23: struct of identifiers,
 
 
 def html_windows(html: Column, most: int = 300_000, header: int = 50_000) -> Column:  # T13 with Q15
-    """The page itself if it fits; else what comes before the description, the description in groups of headings, and the claims, the last two behind the page's first characters."""
+    """The page itself if it fits; else what comes before the description, the description in groups of headings, and the claims, the last two behind the page's first characters.
+
+    Cuts are chosen from the elements' offsets: the fold over the description's parts keeps the open
+    group's beginning and size, and the groups are cut out afterwards.
+    """
     at = lambda pattern: F.coalesce(F.nullif(F.regexp_instr(html, F.lit(pattern)), F.lit(0)), F.lit(0)) - 1
-    a, d, c = at('itemprop="abstract"'), at('itemprop="description"'), at(r'(?i)<section[^>]*itemprop="claims"')
     cut = lambda x, i, j: x.substr((i + 1).cast("int"), (j - i).cast("int"))
-    head = F.substring(html, 1, header)
-    one = F.when(a > 0, cut(html, F.lit(0), F.greatest(F.when(d > 0, d).otherwise(c), F.lit(0)))).otherwise(head)
-    body = F.when((d > 0) & (c > 0), cut(html, d, c)).otherwise(F.lit(""))
-    parts = F.split(body, r"(?i)(?=<heading[^>]*>[^<]+</heading>)")
-    groups = F.aggregate(  # text after the last heading is lost
-        F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))),
-        F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open")),
-        lambda s, p: F.when(F.length(s["open"]) + F.length(p) > most, F.struct(F.concat(s["done"], F.array(s["open"])).alias("done"), p.alias("open"))).otherwise(F.struct(s["done"].alias("done"), F.concat(s["open"], p).alias("open"))),
-        lambda s: F.when(s["open"] != "", F.concat(s["done"], F.array(s["open"]))).otherwise(s["done"]),
-    )
-    description = F.when(body == "", F.array().cast("array<string>")).when(F.length(body) > most, groups).otherwise(F.array(body))
-    tail = F.when(c > 0, F.array(F.concat(head, cut(html, c, F.length(html))))).otherwise(F.array().cast("array<string>"))
-    return F.when(F.length(html) <= most, F.array(html)).otherwise(F.concat(F.array(one), F.transform(description, lambda x: F.concat(head, x)), tail))
+    strings = "array<string>"
+
+    def grouped(parts: Column) -> Column:
+        """Texts of neighbouring parts, each within most where a part is; text after the last heading is lost."""
+        state = lambda first, n: F.struct(first.cast("int").alias("first"), n.cast("int").alias("n"))
+        over = lambda a, p: a["n"] + F.length(p) > most
+        kept = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
+
+        def of(ps: Column) -> Column:
+            step = lambda a, p, i: F.when(over(a, p), state(i, F.length(p))).otherwise(state(a["first"], a["n"] + F.length(p)))
+            ends = folded(ps, state(F.lit(0), F.lit(0)), step, lambda a, p, i: F.when(over(a, p), F.array(i)).otherwise(F.array().cast("array<int>")), "int")
+            text = lambda begin, end: F.array_join(F.slice(ps, begin + 1, end - begin), "")
+            all_ = bound(F.concat(ends, F.array(F.size(ps))), lambda es: F.transform(es, lambda e, k: text(F.coalesce(F.get(es, k - 1), F.lit(0)), e)))
+            return bound(all_, lambda xs: F.filter(xs, lambda x, k: (x != "") | (k < F.size(xs) - 1)))
+
+        return bound(kept, of)
+
+    def windows(x: Column) -> Column:
+        a, d, c, head = x["a"], x["d"], x["c"], F.substring(html, 1, header)
+        one = F.when(a > 0, cut(html, F.lit(0), F.greatest(F.when(d > 0, d).otherwise(c), F.lit(0)))).otherwise(head)
+        body = F.when((d > 0) & (c > 0), cut(html, d, c)).otherwise(F.lit(""))
+        described = lambda t: F.when(t == "", F.array().cast(strings)).when(F.length(t) > most, grouped(F.split(t, r"(?i)(?=<heading[^>]*>[^<]+</heading>)"))).otherwise(F.array(t))
+        tail = F.when(c > 0, F.array(F.concat(head, cut(html, c, F.length(html))))).otherwise(F.array().cast(strings))
+        return F.concat(F.array(one), F.transform(bound(body, described), lambda t: F.concat(head, t)), tail)
+
+    offsets = F.struct(at('itemprop="abstract"').alias("a"), at('itemprop="description"').alias("d"), at(r'(?i)<section[^>]*itemprop="claims"').alias("c"))
+    return F.when(F.length(html) <= most, F.array(html)).otherwise(bound(offsets, windows))
 
 
 def first_window(html: Column, most: int = 200_000) -> Column:  # T14

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import vectors as V
+from ..sources.scratch import written
 
 SCORE_DIGITS = 6
 #: Ranks of the second list come after those of the first; no list has so many rows.
@@ -46,8 +47,11 @@ def lexical_index(chunks: DataFrame, path: str) -> None:
     Postings are dealt by ranges of term and chunk, so a very common term spreads over files, and the
     files and row groups of other terms are skipped when a few terms are read.
     """
-    postings(chunks).repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(f"{path}/postings")
-    chunks.select(F.size(X.tokens(F.col("text"))).alias("len")).agg(F.count("*").alias("n"), F.avg("len").alias("mean")).write.mode("overwrite").parquet(f"{path}/stats")
+    words = written(chunks.select("chunk_id", "doc_id", X.tokens(F.col("text")).alias("w")).select("*", F.size("w").alias("len")), "words")  # texts are split once
+    words.agg(F.count("*").alias("n"), F.avg("len").alias("mean")).write.mode("overwrite").parquet(f"{path}/stats")
+    # ranges of (term, chunk) are clustered by what is counted, so one shuffle does for both
+    each = words.select("chunk_id", "doc_id", "len", F.explode("w").alias("term")).repartitionByRange("term", "chunk_id")
+    each.groupBy("term", "chunk_id", "doc_id", "len").agg(F.count("*").alias("tf")).sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(f"{path}/postings")
 
 
 def bm25_of_index(spark: SparkSession, path: str, terms: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:  # L1, L2
@@ -82,8 +86,8 @@ def bm25_top(scores: DataFrame, limit: int = 20, min_score: float = 0.1) -> Data
 
 
 def settled(results: DataFrame) -> DataFrame:
-    """A ranked list, of `limit` rows at most, computed once and held as a local relation, however often what follows uses it."""
-    return results.sparkSession.createDataFrame(results.collect(), results.schema)
+    """A ranked list, of `limit` rows at most, computed once and held as a local relation (by way of Arrow, so the planner knows its size), however often what follows uses it."""
+    return results.sparkSession.createDataFrame(results.toArrow(), results.schema)
 
 
 # Words too general to boost a metadata chunk.
@@ -114,8 +118,8 @@ def recently_cited(messages: DataFrame, citations: DataFrame, last: int = 2) ->
 
 
 def citation_boost(fused: DataFrame, cited: DataFrame, factor: float = 1.15) -> DataFrame:  # F3, J8
-    """cited: document_id. The fused list has at most two limits' rows."""
-    flag = cited.select(F.col("document_id").alias("doc_id")).distinct().withColumn("cited", F.lit(True))
+    """cited: document_id. The fused list has at most two limits' rows, so of the cited documents only those in it are kept."""
+    flag = cited.select(F.col("document_id").alias("doc_id")).join(F.broadcast(fused.select("doc_id").distinct()), "doc_id", "left_semi").distinct().withColumn("cited", F.lit(True))
     return fused.join(flag, "doc_id", "left").withColumn("score", F.round(F.when(F.col("cited"), F.col("score") * factor).otherwise(F.col("score")), SCORE_DIGITS)).drop("cited")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import extract as E
 from ..operators import sections as S
+from ..operators import yaml as Y
 from .registry import query
 
 _TRIM = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
@@ -207,3 +208,68 @@ SELECT doc_id, regexp_replace(string_agg(o, chr(10) ORDER BY i), '^\\s+|\\s+$',
 def text_to_markdown(t):
     raw = F.concat(F.lit("Heading\n\n"), "text", F.lit("\nNote on "), "lang", F.lit("\n\n"), "text")
     return t.documents.select("doc_id", S.text_to_markdown(raw).alias("md"))
+
+
+def _fronts(t):
+    """Metadata of a document: its first line as title, structured dates for one language, identifiers with quotes and backslashes for another."""
+    pair = lambda k, v: F.struct(F.lit(k).alias("key"), v.alias("value"))
+    none = F.array().cast("array<struct<key:string,value:string>>")
+    first = F.get(F.split("text", "\n"), F.lit(0))
+    return F.struct(
+        F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), first.alias("title"), F.when(F.col("lang") == "en", "paper").alias("type"),
+        F.when(F.col("lang") == "en", F.array(pair("published", F.lit("2024-02-03")), pair("created", F.lit("2024-01-02")))).otherwise(none).alias("dates"), F.lit("2023-05-06").alias("date"),
+        F.when(F.col("lang") == "fr", F.array(pair("doi", F.concat(F.lit('10.1/"'), "source", F.lit('"\\x'))))).otherwise(none).alias("identifiers"), F.concat(F.lit("https://x.org/"), "source").alias("source_url"),
+        F.array("source", F.lit("b")).alias("personas"), F.substring("text", -80, 80).alias("summary"), F.lit(None).cast("string").alias("license"),
+    )
+
+
+_ESC = "'\"' || replace(replace(replace({0}, '\\', '\\\\'), '\"', '\\\"'), chr(10), ' ') || '\"'"
+_FRONT = f"""f AS (SELECT doc_id, lang, source, string_split(text, chr(10))[1] AS t, substr(text, greatest(length(text) - 79, 1)) AS summary FROM documents),
+w AS (SELECT doc_id, '---' || chr(10) || 'id: d' || doc_id || chr(10) || 'title: ' || {_ESC.format("CASE WHEN length(t) > 200 THEN left(t, 197) || '...' ELSE t END")} || chr(10) || CASE WHEN lang = 'en' THEN 'type: paper' || chr(10) || 'dates:' || chr(10) || '  created: \"2024-01-02\"' || chr(10) || '  published: \"2024-02-03\"' ELSE 'date: 2023-05-06' END || chr(10)
+|| CASE WHEN lang = 'fr' THEN 'identifiers:' || chr(10) || '  doi: ' || {_ESC.format("'10.1/\"' || source || '\"\\x'")} ELSE 'source_url: https://x.org/' || source END || chr(10) || 'personas: [' || source || ', b]' || chr(10) || CASE WHEN summary <> '' THEN 'summary: ' || {_ESC.format("summary")} || chr(10) ELSE '' END || '---' || chr(10) AS front FROM f)"""
+
+
+@query(f"WITH {_FRONT} SELECT doc_id, front FROM w")
+def frontmatter_nested(t):
+    return t.documents.select("doc_id", Y.written_front(_fronts(t)).alias("front"))
+
+
+@query(f"WITH {_FRONT} SELECT w.doc_id, 'd' || w.doc_id AS id, replace(CASE WHEN length(t) > 200 THEN left(t, 197) || '...' ELSE t END, chr(10), ' ') AS title, CASE WHEN lang = 'en' THEN '2024-01-02' END AS created, CASE WHEN lang = 'fr' THEN '10.1/\"' || source || '\"\\x' END AS doi, source || '|b' AS personas, true AS again FROM w JOIN f USING (doc_id)")
+def frontmatter_round_trip(t):
+    """Written, read, and written again: the same block."""
+    a = t.documents.select("doc_id", Y.written_front(_fronts(t)).alias("front"))
+    b = a.select("doc_id", "front", Y.read_front(F.concat("front", F.lit("body"))).alias("m"))
+    value = lambda xs, k: F.get(F.filter(xs, lambda e: e["key"] == k), F.lit(0))["value"]
+    return b.select("doc_id", "m.id", "m.title", value(F.col("m.dates"), "created").alias("created"), value(F.col("m.identifiers"), "doi").alias("doi"), F.array_join("m.personas", "|").alias("personas"), (Y.written_front(F.col("m")) == F.col("front")).alias("again"))
+
+
+@query("SELECT doc_id, list_filter(l, lambda x, i: list_position(l, x) = i)[1:15] AS terms FROM (SELECT doc_id, list_concat(regexp_extract_all(o, '([A-Z][a-z]+(?:\\s+[A-Za-z][a-z]+)*)\\s*\\([A-Z]{2,6}\\)', 1), regexp_extract_all(o, '\\b[A-Z][a-z]+(?:\\s+[A-Z][a-z]+){1,3}\\b'), regexp_extract_all(o, '\\b[A-Z]{2,6}\\b')) AS l FROM (SELECT doc_id, left(text, 500) AS o FROM documents))")
+def key_terms_fallback(t):
+    return t.documents.select("doc_id", X.key_terms_fallback(F.col("text")).alias("terms"))
+
+
+@query("SELECT doc_id, lang AS type, source, 'manual' AS title FROM documents")
+def merged_frontmatter(t):
+    pair = lambda **x: F.create_map(*(c for k, v in x.items() for c in (F.lit(k), v)))
+    m = E.merged_metadata(pair(title=F.lit("manual"), type=F.col("lang")), pair(title=F.lit("found"), source=F.col("source")))
+    return t.documents.select("doc_id", m["type"].alias("type"), m["source"].alias("source"), m["title"].alias("title"))
+
+
+@query("SELECT doc_id, lang IN ('en', 'fr') AS is_uuid FROM (SELECT doc_id, lang, md5(text) AS h FROM documents)")
+def uuid_shapes(t):
+    """A text's digest in the shape of a UUID, in capitals for one language; for the other languages a sign short or with one too many."""
+    h = F.md5("text")
+    shaped = F.concat_ws("-", *(F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4))), F.substring(h, 21, 12))
+    made = F.when(F.col("lang") == "en", shaped).when(F.col("lang") == "fr", F.upper(shaped)).when(F.col("lang") == "de", F.left(shaped, F.lit(35))).otherwise(F.concat(shaped, F.lit("0")))
+    return t.documents.select("doc_id", X.is_uuid(made).alias("is_uuid"))
+
+
+@query(
+    f"""WITH l AS (SELECT doc_id, i, {_TRIM.format("s[i]")} AS x FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT doc_id, string_split(regexp_replace(text, '([A-Za-z])-\\n([A-Za-z])', '\\1\\2', 'g'), chr(10)) AS s FROM documents))),
+n AS (SELECT *, coalesce(lead(x) OVER (PARTITION BY doc_id ORDER BY i), '') AS nxt FROM l),
+g AS (SELECT *, coalesce(sum((x = '' OR nxt = '' OR regexp_matches(x, '[.!?]$') OR regexp_matches(nxt, '^[A-Z0-9]') OR length(x) < 50)::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g FROM n),
+p AS (SELECT doc_id, g, string_agg(x, ' ' ORDER BY i) AS p FROM g GROUP BY doc_id, g)
+SELECT doc_id, string_agg(p, chr(10) ORDER BY g) AS text FROM p GROUP BY doc_id"""
+)
+def pages_rebuilt(t):
+    return t.documents.select("doc_id", S.normalized_page(F.col("text"))["text"].alias("text"))

@@ -187,10 +187,27 @@ def abstract_and_claims(t):
     return t.documents.select("doc_id", s.alias("s")).select("doc_id", H.abstract_of(F.col("s")).alias("abstract"), F.array_join(H.first_claims(F.col("s")), "|").alias("claims"))
 
 
-@query("SELECT page_id, length(left(html, 200000)) AS first, length(html) AS whole, 1 AS windows FROM pages WHERE length(html) <= 300000")
+_LONG = """b AS (SELECT page_id, '<meta name="DC.title" content="T"><section itemprop="abstract"><div>' || url || '</div></section><section ' AS front, '<heading>Part</heading>' || html AS part, 700000 // (23 + length(html)) + 2 AS n FROM pages),
+l AS (SELECT page_id, length(front) + 23 + n * length(part) + length(_CLAIMS) AS whole, length(part) AS part, n - 1 AS parts, (300000 - 23) // length(part) AS m0, 300000 // length(part) AS m FROM b),
+g AS (SELECT *, CASE WHEN parts <= m0 THEN 1 ELSE 1 + ceil((parts - m0) / m)::BIGINT END AS groups FROM l)"""
+_CLAIMS = '</section><section itemprop="claims">' + "".join(f'<div class="claim" num="{i}">Part {i}.</div>' for i in range(1, 6)) + "</section>"
+
+
+def long_pages(t):
+    """Each page as the parts of a description of 700,000 characters and more, behind an abstract and before five claims."""
+    front = F.concat(F.lit('<meta name="DC.title" content="T"><section itemprop="abstract"><div>'), "url", F.lit("</div></section><section "))
+    part = F.concat(F.lit("<heading>Part</heading>"), "html")
+    body = F.repeat(part, F.expr("cast(700000 div (23 + length(html)) + 2 as int)"))
+    return t.pages.select("page_id", F.concat(front, F.lit('itemprop="description">'), body, F.lit(_CLAIMS)).alias("html"))
+
+
+@query(f"WITH {_LONG.replace('_CLAIMS', chr(39) + _CLAIMS + chr(39))} SELECT page_id, 200000 AS first, whole, groups + 2 AS windows, 5 AS claims, groups * 50000 + 23 + parts * part AS described FROM g")
 def page_windows(t):
-    p = t.pages.where("length(html) <= 300000").select("page_id", F.length(E.first_window(F.col("html"))).alias("first"), E.html_windows(F.col("html")).alias("w"))
-    return p.select("page_id", "first", F.length(F.get("w", F.lit(0))).alias("whole"), F.size("w").alias("windows"))
+    """Pages of several windows: header and abstract, the description in groups of its parts behind the page's first characters, and the claims, once."""
+    w = long_pages(t).select("page_id", F.length(E.first_window(F.col("html"))).alias("first"), F.length("html").alias("whole"), E.html_windows(F.col("html")).alias("w"))
+    claims = F.aggregate("w", F.lit(0), lambda a, x: a + F.size(F.regexp_extract_all(x, F.lit('class="claim"'), F.lit(0))))
+    described = F.aggregate(F.slice("w", 2, F.size("w") - 2), F.lit(0), lambda a, x: a + F.length(x))
+    return w.select("page_id", "first", "whole", F.size("w").alias("windows"), claims.alias("claims"), described.alias("described"))
 
 
 _PAGE = "'<meta name=\"DC.title\" content=\"T ' || page_id || '\">'"
