@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .labelled import held_out, training_rows
-from .shared import boxed, with_text, written
+from .shared import boxed, release, with_text, written
 from .wordhash import ALNUM_LOW, pieces, utf8, words
 
 #: Labelled documents that are learned from, at most, and features that get a weight.
@@ -194,13 +194,25 @@ def train(documents: DataFrame, labels: DataFrame, test=None, most: int = TRAIN,
                 out.append((s[ok].astype("<u4").tobytes(), k[ok].astype("<u4").tobytes()))
             yield pa.RecordBatch.from_arrays([batch.column("y"), *(pa.array([x[i] for x in out], pa.binary()) for i in (0, 1)), batch.column("n")], names=["y", "s", "k", "n"])
 
-    got = sorted((bytes(r.k), bytes(r.s), r.n, r.y) for r in bagged.mapInArrow(chosen, "y int, s binary, k binary, n long").toLocalIterator())  # the order that rows arrive in mustn't matter
+    model = _learned(names, bagged.mapInArrow(chosen, "y int, s binary, k binary, n long"))
+    release()
+    return model
+
+
+def _learned(names: np.ndarray, rows: DataFrame) -> Model:
+    """Fits and calibrates on the rows (y, s, k, n) of the bounded sample; numbers of sentences and features are 32 bits."""
+    got = sorted((bytes(r.k), bytes(r.s), r.n, r.y) for r in rows.toLocalIterator())  # the order that rows arrive in mustn't matter
     soff = np.concatenate([[0], np.cumsum([n for _, _, n, _ in got])]).astype(np.int64)
-    row = np.concatenate([np.frombuffer(s, "<u4").astype(np.int64) + a for (_, s, _, _), a in zip(got, soff, strict=False)])
-    col = np.concatenate([np.frombuffer(k, "<u4").astype(np.int64) for k, _, _, _ in got])
-    y = np.array([y for *_, y in got], np.int64)
+    row, col = np.empty(sum(len(s) for _, s, _, _ in got) // 4, np.int32), np.empty(sum(len(k) for k, *_ in got) // 4, np.int32)
+    at = 0
+    for (k, s, _, _), a in zip(got, soff, strict=False):
+        row[at : at + len(s) // 4] = np.frombuffer(s, "<u4").astype(np.int64) + a
+        col[at : at + len(k) // 4] = np.frombuffer(k, "<u4")
+        at += len(s) // 4
+    y, fold = np.array([y for *_, y in got], np.int64), np.array([zlib.crc32(k) % FOLDS for k, *_ in got])  # copies share a fold
+    del got
     model = fit(names, soff, row, col, y)
-    model.odds = calibration(names, soff, row, col, y, np.array([zlib.crc32(k) % FOLDS for k, *_ in got]))  # copies share a fold
+    model.odds = calibration(names, soff, row, col, y, fold)
     return model
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import shared_dir, written
 
-__all__ = ["boxed", "components", "numbered", "parallelism", "quoted", "shared_dir", "spread", "with_text", "written"]
+__all__ = ["boxed", "components", "numbered", "parallelism", "quoted", "release", "shared_dir", "spread", "with_text", "written"]
 
 
 def quoted(name: str) -> str:
@@ -32,6 +34,15 @@ def with_text(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([doc, doc.flatten()[names.index(text)]], names=["doc", "text"])
 
 
+def release() -> None:
+    """Give memory that this process has freed back to the machine: the allocators of C and Arrow keep it otherwise, and a driver has it for good."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim is not None:
+        trim(0)
+
+
 def parallelism(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
