@@ -91,7 +91,7 @@ def test_trigram_search_reads_few_postings(spark, names):
     every = spark.read.parquet(f"{path}/postings").count()
     got = L.trigram_search(spark, path, "small rings", 0.75)
     plan = got._jdf.queryExecution().toString()
-    assert "In(gram" in plan.split("PushedFilters")[1] and "GreaterThanOrEqual(size" in plan
+    assert any("In(gram" in x[:300] and "GreaterThanOrEqual(size" in x[:300] for x in plan.split("PushedFilters"))
     rare = [g for g in ("gs ", "ngs") if g in plan]
     read = spark.read.parquet(f"{path}/postings").where(F.col("gram").isin(rare) & F.col("size").between(8, 14)).count()
     assert rare and read < every / 20
