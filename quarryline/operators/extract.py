@@ -265,3 +265,37 @@ def contextual(context: Column, chunk: Column) -> Column:
 def extracted(docs: DataFrame, text: str, **fields: Column) -> DataFrame:
     """docs with the fields added: extraction is a projection, so any number of fields costs one scan."""
     return docs.withColumns(fields)
+
+
+# --- formatters and validators ------------------------------------------------------------------
+
+
+def arxiv_article(title: Column, authors: Column, arxiv_id: Column, date: Column, abstract: Column, body: Column) -> Column:  # T29
+    """A paper's Markdown: title, a block of what is known of it, the abstract, the text. Empty parts are left out."""
+    text = lambda c: F.coalesce(c, F.lit("")) != ""
+    known = F.concat_ws("\n", F.when(F.size(authors) > 0, F.concat(F.lit("**Authors**: "), F.array_join(authors, ", "))), F.when(text(arxiv_id), F.concat(F.lit("**arXiv**: "), arxiv_id)), F.when(text(date), F.concat(F.lit("**Date**: "), date)))
+    return F.concat_ws("\n\n", F.concat(F.lit("# "), title), F.nullif(known, F.lit("")), F.when(text(abstract), F.concat(F.lit("## Abstract\n\n"), abstract)), F.when(text(body), body))
+
+
+def raw_article(title: Column, text: Column) -> Column:  # T29
+    """Plain Markdown as it is, with a heading of its own if it begins with none."""
+    body = X.normalize_markdown(text)
+    return F.when(X.trimmed(body).startswith("# "), body).otherwise(F.concat(F.lit("# "), title, F.lit("\n\n"), body))
+
+
+def assembled_problems(document: Column) -> Column:  # T30
+    """array<string>: what is wrong with an assembled document; empty if nothing is."""
+    block, body = X.frontmatter_block(document), X.trimmed(X.strip_frontmatter(document))
+    return F.array_compact(F.array(
+        F.when(block == "", "no frontmatter"),
+        F.when((block != "") & ~block.rlike(r"(?md)^id: *\S"), "no id"),
+        F.when((block != "") & ~block.rlike(r'(?md)^title: *"?[^"\s]'), "no title"),
+        F.when((block != "") & ~block.rlike(r"(?md)^personas: *\[ *[^\]\s]"), "no personas"),
+        F.when(body == "", "no body"),
+        F.when((body != "") & ~body.rlike(r"(?md)^#{1,6} \S"), "no heading"),
+    ))
+
+
+def upload_problems(path: Column, bytes_: Column, most: int = 50 << 20) -> Column:  # T30
+    """array<string>: what keeps a file from being taken."""
+    return F.array_compact(F.array(F.when(X.file_type(path) == "unknown", "unknown file type"), F.when(bytes_ <= 0, "empty file"), F.when(bytes_ > most, "file too large"), F.when(~path.rlike(r"^[^\x00-\x1f]*\z"), "control characters in the name")))

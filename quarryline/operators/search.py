@@ -6,6 +6,8 @@ are ranked, so that equal scores tie whatever the order of summation (N12).
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -90,6 +92,12 @@ def settled(results: DataFrame) -> DataFrame:
     return results.sparkSession.createDataFrame(results.toArrow(), results.schema)
 
 
+def settled_together(*results: DataFrame) -> list[DataFrame]:
+    """Several ranked lists settled at once: they don't depend on each other, so their jobs share the cluster."""
+    with ThreadPoolExecutor(len(results)) as pool:
+        return list(pool.map(settled, results))
+
+
 # Words too general to boost a metadata chunk.
 GENERIC_WORDS = ["paper", "published", "all", "know"]
 

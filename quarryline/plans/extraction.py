@@ -273,3 +273,34 @@ SELECT doc_id, string_agg(p, chr(10) ORDER BY g) AS text FROM p GROUP BY doc_id"
 )
 def pages_rebuilt(t):
     return t.documents.select("doc_id", S.normalized_page(F.col("text"))["text"].alias("text"))
+
+
+@query(
+    "SELECT doc_id, '# D' || doc_id || chr(10) || chr(10) || '**Authors**: ' || source || ', Ann' || chr(10) || CASE WHEN lang = 'en' THEN '**arXiv**: 2401.0' || (1000 + doc_id % 1000) || chr(10) ELSE '' END || '**Date**: 2024-01-02' || chr(10) || chr(10) || '## Abstract' || chr(10) || chr(10) || left(text, 300) || chr(10) || chr(10) || text AS md FROM documents"
+)
+def arxiv_articles(t):
+    number = F.when(F.col("lang") == "en", F.concat(F.lit("2401.0"), (F.col("doc_id") % 1000 + 1000).cast("string")))
+    return t.documents.select("doc_id", E.arxiv_article(F.concat(F.lit("D"), F.col("doc_id").cast("string")), F.array("source", F.lit("Ann")), number, F.lit("2024-01-02"), F.left("text", F.lit(300)), F.col("text")).alias("md"))
+
+
+_OWN = normal("CASE WHEN lang = 'en' THEN '' ELSE '# Own' || chr(10) || chr(10) END || text")
+
+
+@query(f"SELECT doc_id, CASE WHEN starts_with(n, '# ') THEN n ELSE '# T' || chr(10) || chr(10) || n END AS md FROM (SELECT doc_id, {_OWN} || chr(10) AS n FROM documents)")
+def raw_articles(t):
+    """Texts of one language without a heading, the others with their own."""
+    own = F.concat(F.when(F.col("lang") == "en", "").otherwise("# Own\n\n"), "text")
+    return t.documents.select("doc_id", E.raw_article(F.lit("T"), own).alias("md"))
+
+
+@query("SELECT doc_id, CASE WHEN lang = 'en' THEN 'no heading' WHEN lang = 'fr' THEN 'no frontmatter' WHEN lang = 'de' THEN 'no title,no personas' ELSE '' END AS problems FROM documents WHERE regexp_replace(text, '^\\s+|\\s+$', '', 'g') <> '' AND NOT regexp_matches(text, '^---\\s*\\n') AND NOT regexp_matches(text, '(?m)^#{1,6} \\S')")
+def assembled_problems(t):
+    """Assembled documents, each language with another fault; texts that have headings themselves are no case of it."""
+    front = F.when(F.col("lang") == "fr", "").when(F.col("lang") == "de", '---\nid: x\ntitle: ""\npersonas: []\n---\n').otherwise('---\nid: x\ntitle: "T"\npersonas: [a]\n---\n')
+    docs = t.documents.where((X.trimmed(F.col("text")) != "") & ~F.col("text").rlike(r"^---\s*\n") & ~F.col("text").rlike(r"(?md)^#{1,6} \S"))
+    return docs.select("doc_id", F.array_join(E.assembled_problems(F.concat(front, F.when(F.col("lang") == "en", "").otherwise("# H\n\n"), "text")), ",").alias("problems"))
+
+
+@query("SELECT page_id, concat_ws(',', CASE WHEN NOT regexp_matches(lower(url), '\\.(pdf|html|htm|md|markdown|txt|text|docx|doc)$') THEN 'unknown file type' END, CASE WHEN length(html) > 20000 THEN 'file too large' END) AS problems FROM pages")
+def upload_problems(t):
+    return t.pages.select("page_id", F.array_join(E.upload_problems(F.col("url"), F.length("html"), 20000), ",").alias("problems"))

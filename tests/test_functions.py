@@ -84,3 +84,39 @@ def test_factual_density(one):
 
 def test_round_half_up(one):
     assert one(X.round_half_up(F.col("x"), 2), x=0.285) == 0.28
+
+
+def test_formatters_and_validators(spark):
+    from pyspark.sql import functions as F
+
+    from quarryline.operators import extract as E
+
+    none = F.lit(None).cast("string")
+    r = spark.range(1).select(
+        E.arxiv_article(F.lit("T"), F.array(F.lit("A"), F.lit("B")), F.lit("2401.1"), none, F.lit("abs"), F.lit("body")).alias("a"), E.arxiv_article(F.lit("T"), F.array().cast("array<string>"), none, none, none, F.lit("")).alias("b"),
+        E.raw_article(F.lit("T"), F.lit("plain")).alias("c"), E.raw_article(F.lit("T"), F.lit("# Own\n\nx")).alias("d"),
+        E.assembled_problems(F.lit('---\nid: x\ntitle: "T"\npersonas: [a]\n---\n# H\n')).alias("good"), E.assembled_problems(F.lit('---\nid:\ntitle: ""\npersonas: []\n---\n')).alias("bad"), E.assembled_problems(F.lit("text")).alias("none"),
+        E.upload_problems(F.lit("a.md"), F.lit(5)).alias("u"), E.upload_problems(F.lit("a\nb.exe"), F.lit(0)).alias("v"), E.upload_problems(F.lit("a.PDF"), F.lit(99), 10).alias("w"),
+    ).first()
+    assert r.a == "# T\n\n**Authors**: A, B\n**arXiv**: 2401.1\n\n## Abstract\n\nabs\n\nbody" and r.b == "# T"
+    assert r.c == "# T\n\nplain\n" and r.d == "# Own\n\nx\n"
+    assert r.good == [] and r.bad == ["no id", "no title", "no personas", "no body"] and r.none == ["no frontmatter", "no heading"]
+    assert r.u == [] and r.v == ["unknown file type", "empty file", "control characters in the name"] and r.w == ["file too large"]
+
+
+def test_long_pages_in_windows(spark):
+    """Each claim once; header and abstract in the first window; description parts whole and in order."""
+    from pyspark.sql import functions as F
+
+    from quarryline.operators import extract as E
+
+    parts = [f"<heading>H{i}</heading>" + f"text {i} " * (40 + i) for i in range(60)]
+    front = '<meta name="DC.title" content="T"><section itemprop="abstract"><div>A</div></section><section '
+    claims = '</section><section itemprop="claims">' + "".join(f'<div class="claim" num="{i}">c{i}</div>' for i in range(9)) + "</section>"
+    html = front + 'itemprop="description">' + "".join(parts) + claims
+    w = spark.createDataFrame([(html,), (html[:1000],)], "h string").select(E.html_windows(F.col("h"), 3000, 100).alias("w")).collect()
+    windows = w[0].w
+    assert windows[0] == front + "" and w[1].w == [html[:1000]]
+    assert "".join(x[100:] for x in windows[1:-1]) == 'itemprop="description">' + "".join(parts[:-1])  # text after the last heading is lost
+    assert all(x.startswith(html[:100]) and len(x) <= 3100 for x in windows[1:-1]) and len(windows) > 8
+    assert [sum(f">c{i}<" in x for x in windows) for i in range(9)] == [1] * 9 and windows[-1].startswith(html[:100])
