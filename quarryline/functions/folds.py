@@ -13,12 +13,9 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-STRIDE = 32
-
+from .text import bound
 
-def bound(x: Column, f: Callable[[Column], Column]) -> Column:
-    """f of x, with x evaluated once, as ``let``; but neither x nor what f gives is copied, as it is where an array holds it."""
-    return F.aggregate(F.array().cast("array<int>"), x, lambda a, _: a, f)
+STRIDE = 32
 
 
 def folded(items: Column, state: Column, step: Callable[[Column, Column, Column], Column], out: Callable[[Column, Column, Column], Column], kind: str) -> Column:

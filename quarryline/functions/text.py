@@ -16,10 +16,15 @@ def _c(x: Column | str) -> Column:
 
 
 def let(x: Column, f: Callable[[Column], Column]) -> Column:
-    """f of x, with x evaluated once however often f names it, inside a lambda too."""
+    """f of x, with x evaluated once however often f names it, inside a lambda too; what f gives is copied."""
     return F.get(F.transform(F.array(x), f), F.lit(0))
 
 
+def bound(x: Column, f: Callable[[Column], Column]) -> Column:
+    """As ``let``, but neither x nor what f gives is copied, as it is where an array holds it."""
+    return F.aggregate(F.array().cast("array<int>"), x, lambda a, _: a, f)
+
+
 def rewrite(text: Column, *steps: tuple[str, str]) -> Column:
     """Regular-expression replacements, one after the other."""
     for pattern, to in steps:
@@ -29,7 +34,7 @@ def rewrite(text: Column, *steps: tuple[str, str]) -> Column:
 
 def trimmed(s: Column) -> Column:
     """Without white space of any kind at either end (N1)."""
-    return F.regexp_replace(_c(s), r"^\s+|\s+\z", "")
+    return F.trim(_c(s), F.lit(" \t\n\x0b\f\r"))
 
 
 def round_half_up(x: Column, digits: int = 0) -> Column:
@@ -43,11 +48,11 @@ def tokens(s: Column) -> Column:  # X1
 
 def ngrams(words: Column, n: int = 3) -> Column:  # X2, with the guard of N2
     none = F.array().cast("array<string>")
-    return let(words, lambda w: F.when(F.size(w) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " ")))).otherwise(none))
+    return bound(words, lambda w: F.when(F.size(w) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " ")))).otherwise(none))
 
 
 def ngram_containment(left: Column, right: Column) -> Column:  # X3, J15: share of the left grams that the right ones hold
-    return let(left, lambda a: let(right, lambda b: F.when((F.size(a) > 0) & (F.size(b) > 0), F.size(F.array_intersect(a, b)) / F.size(a)).otherwise(F.lit(0.0))))
+    return bound(left, lambda a: bound(right, lambda b: F.when((F.size(a) > 0) & (F.size(b) > 0), F.size(F.array_intersect(a, b)) / F.size(a)).otherwise(F.lit(0.0))))
 
 
 def sentences(s: Column) -> Column:  # X4: end marks are dropped
@@ -90,7 +95,7 @@ def factual_density(s: Column) -> Column:  # X6: struct(density, total, factual,
         density = F.when(F.size(every) == 0, 0.0).when(F.size(factual) == 0, citation_presence(s)).otherwise(cited / F.size(factual))
         return F.struct(density.alias("density"), F.size(every).alias("total"), F.size(factual).alias("factual"), cited.alias("cited"))
 
-    return let(sentences(s), lambda every: let(F.filter(every, is_factual), lambda factual: of(every, factual)))
+    return bound(sentences(s), lambda every: bound(F.filter(every, is_factual), lambda factual: of(every, factual)))
 
 
 def context_text(s: Column) -> Column:  # X8
@@ -143,7 +148,7 @@ def frontmatter_block(s: Column) -> Column:
 
 
 def distinct_lines(s: Column) -> Column:  # U2: repeated lines go where they are more than a fifth
-    return let(F.split(_c(s), "\n"), lambda ls: let(F.array_distinct(ls), lambda d: F.when(F.size(d) < F.size(ls) * 0.8, F.array_join(d, "\n")).otherwise(_c(s))))
+    return bound(F.split(_c(s), "\n"), lambda ls: bound(F.array_distinct(ls), lambda d: F.when(F.size(d) < F.size(ls) * 0.8, F.array_join(d, "\n")).otherwise(_c(s))))
 
 
 def _listed_after(s: Column, name: str) -> Column:
@@ -330,7 +335,7 @@ def numbered(s: Column, pattern: str, label) -> Column:
     def of(text: Column, every: Column, keys: Column) -> Column:
         return F.array_join(F.transform(F.split(text, pattern, -1), lambda b, i: F.concat(b, F.when(i < F.size(every), label(F.array_position(keys, F.get(every, i)).cast("string"))).otherwise(F.lit("")))), "")
 
-    return let(s, lambda text: let(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda every: let(F.array_distinct(every), lambda keys: of(text, every, keys))))
+    return bound(s, lambda text: bound(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda every: bound(F.array_distinct(every), lambda keys: of(text, every, keys))))
 
 
 def slack_markdown(s: Column) -> Column:  # X45 with Q13
@@ -446,11 +451,11 @@ def is_uuid(s: Column) -> Column:  # P15
 
 
 def trigrams(s: Column) -> Column:  # L5: character 3-grams, padded by two spaces before and one after
-    return let(F.concat(F.lit("  "), F.lower(_c(s)), F.lit(" ")), lambda padded: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: padded.substr(i, F.lit(3)))))
+    return bound(F.concat(F.lit("  "), F.lower(_c(s)), F.lit(" ")), lambda padded: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: padded.substr(i, F.lit(3)))))
 
 
 def trigram_similarity(a: Column, b: Column) -> Column:
-    return let(trigrams(a), lambda x: let(trigrams(b), lambda y: F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))))
+    return bound(trigrams(a), lambda x: bound(trigrams(b), lambda y: F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))))
 
 
 _MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]

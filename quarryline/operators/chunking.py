@@ -122,7 +122,7 @@ def trailing_sentences(text: Column, most: int, count: Callable[[Column], Column
     kept = F.aggregate(
         back,
         F.struct(F.lit(0).cast("long").alias("n"), F.lit(False).alias("over"), F.array().cast("array<string>").alias("out")),
-        lambda a, s: X.let(count(s).cast("long"), lambda k: F.when(a["over"] | ((a["n"] + k > most) & (F.size(a["out"]) > 0)), F.struct(a["n"].alias("n"), F.lit(True).alias("over"), a["out"].alias("out"))).otherwise(
+        lambda a, s: X.bound(count(s).cast("long"), lambda k: F.when(a["over"] | ((a["n"] + k > most) & (F.size(a["out"]) > 0)), F.struct(a["n"].alias("n"), F.lit(True).alias("over"), a["out"].alias("out"))).otherwise(
             F.struct((a["n"] + k).alias("n"), F.lit(False).alias("over"), F.concat(a["out"], F.array(s)).alias("out"))
         )),
     )

@@ -28,7 +28,7 @@ def sections_of(md: Column, heading: str = r"^(#{1,6})\s+(.+)$") -> Column:  # T
         body = F.array_join(F.transform(F.slice(each, x["i"] + 2, end - x["i"] - 1), lambda y: y["line"]), "\n")
         return F.struct(F.length(F.regexp_extract(x["line"], heading, 1)).alias("level"), X.trimmed(F.regexp_extract(x["line"], heading, 2)).alias("title"), X.trimmed(body).alias("content"), x["i"].alias("start_line"), (end - 1).alias("end_line"))
 
-    return X.let(each_, lambda each: X.let(F.filter(each, lambda x: x["h"]), lambda starts: F.transform(starts, lambda x, k: section(each, starts, x, k))))
+    return X.bound(each_, lambda each: X.bound(F.filter(each, lambda x: x["h"]), lambda starts: F.transform(starts, lambda x, k: section(each, starts, x, k))))
 
 
 def paths_of(sections: Column) -> Column:  # T3, T6, W7: of each section the titles of those it stands in, joined; the document's root is left out
@@ -67,7 +67,7 @@ def code_blocks(text: Column) -> Column:  # T4: array of struct(language, code,
         pairs = F.when(F.size(fences) >= 2, F.sequence(F.lit(0), F.size(fences) - 2, F.lit(2))).otherwise(F.array().cast("array<int>"))
         return F.transform(pairs, lambda k: block(each, fences, k))
 
-    return X.let(each_, lambda each: X.let(F.filter(each, lambda x: X.trimmed(x["line"]).startswith("```")), lambda fences: blocks(each, fences)))
+    return X.bound(each_, lambda each: X.bound(F.filter(each, lambda x: X.trimmed(x["line"]).startswith("```")), lambda fences: blocks(each, fences)))
 
 
 def prose_lines(text: Column) -> Column:  # T4
@@ -98,10 +98,10 @@ def blocks_of(text: Column) -> Column:  # X22: array of struct(type, content, st
 
     def blocks(marked: Column) -> Column:
         changes = F.filter(F.transform(marked, lambda x, i: F.when((i == 0) | ~x["t"].eqNullSafe(F.get(marked, i - 1)["t"]), i)), lambda i: i.isNotNull())
-        every = X.let(changes, lambda c: F.transform(c, lambda i, k: block(marked, c, i, k)))
+        every = X.bound(changes, lambda c: F.transform(c, lambda i, k: block(marked, c, i, k)))
         return F.filter(every, lambda b: b["type"].isNotNull())
 
-    return X.let(marked_, blocks)
+    return X.bound(marked_, blocks)
 
 
 def merged_paragraphs(blocks: Column) -> Column:  # X23
@@ -114,13 +114,13 @@ def merged_paragraphs(blocks: Column) -> Column:  # X23
         text = F.array_join(F.transform(F.slice(blocks, i + 1, n), lambda b: b["content"]), "\n\n")
         return F.struct(first["type"].alias("type"), text.alias("content"), first["start_line"].alias("start_line"), last["end_line"].alias("end_line"))
 
-    return X.let(starts, lambda begin: F.transform(begin, lambda i, k: run(begin, i, k)))
+    return X.bound(starts, lambda begin: F.transform(begin, lambda i, k: run(begin, i, k)))
 
 
 def rebuilt_paragraphs(text: Column) -> Column:  # X20
     """A line goes on in the next one unless it ends a sentence, is short, or the next begins with a capital or a digit; an empty line stands by itself."""
     ends = lambda ls: F.transform(ls, lambda x, i: F.struct(x.alias("x"), ((x == "") | x.rlike(r"[.!?]\z") | F.coalesce(F.get(ls, i + 1), F.lit("")).rlike("^[A-Z0-9]|^\\z") | (F.length(x) < 50)).alias("ends")))
-    each = X.let(F.transform(F.split(text, "\n"), X.trimmed), ends)
+    each = X.bound(F.transform(F.split(text, "\n"), X.trimmed), ends)
 
     def joined(es: Column) -> Column:
         last = F.filter(F.transform(es, lambda e, i: F.when(e["ends"] | (i == F.size(es) - 1), i)), lambda i: i.isNotNull())
@@ -129,18 +129,18 @@ def rebuilt_paragraphs(text: Column) -> Column:  # X20
             begin = F.coalesce(F.get(at, k - 1), F.lit(-1)) + 1
             return F.array_join(F.transform(F.slice(es, begin + 1, i - begin + 1), lambda e: e["x"]), " ")
 
-        return X.let(last, lambda at: F.transform(at, lambda i, k: paragraph(at, i, k)))
+        return X.bound(last, lambda at: F.transform(at, lambda i, k: paragraph(at, i, k)))
 
-    return F.array_join(X.let(each, joined), "\n")
+    return F.array_join(X.bound(each, joined), "\n")
 
 
 def normalized_page(text: Column) -> Column:  # X24: struct(text, blocks)
-    return X.let(rebuilt_paragraphs(X.join_hyphenated(text)), lambda t: F.struct(t.alias("text"), blocks_of(t).alias("blocks")))
+    return X.bound(rebuilt_paragraphs(X.join_hyphenated(text)), lambda t: F.struct(t.alias("text"), blocks_of(t).alias("blocks")))
 
 
 def text_to_markdown(text: Column) -> Column:  # X13
     heads = lambda ls: F.transform(ls, lambda x, i: F.struct(x.alias("x"), ((x != "") & (F.length(x) < 60) & x.rlike("^[A-Z]") & (F.coalesce(F.get(ls, i + 1), F.lit("")) == "") & ~x.endswith(".")).alias("h")))
-    each = X.let(F.transform(F.split(text, "\n"), X.trimmed), heads)
+    each = X.bound(F.transform(F.split(text, "\n"), X.trimmed), heads)
 
     def marked(es: Column) -> Column:
         inside = lambda i: (i > 0) & F.coalesce((F.get(es, i - 1)["x"] != "") & ~F.get(es, i - 1)["h"], F.lit(False))  # noqa: E731  in a paragraph
