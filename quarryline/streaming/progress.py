@@ -124,6 +124,11 @@ def replayed(batches: DataFrame, folder: str, stream, files: int | None = None)
     rows = batches.repartition(files) if files else batches
     rows.write.mode("append").parquet(f"{folder}/in")
     source = spark.readStream.schema(batches.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-    query = stream(source).writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/checkpoint").option("path", f"{folder}/out").trigger(availableNow=True).start()
+    held, key = spark.conf.get("spark.sql.shuffle.partitions"), "spark.sql.shuffle.partitions"
+    spark.conf.set(key, min(int(held), spark.sparkContext.defaultParallelism))  # a replay's state needs no more stores than there are cores; a stream keeps what it began with
+    try:
+        query = stream(source).writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/checkpoint").option("path", f"{folder}/out").trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(key, held)
     query.awaitTermination()
     return spark.read.parquet(f"{folder}/out")
