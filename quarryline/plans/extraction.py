@@ -88,11 +88,22 @@ def auto_tags(t):
 _FILES = "['us123-x.pdf', '2405.10314.md', 'release-note-1.2.3.md', 'spec_2024_01_02.docx', 'lif.html', 'blog post.txt', 'press.md', 'FAQ 20240102', 'memo.MD', 'slides-2024-03-04']"
 
 
-@query(f"SELECT doc_id, f, ['other', 'other', 'press', 'spec', 'other', 'blog', 'press', 'faq', 'tech_memo', 'slide'][k] AS by_text, ['patent', 'arxiv', 'release_notes', 'spec', 'technical_note', 'blog', 'press', 'faq', 'other', 'other'][k] AS by_name, ['pdf', 'markdown', 'markdown', 'docx', 'html', 'text', 'markdown', 'unknown', 'markdown', 'unknown'][k] AS file_type, [NULL, NULL, NULL, '2024-01-02', NULL, NULL, NULL, '2024-01-02', NULL, '2024-03-04'][k] AS date FROM (SELECT doc_id, (doc_id % 10 + 1)::INT AS k, {_FILES}[doc_id % 10 + 1] AS f FROM documents)")
+_CONTENT = "CASE lang WHEN 'en' THEN 'FOR IMMEDIATE RELEASE' || chr(10) WHEN 'fr' THEN 'Q: why' || chr(10) || 'A: so' || chr(10) ELSE 'Q: only' || chr(10) END || text || CASE WHEN source < 'src2' THEN chr(10) || 'Date: 2023-04-05' ELSE '' END"
+
+
+@query(
+    f"""WITH d AS (SELECT doc_id, (doc_id % 10 + 1)::INT AS k, {_FILES}[doc_id % 10 + 1] AS f, {_CONTENT} AS c FROM documents)
+SELECT doc_id, f, coalesce([NULL, NULL, 'press', 'spec', NULL, 'blog', 'press', 'faq', 'tech_memo', 'slide'][k], CASE WHEN contains(c, 'FOR IMMEDIATE RELEASE') THEN 'press' WHEN contains(c, 'Q: ') AND contains(c, 'A: ') THEN 'faq' ELSE 'other' END) AS by_text,
+['patent', 'arxiv', 'release_notes', 'spec', 'technical_note', 'blog', 'press', 'faq', 'other', 'other'][k] AS by_name, ['pdf', 'markdown', 'markdown', 'docx', 'html', 'text', 'markdown', 'unknown', 'markdown', 'unknown'][k] AS file_type,
+coalesce([NULL, NULL, NULL, '2024-01-02', NULL, NULL, NULL, '2024-01-02', NULL, '2024-03-04'][k], nullif(regexp_extract(c, '(?i)date:\\s*(\\d{{4}}-\\d{{2}}-\\d{{2}})', 1), '')) AS date FROM d"""
+)
 def doc_type_detect(t):
+    """File names by a rule, and whole texts behind the lines that contents are told by."""
     names = ["us123-x.pdf", "2405.10314.md", "release-note-1.2.3.md", "spec_2024_01_02.docx", "lif.html", "blog post.txt", "press.md", "FAQ 20240102", "memo.MD", "slides-2024-03-04"]
     f = F.get(F.array(*map(F.lit, names)), (F.col("doc_id") % 10).cast("int"))
-    return t.documents.select("doc_id", f.alias("f"), X.doc_type(f, F.lit("")).alias("by_text"), X.doc_type_of_name(f).alias("by_name"), X.file_type(f).alias("file_type"), X.date_of(f, F.lit("")).alias("date"))
+    head = F.when(F.col("lang") == "en", "FOR IMMEDIATE RELEASE\n").when(F.col("lang") == "fr", "Q: why\nA: so\n").otherwise("Q: only\n")
+    c = F.concat(head, "text", F.when(F.col("source") < "src2", "\nDate: 2023-04-05").otherwise(""))
+    return t.documents.select("doc_id", f.alias("f"), X.doc_type(f, c).alias("by_text"), X.doc_type_of_name(f).alias("by_name"), X.file_type(f).alias("file_type"), X.date_of(f, c).alias("date"))
 
 
 @query("SELECT page_id, regexp_replace(regexp_replace(lower(regexp_replace(regexp_extract(url, '([^/]*)$', 1), '(.)\\.[^.]*$', '\\1')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM pages")
