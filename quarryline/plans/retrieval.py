@@ -35,9 +35,10 @@ def chunks(t: Tables):
 
 def vector_list(t: Tables):
     q = t.embeddings.where("vec_id = 0").select("embedding").first()[0]  # the query: one row
-    best = S.vector_top(t.embeddings.select(F.col("vec_id").alias("chunk_id"), "embedding"), q, threshold=0.05)
     docs = t.documents.select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("doc_id"))
-    return docs.join(F.broadcast(best), "chunk_id").select("chunk_id", "doc_id", "score", "rank")  # every vector has its chunk; 20 rows
+    # joined before the best are taken, as vectors may lack a chunk; the threshold is applied below the join
+    mine = t.embeddings.select(F.col("vec_id").alias("chunk_id"), "embedding").join(docs, "chunk_id")
+    return S.vector_top(mine, q, threshold=0.05).select("chunk_id", "doc_id", "score", "rank")
 
 
 def lexical_index(t: Tables) -> str:
