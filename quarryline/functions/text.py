@@ -43,7 +43,7 @@ def round_half_up(x: Column, digits: int = 0) -> Column:
 
 
 def tokens(s: Column) -> Column:  # X1
-    return F.filter(F.split(F.regexp_replace(F.lower(_c(s)), r"[^\w\s]", " "), r"\s+"), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(_c(s)), r"\W+"), "")  # what isn't a word sign is white space or becomes it
 
 
 def ngrams(words: Column, n: int = 3) -> Column:  # X2, with the guard of N2

@@ -6,6 +6,7 @@ are ranked, so that equal scores tie whatever the order of summation (N12).
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -92,10 +93,10 @@ def settled(results: DataFrame) -> DataFrame:
     return results.sparkSession.createDataFrame(results.toArrow(), results.schema)
 
 
-def settled_together(*results: DataFrame) -> list[DataFrame]:
-    """Several ranked lists settled at once: they don't depend on each other, so their jobs share the cluster."""
-    with ThreadPoolExecutor(len(results)) as pool:
-        return list(pool.map(settled, results))
+def settled_together(*lists: Callable[[], DataFrame]) -> list[DataFrame]:
+    """Several ranked lists made and settled at once: they don't depend on each other, so their jobs share the cluster, those that their plans need too."""
+    with ThreadPoolExecutor(len(lists)) as pool:
+        return list(pool.map(lambda make: settled(make()), lists))
 
 
 # Words too general to boost a metadata chunk.
@@ -112,10 +113,13 @@ def metadata_boost(scored: DataFrame, metadata: DataFrame, terms: list[str], bas
 
 def rrf(vector: DataFrame, lexical: DataFrame, k: int = 60) -> DataFrame:  # F1, J7
     """(chunk_id, doc_id, score, vector_score, bm25_score, ins). ins is the order in which ties stay: vector results by rank, then the others by rank."""
-    v = vector.select("chunk_id", F.col("doc_id").alias("dv"), F.col("score").alias("vector_score"), F.col("rank").alias("rv"))
-    b = lexical.select("chunk_id", F.col("doc_id").alias("db"), F.col("score").alias("bm25_score"), F.col("rank").alias("rb"))
+    null = F.lit(None)
+    v = vector.select("chunk_id", "doc_id", F.col("score").alias("vector_score"), null.cast("double").alias("bm25_score"), F.col("rank").alias("rv"), null.cast("int").alias("rb"))
+    b = lexical.select("chunk_id", "doc_id", null.cast("double").alias("vector_score"), F.col("score").alias("bm25_score"), null.cast("int").alias("rv"), F.col("rank").alias("rb"))
     share = lambda r: F.coalesce(1.0 / (k + F.col(r)), F.lit(0.0))
-    return v.join(b, "chunk_id", "full_outer").select("chunk_id", F.coalesce("dv", "db").alias("doc_id"), F.round(share("rv") + share("rb"), SCORE_DIGITS).alias("score"), "vector_score", "bm25_score", F.coalesce(F.col("rv"), F.col("rb") + AFTER).alias("ins"))
+    # a list names a chunk once, so a group has a row of each at most; grouping shuffles once where a full join shuffles both sides
+    both = v.unionByName(b).groupBy("chunk_id").agg(*(F.max(c).alias(c) for c in ("vector_score", "bm25_score", "rv", "rb")), F.min_by("doc_id", F.col("rv").isNull()).alias("doc_id"))
+    return both.select("chunk_id", "doc_id", F.round(share("rv") + share("rb"), SCORE_DIGITS).alias("score"), "vector_score", "bm25_score", F.coalesce(F.col("rv"), F.col("rb") + AFTER).alias("ins"))
 
 
 def recently_cited(messages: DataFrame, citations: DataFrame, last: int = 2) -> DataFrame:  # F2
@@ -155,8 +159,8 @@ def cap_per_document(fused: DataFrame, most: int = 3) -> DataFrame:  # F6, W2
 
 
 def hybrid(vector: DataFrame, lexical: DataFrame, cited: DataFrame | None = None, docs: DataFrame | None = None, query: str = "", aliases: list[str] = (), most: int = 3, limit: int = 12) -> DataFrame:  # F7, F8
-    """Fusion, citation boost (only with a conversation's citations), tag boost, cap, first rows; with the final rank."""
-    fused = rrf(vector, lexical)
+    """Fusion, citation boost (only with a conversation's citations), tag boost, cap, first rows; with the final rank. The fused list is settled, as each boost looks at it twice."""
+    fused = settled(rrf(vector, lexical))
     if cited is not None:
         fused = citation_boost(fused, cited)
     if docs is not None:

@@ -11,13 +11,16 @@ SQL: dict[str, str] = {}
 
 
 class Tables:
-    """The tables of a folder, by name."""
+    """The tables of a folder, by name. A table's footers are read for its schema once, however often a query names it."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+        self.spark, self.folder, self._schemas = spark, folder, {}
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        path = f"{self.folder}/{name}.parquet"
+        if name not in self._schemas:
+            self._schemas[name] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(self._schemas[name]).parquet(path)
 
 
 def query(sql: str | None = None):
