@@ -277,6 +277,48 @@ def arxiv_article(title: Column, authors: Column, arxiv_id: Column, date: Column
     return F.concat_ws("\n\n", F.concat(F.lit("# "), title), F.nullif(known, F.lit("")), F.when(text(abstract), F.concat(F.lit("## Abstract\n\n"), abstract)), F.when(text(body), body))
 
 
+# Labels of what is known of a patent, in order.
+PATENT_LABELS = {
+    "patent_number": "Patent Number", "publication_number": "Publication Number", "application_number": "Application Number", "inventors": "Inventors", "current_assignee": "Current Assignee",
+    "original_assignee": "Original Assignee", "priority": "Priority Date", "filing": "Filing Date", "publication": "Publication Date", "granted": "Grant Date", "expiration": "Expiration Date",
+}
+# Headings that a patent's description is given under, by those of the page, in order.
+PATENT_HEADINGS = {"BACKGROUND": "Background of the Invention", "SUMMARY": "Summary of the Invention", "DETAILED DESCRIPTION": "Detailed Description"}
+
+
+def patent_html_article(number: Column, parts: Column, meta: Column, drawings_: Column, claims_: Column, personas: Column, summary: Column | None = None, terms: Column | None = None, aliases: Column | None = None) -> Column:  # T29
+    """A patent page's Markdown behind its frontmatter: what ``patent_parts``, ``patent_metadata``, ``drawings`` and ``claims`` found, each part left out where it is null or empty.
+
+    A page without a title has its number's; without a summary its abstract's first sentence is one. Key
+    terms and other names have a block of their own where a summary is given.
+    """
+    some = lambda c: F.coalesce(c, F.lit("")) != ""
+    under = lambda heading, c: F.when(some(c), F.concat(F.lit(f"## {heading}\n\n\n"), c))
+    block = lambda head, *lines: bound(F.concat_ws("\n", *lines), lambda x: F.when(x != "", F.concat(F.lit(f"{head}\n"), x)))
+    names = lambda role: F.transform(F.filter(meta["actors"], lambda a: a["role"] == role), lambda a: a["name"])
+    one = lambda role: F.get(names(role), F.lit(0))
+    title = F.coalesce(F.nullif(parts["title"], F.lit("")), number)
+    fields = {
+        "patent_number": number, **{k: meta[k] for k in ("publication_number", "application_number", "priority", "filing", "publication", "granted", "expiration")},
+        "inventors": F.array_join(names("inventor"), ", "), "current_assignee": one("current_assignee"), "original_assignee": F.when(~one("original_assignee").eqNullSafe(one("current_assignee")), one("original_assignee")),
+    }
+    entry = lambda name: F.when(some(fields[name]), F.concat(F.lit(f'  {name}: "'), fields[name], F.lit('"')))
+    people = F.array_join(F.transform(F.coalesce(meta["actors"], F.array().cast("array<struct<name:string,role:string>>")), lambda a: F.concat(F.lit('  - name: "'), a["name"], F.lit('"\n    role: "'), a["role"], F.lit('"'))), "\n")
+    short = F.coalesce(F.nullif(summary, F.lit("")) if summary is not None else F.lit(None).cast("string"), F.nullif(F.get(F.split(F.coalesce(parts["abstract"], F.lit("")), r"[.!?]\s", 2), F.lit(0)), F.lit("")))
+    front = F.concat_ws(
+        "\n", F.lit("---"), F.concat(F.lit("id: "), F.regexp_replace(F.lower(number), "[^a-z0-9]", "")), F.concat(F.lit("title: "), title), F.lit("type: patent"), F.concat(F.lit("personas: ["), F.array_join(personas, ", "), F.lit("]")),
+        F.concat(F.lit("summary: "), short), block("identifiers:", *map(entry, ("patent_number", "publication_number", "application_number"))), block("dates:", *map(entry, ("priority", "filing", "publication", "granted", "expiration"))), block("actors:", F.nullif(people, F.lit(""))), F.lit("---"),
+    )
+    joined = lambda c: F.array_join(c, ", ") if c is not None else F.lit("")
+    known = None if summary is None else F.when(some(summary), F.concat_ws("\n", F.when(some(joined(terms)), F.concat(F.lit("**Key Terms**: "), joined(terms))), F.concat(F.lit("**Also Known As**: "), F.coalesce(joined(aliases), F.lit("")))))
+    info = F.concat_ws("  \n", *(F.when(some(fields[k]), F.concat(F.lit(f"**{label}**: "), fields[k])) for k, label in PATENT_LABELS.items()))
+    described = [under(to, F.try_element_at(parts["description"], F.lit(of))) for of, to in PATENT_HEADINGS.items()]
+    figure = lambda d: F.when(some(d["description"]), F.concat(F.lit("- **Figure "), d["figure"], F.lit("**: "), d["description"])).otherwise(F.concat(F.lit("- Figure "), d["figure"]))
+    figures = F.when(F.size(drawings_) > 0, F.concat(F.lit("The patent includes the following figures:\n\n"), F.array_join(F.transform(drawings_, figure), "\n")))
+    listed = F.array_join(F.transform(claims_, lambda c: F.concat(c["number"].cast("string"), F.lit(". "), c["text"])), "\n\n")
+    return F.concat_ws("\n\n", front, *([known] if known is not None else []), F.concat(F.lit("# "), title), info, under("Abstract", parts["abstract"]), *described, under("Drawings", figures), under("Claims", listed))
+
+
 def raw_article(title: Column, text: Column) -> Column:  # T29
     """Plain Markdown as it is, with a heading of its own if it begins with none."""
     body = X.normalize_markdown(text)

@@ -294,6 +294,44 @@ def arxiv_articles(t):
     return t.documents.select("doc_id", E.arxiv_article(F.concat(F.lit("D"), F.col("doc_id").cast("string")), F.array("source", F.lit("Ann")), number, F.lit("2024-01-02"), F.left("text", F.lit(300)), F.col("text")).alias("md"))
 
 
+_NUMBER = "'US' || (1000000 + page_id)"
+_BODY = _TRIM.format(_r(_BLOCK.replace("html", _TRIM.format("html"), 1), ("\\n{3,}", "\n\n", "g")))
+
+
+def patent_pages(t):
+    """Each page as a patent's background, behind microdata and before drawings and two claims; a third of them without an assignee, another without drawings."""
+    n, odd = F.col("page_id").cast("string"), F.col("page_id") % 3
+    return t.pages.select("page_id", F.concat(F.lit("US"), (F.col("page_id") + 1000000).cast("string")).alias("number"), F.concat(
+        F.lit('<meta name="DC.title" content="T '), n, F.lit('"><meta name="DC.contributor" scheme="inventor" content="Ann Lee"><meta name="DC.contributor" scheme="inventor" content="Bo"><dd itemprop="applicationNumber">'), n,
+        F.when(odd == 0, "</dd>").otherwise('</dd><dd itemprop="assigneeOriginal">Acme</dd>'), F.lit('<time itemprop="filingDate" datetime="2020-01-02">x</time><section itemprop="abstract"><div>'), "url", F.lit(". More</div></section><heading>BACKGROUND</heading>"), "html",
+        F.lit("<heading>BRIEF DESCRIPTION OF THE DRAWINGS</heading>"), F.when(odd == 1, "").otherwise('<div class="description-paragraph"><figref>FIGS. 1A and 2</figref> shows it</div>'), F.lit("<heading>X</heading>"),
+        F.lit('<div id="CLM-1" num="00001" class="claim"><div>1. A thing.</div></div><div id="CLM-2" num="00002" class="claim"><div>2. A thing of claim 1, '), n, F.lit("</div></div>"),
+    ).alias("html"))
+
+
+@query(
+    f"""WITH p AS (SELECT page_id, {_NUMBER} AS n, url, {_BODY} AS body, page_id % 3 AS odd, chr(10) AS e FROM pages)
+SELECT page_id, '---' || e || 'id: us' || (1000000 + page_id) || e || 'title: T ' || page_id || e || 'type: patent' || e || 'personas: [a, b]' || e || 'summary: ' || url || e || 'identifiers:' || e || '  patent_number: "' || n || '"' || e || '  application_number: "' || page_id || '"' || e
+|| 'dates:' || e || '  filing: "2020-01-02"' || e || 'actors:' || e || '  - name: "Ann Lee"' || e || '    role: "inventor"' || e || '  - name: "Bo"' || e || '    role: "inventor"' || e || CASE WHEN odd = 0 THEN '' ELSE '  - name: "Acme"' || e || '    role: "original_assignee"' || e END || '---' || e || e
+|| '# T ' || page_id || e || e || '**Patent Number**: ' || n || '  ' || e || '**Application Number**: ' || page_id || '  ' || e || '**Inventors**: Ann Lee, Bo  ' || e || CASE WHEN odd = 0 THEN '' ELSE '**Original Assignee**: Acme  ' || e END || '**Filing Date**: 2020-01-02' || e || e
+|| '## Abstract' || e || e || e || url || '. More' || e || e || CASE WHEN body = '' THEN '' ELSE '## Background of the Invention' || e || e || e || body || e || e END
+|| CASE WHEN odd = 1 THEN '' ELSE '## Drawings' || e || e || e || 'The patent includes the following figures:' || e || e || '- **Figure 1A**: shows it' || e || '- **Figure 2**: shows it' || e || e END
+|| '## Claims' || e || e || e || '1. A thing.' || e || e || '2. A thing of claim 1, ' || page_id AS md FROM p"""
+)
+def patent_html_articles(t):
+    html, personas = F.col("html"), F.array(F.lit("a"), F.lit("b"))
+    found = patent_pages(t).withColumns({"p": E.patent_parts(html), "m": E.patent_metadata(html), "d": E.drawings(html), "c": E.claims(html)})
+    shown = F.when(F.col("page_id") % 3 == 1, F.filter("d", lambda x: x["description"].isNotNull())).otherwise(F.col("d"))  # figures that the page itself names aren't this patent's
+    return found.select("page_id", E.patent_html_article(F.col("number"), F.col("p"), F.col("m"), shown, F.col("c"), personas).alias("md"))
+
+
+@query("WITH d AS (SELECT event_id, ts, date_diff('day', ts::DATE, (SELECT max(ts)::DATE FROM events)) AS n FROM events) SELECT event_id, CASE WHEN n = 0 THEN 'Today' WHEN n = 1 THEN 'Yesterday' WHEN n < 7 THEN n || ' days ago' ELSE strftime(ts, '%Y-%m-%d') END AS day FROM d")
+def relative_days(t):
+    """Days as seen from the last event's."""
+    last = t.events.agg(F.max("ts").alias("last"))  # one row
+    return t.events.join(F.broadcast(last)).select("event_id", X.relative_day(F.col("ts"), F.col("last")).alias("day"))
+
+
 _OWN = normal("CASE WHEN lang = 'en' THEN '' ELSE '# Own' || chr(10) || chr(10) END || text")
 
 

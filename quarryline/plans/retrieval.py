@@ -186,6 +186,11 @@ def vector_norms(t):
     return t.embeddings.select("vec_id", F.round(V.norm(F.col("embedding")), 6).alias("norm"), F.size("embedding").alias("dims"), F.size(F.filter(V.binary_quantized(F.col("embedding")), lambda x: x)).alias("positive"))
 
 
+@query("SELECT vec_id, unnest(range(0, len(embedding))) AS i, round(unnest(embedding::DOUBLE[]) / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS x FROM embeddings")
+def vectors_normalized(t):
+    return t.embeddings.select("vec_id", F.posexplode(V.normalized(F.col("embedding"))).alias("i", "x")).select("vec_id", F.col("i").cast("long").alias("i"), F.round("x", 6).alias("x"))
+
+
 @query("SELECT label, i, round(avg(x::DOUBLE), 6) AS mean FROM (SELECT label, unnest(range(0, len(embedding))) AS i, unnest(embedding) AS x FROM embeddings) GROUP BY label, i")
 def vector_centroid(t):
     return S.centroid(t.embeddings, "label").select("label", F.posexplode(F.transform("centroid", lambda x: F.round(x, 6))).alias("i", "mean")).withColumn("i", F.col("i").cast("long"))

@@ -120,3 +120,32 @@ def test_long_pages_in_windows(spark):
     assert "".join(x[100:] for x in windows[1:-1]) == 'itemprop="description">' + "".join(parts[:-1])  # text after the last heading is lost
     assert all(x.startswith(html[:100]) and len(x) <= 3100 for x in windows[1:-1]) and len(windows) > 8
     assert [sum(f">c{i}<" in x for x in windows) for i in range(9)] == [1] * 9 and windows[-1].startswith(html[:100])
+
+
+def test_patent_html_article(spark):
+    from quarryline.operators import extract as E
+
+    html = (
+        '<meta name="DC.title" content="A Lamp"><meta name="DC.contributor" scheme="inventor" content="Ann Lee"><dd itemprop="assigneeCurrent">Acme</dd><dd itemprop="assigneeOriginal">Acme</dd>'
+        '<time itemprop="grantDate" datetime="2021-05-06">x</time><section itemprop="abstract"><div>It shines. It lasts.</div></section><heading>SUMMARY</heading><p>Short.</p><heading>DETAILED DESCRIPTION</heading><p>Long.</p>'
+        '<heading>BRIEF DESCRIPTION OF THE DRAWINGS</heading><div class="description-paragraph"><figref>FIG. 1</figref> a lamp</div><div id="CLM-1" num="1" class="claim"><div>1. A lamp.</div></div>'
+    )
+    df = spark.createDataFrame([(1, html), (2, ""), (3, None)], "id int, html string")
+    h, people, words = F.col("html"), F.array(F.lit("p")), F.array(F.lit("lamp"), F.lit("light"))
+    found = lambda *more: E.patent_html_article(F.lit("US1234567B2"), E.patent_parts(h), E.patent_metadata(h), E.drawings(h), E.claims(h), people, *more)
+    got = {r.id: r for r in df.select("id", found().alias("plain"), found(F.lit("About lamps."), words, F.array().cast("array<string>")).alias("known")).collect()}
+    assert got[1].plain == (
+        '---\nid: us1234567b2\ntitle: A Lamp\ntype: patent\npersonas: [p]\nsummary: It shines\nidentifiers:\n  patent_number: "US1234567B2"\ndates:\n  granted: "2021-05-06"\n'
+        'actors:\n  - name: "Ann Lee"\n    role: "inventor"\n  - name: "Acme"\n    role: "current_assignee"\n  - name: "Acme"\n    role: "original_assignee"\n---\n\n'
+        "# A Lamp\n\n**Patent Number**: US1234567B2  \n**Inventors**: Ann Lee  \n**Current Assignee**: Acme  \n**Grant Date**: 2021-05-06\n\n## Abstract\n\n\nIt shines. It lasts.\n\n"
+        "## Summary of the Invention\n\n\nShort.\n\n## Detailed Description\n\n\nLong.\n\n## Drawings\n\n\nThe patent includes the following figures:\n\n- **Figure 1**: a lamp\n\n## Claims\n\n\n1. A lamp."
+    )
+    assert "summary: About lamps.\n" in got[1].known and "---\n\n**Key Terms**: lamp, light\n**Also Known As**: \n\n# A Lamp" in got[1].known
+    bare = '---\nid: us1234567b2\ntitle: US1234567B2\ntype: patent\npersonas: [p]\nidentifiers:\n  patent_number: "US1234567B2"\n---\n\n# US1234567B2\n\n**Patent Number**: US1234567B2'
+    assert (got[2].plain, got[3].plain) == (bare, bare)
+
+
+def test_tokens_are_runs_of_word_signs(spark):
+    texts = ["", None, "  ", "A-b_c d'é 1.5", "--x--", "a\u00a0b\tC"]
+    got = [r.w for r in spark.createDataFrame([(x,) for x in texts], "s string").select(X.tokens(F.col("s")).alias("w")).collect()]
+    assert got == [[], None, [], ["a", "b_c", "d", "1", "5"], ["x"], ["a", "b", "c"]]
