@@ -116,16 +116,21 @@ def page_title(t):
     return t.pages.select("page_id", X.title_of(F.concat(F.lit("intro\n# "), F.regexp_extract("html", "<h1>(.*?)</h1>", 1), F.lit("\n## x"))).alias("title"))
 
 
-@query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '2025-01-21' WHEN 1 THEN '2022-03-22' END AS date FROM documents")
+@query("SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN strftime(o_orderdate, '%Y-%m-%d') END AS date FROM orders")
 def iso_dates(t):
-    k = F.col("doc_id") % 3
-    return t.documents.select("doc_id", X.iso_date(F.when(k == 0, "21 Jan 2025").when(k == 1, "Mar. 22, 2022").otherwise("soon")).alias("date"))
+    """Dates of orders as they are written in papers and patents; pending ones have none."""
+    day, k = lambda form: F.date_format("o_orderdate", form), F.col("o_orderkey") % 3
+    said = F.when(k == 0, day("d MMM yyyy")).when(k == 1, day("MMM. d, yyyy")).otherwise(day("MMMM dd, yyyy"))
+    return t.orders.select("o_orderkey", X.iso_date(F.when(F.col("o_orderstatus") == "P", "in 30 days").otherwise(F.concat(F.lit("on "), said, F.lit(" at noon")))).alias("date"))
 
 
-@query("SELECT doc_id, coalesce(CASE WHEN doc_id % 2 = 0 THEN '2020-01-0' || (doc_id % 9 + 1) END, CASE WHEN doc_id % 3 = 0 THEN '2021-01-01' END, '2019-01-01') AS date FROM documents")
+@query(
+    "SELECT o_orderkey, coalesce(CASE WHEN o_orderstatus = 'O' THEN strftime(o_orderdate, '%Y-%m-%d') END, CASE WHEN o_orderpriority = '3-MEDIUM' THEN strftime(o_orderdate + INTERVAL 30 DAY, '%Y-%m-%d') END, CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate - INTERVAL 30 DAY, '%Y-%m-%d') END, CASE WHEN o_totalprice > 100000 THEN strftime(o_orderdate, '%Y') END) AS date FROM orders"
+)
 def coalesce_dates(t):
-    d = F.create_map(F.lit("created"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("2020-01-0"), (F.col("doc_id") % 9 + 1).cast("string"))).otherwise(""), F.lit("filing"), F.when(F.col("doc_id") % 3 == 0, "2021-01-01").otherwise(""))
-    return t.documents.select("doc_id", E.primary_date(d, F.lit("2019-01-01")).alias("date"))
+    day = lambda held, shift: F.when(held, F.date_format(F.date_add("o_orderdate", shift), "yyyy-MM-dd")).otherwise("")
+    dates = F.create_map(F.lit("filing"), day(F.col("o_orderkey") % 2 == 0, -30), F.lit("published"), day(F.col("o_orderpriority") == "3-MEDIUM", 30), F.lit("created"), day(F.col("o_orderstatus") == "O", 0))
+    return t.orders.select("o_orderkey", E.primary_date(dates, F.when(F.col("o_totalprice") > 100000, F.date_format("o_orderdate", "yyyy")).otherwise("")).alias("date"))
 
 
 @query("SELECT page_id, url, 'k1;k2' AS terms, 'Name ' || page_id AS aka, 'Sec' AS section FROM pages")
@@ -135,10 +140,15 @@ def url_list(t):
     return x.select("page_id", "x.url", F.array_join("x.key_terms", ";").alias("terms"), F.col("x.also_known_as").alias("aka"), "x.section")
 
 
-@query("SELECT page_id, unnest([1, 2, 3]) AS number, unnest([NULL, 1, 2]) AS depends_on FROM pages")
+@query(
+    "SELECT page_id, i AS number, CASE WHEN i > 1 THEN i - 1 END AS depends_on, CASE WHEN i = 1 THEN 'A device' ELSE 'The device of claim ' || (i - 1) END || ' at ' || url || ' there' AS text FROM (SELECT page_id, url, unnest(range(1, (page_id % 5 + 2)::BIGINT))::INT AS i FROM pages)"
+)
 def patent_claims(t):
-    html = F.concat(F.lit('<section itemprop="claims"><p>1. A device with '), F.col("page_id").cast("string"), F.lit(" parts.</p><p>2. The device of claim 1, flat.</p><p>3. The device as claimed in claim 2.</p></section>"))
-    return t.pages.select("page_id", F.explode(E.claims(html)).alias("c")).select("page_id", "c.number", "c.depends_on")
+    """One to five claims a page, each on the one before it, that name the page's address."""
+    i = lambda n: n.cast("string")
+    claim = lambda n: F.concat(F.lit("<p>"), i(n), F.lit(". "), F.when(n == 1, "A device").otherwise(F.concat(F.lit("The device of claim "), i(n - 1))), F.lit(" at "), F.col("url"), F.lit(" there</p>"))
+    html = F.concat(F.lit('<section itemprop="claims">'), F.array_join(F.transform(F.sequence(F.lit(1), (F.col("page_id") % 5 + 1).cast("int")), claim), ""), F.lit("</section>"))
+    return t.pages.select("page_id", F.explode(E.claims(html)).alias("c")).select("page_id", "c.number", "c.depends_on", "c.text")
 
 
 @query("SELECT page_id, unnest(['3A', '3B', '4']) AS figure FROM pages")
@@ -147,11 +157,14 @@ def patent_drawings(t):
     return t.pages.select("page_id", F.explode(E.drawings(html)).alias("d")).select("page_id", "d.figure")
 
 
-@query("SELECT page_id, 'US' || (1000000 + page_id) AS patent_number, '2022-03-22' AS filing, '2042-03-22' AS expiration, 'Ann Lee;Bo Ray;Acme' AS people FROM pages")
+@query(
+    "SELECT o_orderkey, 'US' || (1000000 + o_orderkey) AS patent_number, strftime(o_orderdate, '%Y-%m-%d') AS filing, (year(o_orderdate) + 20) || strftime(o_orderdate, '-%m-%d') AS expiration, c_name || ';Bo Ray;' || c_mktsegment AS people FROM orders JOIN customer ON o_custkey = c_custkey"
+)
 def patent_metadata(t):
-    text = F.concat(F.lit("US "), (F.col("page_id") + 1000000).cast("string"), F.lit(" B2\nFiled: Mar. 22, 2022\nInventors: Ann Lee, Oslo; Bo Ray, Rome\nAssignee: Acme, Inc\n"))
-    m = t.pages.select("page_id", E.patent_text_metadata(text, F.lit("x")).alias("m"))
-    return m.select("page_id", "m.patent_number", "m.filing", "m.expiration", F.array_join(F.transform("m.actors", lambda a: a["name"]), ";").alias("people"))
+    """Orders as front pages of patents: filed on their day, by their customer, for its segment."""
+    text = F.concat(F.lit("US "), (F.col("o_orderkey") + 1000000).cast("string"), F.lit(" B2\nFiled: "), F.date_format("o_orderdate", "MMM. d, yyyy"), F.lit("\nInventors: "), "c_name", F.lit(", Oslo; Bo Ray, Rome\nAssignee: "), "c_mktsegment", F.lit(", Inc\n"))
+    m = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", E.patent_text_metadata(text, F.lit("x")).alias("m"))
+    return m.select("o_orderkey", "m.patent_number", "m.filing", "m.expiration", F.array_join(F.transform("m.actors", lambda a: a["name"]), ";").alias("people"))
 
 
 @query("SELECT doc_id, '---' || chr(10) || 'id: d' || doc_id || chr(10) || 'title: \"T \\\"' || lang || '\\\"\"' || chr(10) || 'type: ' || lang || chr(10) || 'personas: [a, b]' || chr(10) || '---' || chr(10) AS front FROM documents")
@@ -160,9 +173,9 @@ def frontmatter_write(t):
     return t.documents.select("doc_id", E.frontmatter(F.concat(F.lit("d"), F.col("doc_id").cast("string")), F.concat(F.lit('T "'), F.col("lang"), F.lit('"')), F.col("lang"), none, none, F.array(F.lit("a"), F.lit("b")), none, none).alias("front"))
 
 
-@query("SELECT doc_id, 'd' || doc_id AS id, lang AS title, 'body' AS body FROM documents")
+@query("SELECT doc_id, 'd' || doc_id AS id, lang || ': ' || source AS title, regexp_replace(text, '^\\s*\\n', '') AS body FROM documents")
 def frontmatter_read(t):
-    md = F.concat(F.lit("---\nid: d"), F.col("doc_id").cast("string"), F.lit('\ntitle: "'), F.col("lang"), F.lit('"\n---\nbody'))
+    md = F.concat(F.lit("---\nid: d"), F.col("doc_id").cast("string"), F.lit('\ntitle: "'), "lang", F.lit(": "), "source", F.lit('"\n---\n'), "text")
     m = E.flat_yaml(X.frontmatter_block(md))
     return t.documents.select("doc_id", m["id"].alias("id"), m["title"].alias("title"), X.strip_frontmatter(md).alias("body"))
 
