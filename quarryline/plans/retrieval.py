@@ -151,7 +151,9 @@ z AS (SELECT * FROM y QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY sc
 SELECT chunk_id, doc_id, score, row_number() OVER (ORDER BY score DESC, ins) AS rank FROM z QUALIFY rank <= 12"""
 )
 def hybrid_search(t):
-    return S.hybrid(*S.settled_together(lambda: vector_list(t), lambda: lexical_list(t)), cited(t), tags(t), QUERY, ["Alias of ES"]).select("chunk_id", "doc_id", "score", "rank")
+    # what two messages cite is as bounded as a ranked list
+    vector, lexical, recent = S.settled_together(lambda: vector_list(t), lambda: lexical_list(t), lambda: cited(t))
+    return S.hybrid(vector, lexical, recent, tags(t), QUERY, ["Alias of ES"]).select("chunk_id", "doc_id", "score", "rank")
 
 
 @query(f"WITH {_V}, {_B}, {_R} SELECT doc_id, count(*) AS n, arg_min(score, ins) AS first_score FROM r GROUP BY doc_id")
