@@ -167,27 +167,33 @@ def reingest_status(status: Column, changed: Column) -> Column:  # T32
 # --- lists, topics, frontmatter -----------------------------------------------------------------
 
 
-def url_items(content: Column) -> Column:  # IO13: array of struct(url, key_terms, also_known_as, section)
-    ls = F.transform(F.split(content, "\n"), X.trimmed)
-    heads = F.transform(ls, lambda x, i: F.when(x.startswith("##"), F.struct(i.alias("i"), X.trimmed(F.regexp_replace(x, r"^##\s+", "")).alias("t"))))
-    known = F.filter(heads, lambda h: h.isNotNull())
+_ITEM = "struct<url:string,key_terms:array<string>,also_known_as:string,section:string>"
 
-    def item(x: Column, i: Column) -> Column:
-        parts = F.transform(F.split(X.trimmed(F.regexp_replace(x, r"^[-*]\s+", "")), r"\|"), X.trimmed)
+
+def url_items(content: Column) -> Column:  # IO13: array of struct(url, key_terms, also_known_as, section)
+    def row(parts: Column, section: Column) -> Column:
         aka = F.get(F.filter(parts, lambda p: F.lower(p).startswith("aka:")), F.lit(0))
         second = F.get(parts, F.lit(1))
         terms = F.when(F.coalesce(second, F.lit("")).rlike("(?i)^(?!aka:).") , F.filter(F.transform(F.split(second, ","), X.trimmed), lambda t: t != ""))
-        above = F.filter(known, lambda h: h["i"] < i)
-        row = F.struct(F.get(parts, F.lit(0)).alias("url"), terms.alias("key_terms"), X.trimmed(F.regexp_replace(aka, r"(?i)^aka:\s*", "")).alias("also_known_as"), F.try_element_at(above, F.lit(-1))["t"].alias("section"))
-        return F.when(x.startswith("-") & (F.get(parts, F.lit(0)) != ""), row)
+        return F.struct(F.get(parts, F.lit(0)).alias("url"), terms.alias("key_terms"), X.trimmed(F.regexp_replace(aka, r"(?i)^aka:\s*", "")).alias("also_known_as"), section.alias("section")).cast(_ITEM)
 
-    return F.filter(F.transform(ls, item), lambda r: r.isNotNull())
+    def item(section: Column, x: Column, i: Column) -> Column:
+        none = F.array().cast(f"array<{_ITEM}>")
+        parts = F.transform(F.split(X.trimmed(F.regexp_replace(x, r"^[-*]\s+", "")), r"\|"), X.trimmed)
+        return F.when(x.startswith("-"), bound(parts, lambda p: F.when(F.get(p, F.lit(0)) != "", F.array(row(p, section))).otherwise(none))).otherwise(none)
+
+    # the state is the last heading's text
+    heading = lambda section, x, i: F.when(x.startswith("##"), X.trimmed(F.regexp_replace(x, r"^##\s+", ""))).otherwise(section)
+    return F.when(content.isNotNull(), folded(F.transform(F.split(content, "\n"), X.trimmed), F.lit(None).cast("string"), heading, item, _ITEM))
 
 
 def url_list_problems(content: Column) -> Column:  # T30
-    items = url_items(content)
-    urls = F.transform(items, lambda x: F.lower(x["url"]))
-    return F.array_compact(F.array(F.when(X.trimmed(content) == "", "URL list is empty").when(F.size(items) == 0, "No valid URLs found in the list"), F.when(F.size(urls) > F.size(F.array_distinct(urls)), F.concat(F.lit("Found "), (F.size(urls) - F.size(F.array_distinct(urls))).cast("string"), F.lit(" duplicate URLs"))), F.when(F.size(items) > 50, F.concat(F.lit("Large batch detected: "), F.size(items).cast("string")))))
+    def of(urls: Column) -> Column:
+        again = F.size(urls) - F.size(F.array_distinct(urls))
+        found = bound(again, lambda n: F.when(n > 0, F.concat(F.lit("Found "), n.cast("string"), F.lit(" duplicate URLs"))))
+        return F.array_compact(F.array(F.when(X.trimmed(content) == "", "URL list is empty").when(F.size(urls) == 0, "No valid URLs found in the list"), found, F.when(F.size(urls) > 50, F.concat(F.lit("Large batch detected: "), F.size(urls).cast("string")))))
+
+    return bound(F.transform(url_items(content), lambda x: F.lower(x["url"])), of)
 
 
 def document_problems(title: Column, summary: Column, body: Column) -> Column:  # T30
