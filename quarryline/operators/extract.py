@@ -86,40 +86,41 @@ def patent_metadata(html: Column) -> Column:  # T22, T23: struct of identifiers,
     )
 
 
+_HEADING = r"<(?i:heading)[^>]*>[^<]+</(?i:heading)>"
+
+
 def html_windows(html: Column, most: int = 300_000, header: int = 50_000) -> Column:  # T13 with Q15
     """The page itself if it fits; else what comes before the description, the description in groups of headings, and the claims, the last two behind the page's first characters.
 
-    Cuts are chosen from the elements' offsets: the fold over the description's parts keeps the open
-    group's beginning and size, and the groups are cut out afterwards.
+    Cuts are chosen from offsets, in characters; a group of the description is found by one look back
+    from as far as it may reach, so the page's text is gone through a few times, whatever its headings.
     """
-    at = lambda pattern: F.coalesce(F.nullif(F.regexp_instr(html, F.lit(pattern)), F.lit(0)), F.lit(0)) - 1
+    at = lambda text: F.coalesce(F.instr(html, text), F.lit(0)) - 1
     cut = lambda x, i, j: x.substr((i + 1).cast("int"), (j - i).cast("int"))
     strings = "array<string>"
 
-    def grouped(parts: Column) -> Column:
-        """Texts of neighbouring parts, each within most where a part is; text after the last heading is lost."""
-        state = lambda first, n: F.struct(first.cast("int").alias("first"), n.cast("int").alias("n"))
-        over = lambda a, p: a["n"] + F.length(p) > most
-        kept = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
-
-        def of(ps: Column) -> Column:
-            step = lambda a, p, i: F.when(over(a, p), state(i, F.length(p))).otherwise(state(a["first"], a["n"] + F.length(p)))
-            ends = folded(ps, state(F.lit(0), F.lit(0)), step, lambda a, p, i: F.when(over(a, p), F.array(i)).otherwise(F.array().cast("array<int>")), "int")
-            text = lambda begin, end: F.array_join(F.slice(ps, begin + 1, end - begin), "")
-            all_ = bound(F.concat(ends, F.array(F.size(ps))), lambda es: F.transform(es, lambda e, k: text(F.coalesce(F.get(es, k - 1), F.lit(0)), e)))
-            return bound(all_, lambda xs: F.filter(xs, lambda x, k: (x != "") | (k < F.size(xs) - 1)))
-
-        return bound(kept, of)
+    def grouped(t: Column) -> Column:
+        """Texts of neighbouring parts (each from a heading to the next), within most where a part is; text after the last heading is lost."""
+        # characters beyond 16 bits count as one, and have the matcher call itself where they change with others
+        plain = F.regexp_replace(t, r"[\x{10000}-\x{10FFFF}]", "\ue000")
+        found = F.regexp_extract_all(plain, F.lit(rf"(?s)\G(?:.{{1,{most}}}(?={_HEADING})|.+?(?={_HEADING}))"), F.lit(0))
+        state = lambda first, last: F.struct(first.cast("int").alias("first"), last.cast("int").alias("last"))
+        spans = lambda ns: folded(ns, F.lit(0), lambda a, n, i: a + n, lambda a, n, i: F.array(state(a, a + n)), "struct<first:int,last:int>")
+        texts = bound(F.transform(found, F.length), lambda ns: F.transform(spans(ns), lambda x: cut(t, x["first"], x["last"])))
+        # a first part that is too long leaves an empty group before it
+        return bound(texts, lambda xs: F.when(F.length(F.get(xs, F.lit(0))) > most, F.concat(F.array(F.lit("")), xs)).otherwise(xs))
 
     def windows(x: Column) -> Column:
         a, d, c, head = x["a"], x["d"], x["c"], F.substring(html, 1, header)
         one = F.when(a > 0, cut(html, F.lit(0), F.greatest(F.when(d > 0, d).otherwise(c), F.lit(0)))).otherwise(head)
         body = F.when((d > 0) & (c > 0), cut(html, d, c)).otherwise(F.lit(""))
-        described = lambda t: F.when(t == "", F.array().cast(strings)).when(F.length(t) > most, grouped(F.split(t, r"(?i)(?=<heading[^>]*>[^<]+</heading>)"))).otherwise(F.array(t))
+        described = lambda t: F.when(t == "", F.array().cast(strings)).when(F.length(t) > most, grouped(t)).otherwise(F.array(t))
         tail = F.when(c > 0, F.array(F.concat(head, cut(html, c, F.length(html))))).otherwise(F.array().cast(strings))
         return F.concat(F.array(one), F.transform(bound(body, described), lambda t: F.concat(head, t)), tail)
 
-    offsets = F.struct(at('itemprop="abstract"').alias("a"), at('itemprop="description"').alias("d"), at(r'(?i)<section[^>]*itemprop="claims"').alias("c"))
+    # the first match's own text is not found before it
+    tag = bound(F.regexp_extract(html, r'<(?i:section)[^>]*(?i:itemprop="claims")', 0), lambda m: F.when(m != "", at(m)).otherwise(F.lit(-1)))
+    offsets = F.struct(at('itemprop="abstract"').alias("a"), at('itemprop="description"').alias("d"), tag.alias("c"))
     return F.when(F.length(html) <= most, F.array(html)).otherwise(bound(offsets, windows))
 
 

@@ -198,7 +198,9 @@ def long_pages(t):
     front = F.concat(F.lit('<meta name="DC.title" content="T"><section itemprop="abstract"><div>'), "url", F.lit("</div></section><section "))
     part = F.concat(F.lit("<heading>Part</heading>"), "html")
     body = F.repeat(part, F.expr("cast(700000 div (23 + length(html)) + 2 as int)"))
-    return t.pages.select("page_id", F.concat(front, F.lit('itemprop="description">'), body, F.lit(_CLAIMS)).alias("html"))
+    # each short row becomes a long one, so rows are dealt to all cores before
+    dealt = t.pages.repartition(4 * t.spark.sparkContext.defaultParallelism)
+    return dealt.select("page_id", F.concat(front, F.lit('itemprop="description">'), body, F.lit(_CLAIMS)).alias("html"))
 
 
 @query(f"WITH {_LONG.replace('_CLAIMS', chr(39) + _CLAIMS + chr(39))} SELECT page_id, 200000 AS first, whole, groups + 2 AS windows, 5 AS claims, groups * 50000 + 23 + parts * part AS described FROM g")
