@@ -38,10 +38,36 @@ def vector_threshold(config: Column) -> Column:  # P13
     return F.coalesce(config["search"]["vector_threshold"], config["router"]["vector_threshold"], F.lit(0.35))
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """(term, chunk_id, doc_id, tf, len): write it once and search it often."""
+#: Postings that one task sorts and writes: their partitions grow with the index, and a task's memory doesn't.
+POSTINGS_A_TASK = 1_000_000
+
+
+def counted(words: Column) -> Column:
+    """array<struct<term, tf>> of an array of words: sorted, equal ones stand together, so a text's words are counted in its row."""
+
+    def runs(s: Column) -> Column:
+        begins = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        tf = lambda at, i, k: F.coalesce(F.get(at, k + 1), F.size(s)) - i
+        return X.bound(begins, lambda at: F.transform(at, lambda i, k: F.struct(F.get(s, i).alias("term"), tf(at, i, k).cast("long").alias("tf"))))
+
+    return X.bound(F.sort_array(words), lambda s: F.when(F.size(s) > 0, runs(s)).otherwise(F.array().cast("array<struct<term:string,tf:bigint>>")))
+
+
+def counted_words(chunks: DataFrame) -> DataFrame:
+    """(chunk_id, doc_id, len, counts), a row a chunk, written: texts are split once."""
     words = chunks.select("chunk_id", "doc_id", X.tokens(F.col("text")).alias("w"))
-    return words.select("chunk_id", "doc_id", F.size("w").alias("len"), F.explode("w").alias("term")).groupBy("term", "chunk_id", "doc_id", "len").agg(F.count("*").alias("tf"))
+    return written(words.select("chunk_id", "doc_id", F.size("w").alias("len"), counted(F.col("w")).alias("counts")), "words")
+
+
+def postings(words: DataFrame) -> DataFrame:
+    """(term, chunk_id, doc_id, len, tf) of what ``counted_words`` wrote: nothing is shuffled."""
+    return words.select("chunk_id", "doc_id", "len", F.explode("counts").alias("x")).select("x.term", "chunk_id", "doc_id", "len", "x.tf")
+
+
+def dealt(rows: DataFrame, n: int) -> DataFrame:
+    """n postings dealt by ranges of term and chunk, and in order."""
+    parts = max(rows.sparkSession.sparkContext.defaultParallelism, n // POSTINGS_A_TASK + 1)
+    return rows.repartitionByRange(parts, "term", "chunk_id").sortWithinPartitions("term", "chunk_id")
 
 
 def lexical_index(chunks: DataFrame, path: str) -> None:
@@ -50,11 +76,10 @@ def lexical_index(chunks: DataFrame, path: str) -> None:
     Postings are dealt by ranges of term and chunk, so a very common term spreads over files, and the
     files and row groups of other terms are skipped when a few terms are read.
     """
-    words = written(chunks.select("chunk_id", "doc_id", X.tokens(F.col("text")).alias("w")).select("*", F.size("w").alias("len")), "words")  # texts are split once
+    words = counted_words(chunks)
     words.agg(F.count("*").alias("n"), F.avg("len").alias("mean")).write.mode("overwrite").parquet(f"{path}/stats")
-    # ranges of (term, chunk) are clustered by what is counted, so one shuffle does for both
-    each = words.select("chunk_id", "doc_id", "len", F.explode("w").alias("term")).repartitionByRange("term", "chunk_id")
-    each.groupBy("term", "chunk_id", "doc_id", "len").agg(F.count("*").alias("tf")).sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(f"{path}/postings")
+    n = words.agg(F.sum(F.size("counts"))).first()[0] or 0
+    dealt(postings(words), n).write.mode("overwrite").parquet(f"{path}/postings")
 
 
 def bm25_of_index(spark: SparkSession, path: str, terms: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:  # L1, L2
