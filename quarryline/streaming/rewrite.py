@@ -12,7 +12,7 @@ import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -54,52 +54,67 @@ class Rule(NamedTuple):
 MATH = (Rule("\\(", "\\)", "$", "$"), Rule("\\[", "\\]", "\n$$\n", "\n$$\n"))
 
 
+#: Pieces that wait for their turn are kept in blocks of so many.
+BLOCK = 64
+
+
 class Rewriter(StatefulProcessor):
-    """Keyed by text. State: the next piece's number, the parts sent, each rule's buffer; pieces that came before their turn."""
+    """Keyed by text. State: the next piece's number, the parts sent, each rule's buffer, the first number of each waiting block; the blocks of pieces that came before their turn.
+
+    A key's state is read and written a few times a micro-batch, not once a piece. frames: whether rows come and go as pandas frames.
+    """
 
-    def __init__(self, rules: tuple[Rule, ...], idle_ms: int | None):
-        self.rules, self.idle_ms = rules, idle_ms
+    def __init__(self, rules: tuple[Rule, ...], idle_ms: int | None, frames: bool = True):
+        self.rules, self.idle_ms, self.frames = rules, idle_ms, frames
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("state", "next long, parts long, held array<string>")
-        self.waiting = handle.getMapState("waiting", "seq long", "piece string, is_last boolean")
+        self.state = handle.getValueState("state", "next long, parts long, held array<string>, waiting array<long>")
+        self.waiting = handle.getMapState("waiting", "first long", "seqs array<long>, pieces array<string>, lasts array<boolean>")
 
-    def _restored(self) -> tuple[int, int, list[str]]:
-        if self.state.exists():
-            next_, parts, held = self.state.get()
-            return next_, parts, list(held)
-        return 0, 0, [""] * len(self.rules)
+    def _restored(self) -> tuple[int, int, list[str], list[int]]:
+        found = self.state.get()
+        if found is None:
+            return 0, 0, [""] * len(self.rules), []
+        next_, parts, held, waiting = found
+        return next_, parts, list(held), list(waiting)
 
-    def _end(self) -> None:
+    def _end(self, waiting: list[int]) -> None:
         self.state.clear()
-        self.waiting.clear()
+        if waiting:
+            self.waiting.clear()
 
     def _row(self, key: tuple, part: int, text: str, last: bool):
+        if not self.frames:
+            return Row(id=key[0], part=part, text=text, is_last=last)
         import pandas as pd
 
         return pd.DataFrame({"id": [key[0]], "part": [part], "text": [text], "is_last": [last]})
 
+    def _pieces(self, rows: Iterator) -> Iterator[tuple]:
+        if not self.frames:
+            return (r[1:] for r in rows)
+        return (x for df in rows for x in zip(df["seq"], df["piece"], df["is_last"], strict=True))
+
+    def _block(self, first: int) -> dict:
+        return {s: (p, z) for s, p, z in zip(*self.waiting.getValue((first,)), strict=True)}
+
     def handleInputRows(self, key: tuple, rows: Iterator, timerValues) -> Iterator:  # noqa: N802, N803
-        next_, parts, held = self._restored()
-        here = {}
-        for df in rows:
-            here |= {int(s): (p or "", bool(z)) for s, p, z in zip(df["seq"], df["piece"], df["is_last"], strict=True) if s >= next_}
+        next_, parts, held, waiting = self._restored()
+        here = {int(s): (p or "", bool(z)) for s, p, z in self._pieces(rows) if s >= next_}
         out, ended = [], False
         while not ended:
-            if next_ in here:
-                piece, ended = here.pop(next_)
-            elif self.waiting.containsKey((next_,)):
-                piece, ended = self.waiting.getValue((next_,))
-                self.waiting.removeKey((next_,))
-            else:
+            while waiting and waiting[0] <= next_:
+                first = waiting.pop(0)
+                here = {s: x for s, x in self._block(first).items() if s >= next_} | here
+                self.waiting.removeKey((first,))
+            if next_ not in here:
                 break
+            piece, ended = here.pop(next_)
             for i, rule in enumerate(self.rules):
                 piece, held[i] = rule.fed(held[i], piece, ended)
             out.append(piece)
             next_ += 1
-        for seq, (piece, last) in here.items():
-            self.waiting.updateValue((seq,), (piece, last))
         text = "".join(out)
         if text or ended:
             yield self._row(key, parts, text, ended)
@@ -108,19 +123,27 @@ class Rewriter(StatefulProcessor):
             for at in list(self.handle.listTimers()):
                 self.handle.deleteTimer(at)
         if ended:
-            self._end()
+            self._end(waiting)
             return
-        self.state.update((next_, parts, held))
+        rest = sorted(here)
+        for k in range(0, len(rest), BLOCK):
+            block = {s: here[s] for s in rest[k : k + BLOCK]}
+            if rest[k] in waiting:  # a piece that came twice
+                block = self._block(rest[k]) | block
+            else:
+                waiting.append(rest[k])
+            self.waiting.updateValue((rest[k],), (list(block), [p for p, _ in block.values()], [z for _, z in block.values()]))
+        self.state.update((next_, parts, held, sorted(waiting)))
         if self.idle_ms:
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator:  # noqa: N802, N803
         """A text that fell silent ends with what came of it in order."""
-        _, parts, held = self._restored()
+        _, parts, held, waiting = self._restored()
         text = ""
         for rule, mine in zip(self.rules, held, strict=True):
             text, _ = rule.fed(mine, text, True)
-        self._end()
+        self._end(waiting)
         yield self._row(key, parts, text, True)
 
     def close(self) -> None:
@@ -136,7 +159,7 @@ def rewritten(pieces: DataFrame, rules: tuple[Rule, ...] = MATH, idle_ms: int |
     stateful(pieces.sparkSession)
     kind = pieces.schema["id"].dataType.simpleString()
     rows = pieces.where("id is not null").select("id", F.col("seq").cast("long").alias("seq"), "piece", F.coalesce("is_last", F.lit(False)).alias("is_last"))
-    return rows.groupBy("id").transformWithStateInPandas(Rewriter(rules, idle_ms), f"id {kind}, part long, text string, is_last boolean", "append", "ProcessingTime" if idle_ms else "None")
+    return rows.groupBy("id").transformWithState(Rewriter(rules, idle_ms, frames=False), f"id {kind}, part long, text string, is_last boolean", "append", "ProcessingTime" if idle_ms else "None")
 
 
 def joined(parts: DataFrame) -> DataFrame:
