@@ -71,5 +71,5 @@ def completions_by_poll(t):
     low, high = u.agg(F.min("at"), F.max("at")).first()
     poll = lambda at: F.expr(f"({at} - {low}L) * 3 div ({high - low + 1}L)")
     for k in range(3):
-        log = P.replayed(u.where(poll("at") == k).drop("at").coalesce(1), folder, P.tracked)
+        log = P.replayed(u.where(poll("at") == k).drop("at"), folder, P.tracked)
     return P.completions(log).select(poll("updated_at").alias("poll"), "job_id", "status")

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -33,28 +33,23 @@ class Progress(StatefulProcessor):
 
     def _read(self) -> dict:
         names = ["version", "created_at", "updated_at", *(x for f in FIELDS for x in (f, f"{f}_at")), "told"]
-        return dict(zip(names, self.state.get() if self.state.exists() else [0, *[None] * (len(names) - 1)], strict=True))
+        return dict(zip(names, self.state.get() or [0, *[None] * (len(names) - 1)], strict=True))
 
     def _event(self, key: tuple, s: dict, event: str, was: bool, now: bool):
-        import pandas as pd
-
         s["version"] += 1
-        row = {"job_id": key[0], "version": s["version"], "event": event, **{f: s[f] for f in FIELDS}, "created_at": s["created_at"], "updated_at": s["updated_at"], "was_active": was, "is_active": now}
-        return pd.DataFrame({k: pd.array([v], dtype="Int64") if k.endswith("_at") else pd.Series([v], dtype=float if k in ("current", "total") else None) for k, v in row.items()})
+        return Row(job_id=key[0], version=s["version"], event=event, **{f: s[f] for f in FIELDS}, created_at=s["created_at"], updated_at=s["updated_at"], was_active=was, is_active=now)
 
     def handleInputRows(self, key: tuple, rows: Iterator, timerValues) -> Iterator:  # noqa: N802, N803
         s = self._read()
         first = s["created_at"] is None
         was = not first and s["status"] is not None and s["status"] not in TERMINAL
         ended = not first and s["status"] in TERMINAL
-        for df in rows:
-            for r in df.itertuples(index=False):
-                s["created_at"] = r.at if s["created_at"] is None else min(s["created_at"], r.at)
-                s["updated_at"] = r.at if s["updated_at"] is None else max(s["updated_at"], r.at)
-                for f in FIELDS:
-                    v = getattr(r, f)
-                    if v is not None and v == v and (s[f"{f}_at"] is None or r.at >= s[f"{f}_at"]):
-                        s[f], s[f"{f}_at"] = v, r.at
+        for _, _, at, *values in rows:  # as tracked selects them
+            s["created_at"] = at if s["created_at"] is None else min(s["created_at"], at)
+            s["updated_at"] = at if s["updated_at"] is None else max(s["updated_at"], at)
+            for f, v in zip(FIELDS, values, strict=True):
+                if v is not None and v == v and (s[f"{f}_at"] is None or at >= s[f"{f}_at"]):
+                    s[f], s[f"{f}_at"] = v, at
         now = s["status"] is not None and s["status"] not in TERMINAL
         over = s["status"] in TERMINAL
         event = "late" if ended and over else "reopened" if ended else "end" if over else "snapshot" if first else "update"
@@ -101,7 +96,7 @@ def tracked(updates: DataFrame, stuck_ms: int | None = None, retain_ms: int | No
         rows = rows.withWatermark("ts", late)
     columns = [F.col(c).cast("double" if c in ("current", "total") else "string").alias(c) for c in FIELDS]
     rows = rows.select("job_id", "ts", F.unix_micros("ts").alias("at"), *columns)
-    return rows.groupBy("job_id").transformWithStateInPandas(Progress(stuck_ms, retain_ms), f"job_id {kind}, {EVENT}", "append", "EventTime" if timed else "None")
+    return rows.groupBy("job_id").transformWithState(Progress(stuck_ms, retain_ms), f"job_id {kind}, {EVENT}", "append", "EventTime" if timed else "None")
 
 
 def view(log: DataFrame) -> DataFrame:
@@ -119,13 +114,18 @@ def completions(log: DataFrame) -> DataFrame:  # ST7: of a micro-batch or of man
 
 
 def replayed(batches: DataFrame, folder: str, stream, files: int | None = None) -> DataFrame:
-    """What stream(readStream) sends to a sink when the rows of batches come as a stream of that many files, one a micro-batch: for replays and tests."""
+    """What stream(readStream) sends to a sink when the rows of batches come as a stream of so many micro-batches (one, without it), each of files of all cores: for replays and tests."""
     spark = batches.sparkSession
-    rows = batches.repartition(files) if files else batches
+    cores = spark.sparkContext.defaultParallelism
+    rows = batches.repartition(files * cores) if files else batches
     rows.write.mode("append").parquet(f"{folder}/in")
-    source = spark.readStream.schema(batches.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    reader = spark.readStream.schema(batches.schema)
+    if files:
+        written = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(f"{folder}/in").select("path").count()
+        reader = reader.option("maxFilesPerTrigger", -(-written // files))
+    source = reader.parquet(f"{folder}/in")
     held, key = spark.conf.get("spark.sql.shuffle.partitions"), "spark.sql.shuffle.partitions"
-    spark.conf.set(key, min(int(held), spark.sparkContext.defaultParallelism))  # a replay's state needs no more stores than there are cores; a stream keeps what it began with
+    spark.conf.set(key, min(int(held), cores))  # a replay's state needs no more stores than there are cores; a stream keeps what it began with
     try:
         query = stream(source).writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/checkpoint").option("path", f"{folder}/out").trigger(availableNow=True).start()
     finally:
