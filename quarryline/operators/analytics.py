@@ -43,11 +43,11 @@ def persona_stats(conversations: DataFrame, messages: DataFrame, citations: Data
 
 
 def conversation_weights(messages: DataFrame, citations: DataFrame) -> DataFrame:  # A3
-    """Weights are added in the order of their messages, so that means, and what is ordered by them, don't change with the shuffle."""
+    """Weights (0 to 1) are added exactly, as multiples of 2^-60, and rounded once, so that means, and what is ordered by them, don't change with the order of messages."""
     m = messages.join(citations_per_message(citations), "message_id", "left")
-    so_far = F.sum("rag_weight").over(Window.partitionBy("conversation_id").orderBy("message_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    mean = F.try_divide(F.max_by("_sum", "message_id"), F.count("rag_weight"))
-    return m.withColumn("_sum", so_far).groupBy("conversation_id").agg(mean.alias("avg_weight"), F.sum(F.coalesce("n_citations", F.lit(0))).alias("citations"), F.coalesce(F.bool_or(F.col("rag_weight") < LOW), F.lit(False)).alias("has_low"))
+    total = F.sum((F.col("rag_weight") * F.lit(2.0**60)).cast("long").cast("decimal(20,0)")).cast("double") / F.lit(2.0**60)
+    mean = F.try_divide(total, F.count("rag_weight"))
+    return m.groupBy("conversation_id").agg(mean.alias("avg_weight"), F.sum(F.coalesce("n_citations", F.lit(0))).alias("citations"), F.coalesce(F.bool_or(F.col("rag_weight") < LOW), F.lit(False)).alias("has_low"))
 
 
 def low_weight_report(conversations: DataFrame, messages: DataFrame, citations: DataFrame, newest: int = 100, most: int = 50) -> DataFrame:  # A4, S4
