@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -86,42 +89,52 @@ def patent_metadata(html: Column) -> Column:  # T22, T23: struct of identifiers,
     )
 
 
-_HEADING = r"<(?i:heading)[^>]*>[^<]+</(?i:heading)>"
+# as the JVM has it: letters of any case are ASCII ones
+_HEADING = re.compile(r"<(?i:heading)[^>]*>[^<]+</(?i:heading)>", re.ASCII)
+_CLAIMS = re.compile(r'<(?i:section)[^>]*(?i:itemprop="claims")', re.ASCII)
+
+
+def _groups(text: str, most: int) -> list[str]:
+    """Texts of neighbouring parts (each from a heading to the next), within most where a part is; text after the last heading is lost."""
+    out, begin = [], 0
+    while True:
+        end = text.rfind("<", begin + 1, begin + most + 1)
+        while end > 0 and not _HEADING.match(text, end):
+            end = text.rfind("<", begin + 1, end)
+        if end < 0:
+            after = _HEADING.search(text, begin + most + 1)
+            if after is None:
+                break
+            end = after.start()
+        out.append(text[begin:end])
+        begin = end
+    # a first part that is too long leaves an empty group before it
+    return ["", *out] if out and len(out[0]) > most else out
+
+
+def _windows(html: str | None, most: int, header: int) -> list[str | None]:
+    if html is None or len(html) <= most:
+        return [html]
+    a, d, claims = html.find('itemprop="abstract"'), html.find('itemprop="description"'), _CLAIMS.search(html)
+    c, head = claims.start() if claims else -1, html[:header]
+    text = html[d:c] if d > 0 and c > 0 else ""
+    described = _groups(text, most) if len(text) > most else [text] if text else []
+    return [html[: max(d if d > 0 else c, 0)] if a > 0 else head, *(head + t for t in described), *([head + html[c:]] if c > 0 else [])]
 
 
 def html_windows(html: Column, most: int = 300_000, header: int = 50_000) -> Column:  # T13 with Q15
     """The page itself if it fits; else what comes before the description, the description in groups of headings, and the claims, the last two behind the page's first characters.
 
-    Cuts are chosen from offsets, in characters; a group of the description is found by one look back
-    from as far as it may reach, so the page's text is gone through a few times, whatever its headings.
+    Cuts are offsets in characters, which the JVM's strings would be counted for from their beginning each
+    time; so a batch of pages goes through Python, whose strings are cut and searched in place. A group
+    is found by looking back from as far as it may reach.
     """
-    at = lambda text: F.coalesce(F.instr(html, text), F.lit(0)) - 1
-    cut = lambda x, i, j: x.substr((i + 1).cast("int"), (j - i).cast("int"))
-    strings = "array<string>"
 
-    def grouped(t: Column) -> Column:
-        """Texts of neighbouring parts (each from a heading to the next), within most where a part is; text after the last heading is lost."""
-        # characters beyond 16 bits count as one, and have the matcher call itself where they change with others
-        plain = F.regexp_replace(t, r"[\x{10000}-\x{10FFFF}]", "\ue000")
-        found = F.regexp_extract_all(plain, F.lit(rf"(?s)\G(?:.{{1,{most}}}(?={_HEADING})|.+?(?={_HEADING}))"), F.lit(0))
-        state = lambda first, last: F.struct(first.cast("int").alias("first"), last.cast("int").alias("last"))
-        spans = lambda ns: folded(ns, F.lit(0), lambda a, n, i: a + n, lambda a, n, i: F.array(state(a, a + n)), "struct<first:int,last:int>")
-        texts = bound(F.transform(found, F.length), lambda ns: F.transform(spans(ns), lambda x: cut(t, x["first"], x["last"])))
-        # a first part that is too long leaves an empty group before it
-        return bound(texts, lambda xs: F.when(F.length(F.get(xs, F.lit(0))) > most, F.concat(F.array(F.lit("")), xs)).otherwise(xs))
-
-    def windows(x: Column) -> Column:
-        a, d, c, head = x["a"], x["d"], x["c"], F.substring(html, 1, header)
-        one = F.when(a > 0, cut(html, F.lit(0), F.greatest(F.when(d > 0, d).otherwise(c), F.lit(0)))).otherwise(head)
-        body = F.when((d > 0) & (c > 0), cut(html, d, c)).otherwise(F.lit(""))
-        described = lambda t: F.when(t == "", F.array().cast(strings)).when(F.length(t) > most, grouped(t)).otherwise(F.array(t))
-        tail = F.when(c > 0, F.array(F.concat(head, cut(html, c, F.length(html))))).otherwise(F.array().cast(strings))
-        return F.concat(F.array(one), F.transform(bound(body, described), lambda t: F.concat(head, t)), tail)
-
-    # the first match's own text is not found before it
-    tag = bound(F.regexp_extract(html, r'<(?i:section)[^>]*(?i:itemprop="claims")', 0), lambda m: F.when(m != "", at(m)).otherwise(F.lit(-1)))
-    offsets = F.struct(at('itemprop="abstract"').alias("a"), at('itemprop="description"').alias("d"), tag.alias("c"))
-    return F.when(F.length(html) <= most, F.array(html)).otherwise(bound(offsets, windows))
+    @F.arrow_udf("array<string>")
+    def windows(pages: pa.Array) -> pa.Array:
+        return pa.array([_windows(x.as_py(), most, header) for x in pages], pa.list_(pa.string()))
+
+    return windows(html)
 
 
 def first_window(html: Column, most: int = 200_000) -> Column:  # T14

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -198,18 +199,23 @@ def long_pages(t):
     front = F.concat(F.lit('<meta name="DC.title" content="T"><section itemprop="abstract"><div>'), "url", F.lit("</div></section><section "))
     part = F.concat(F.lit("<heading>Part</heading>"), "html")
     body = F.repeat(part, F.expr("cast(700000 div (23 + length(html)) + 2 as int)"))
-    # each short row becomes a long one, so rows are dealt to all cores before
-    dealt = t.pages.repartition(4 * t.spark.sparkContext.defaultParallelism)
+    # each short row becomes a long one, so rows are dealt to all cores before, and to those that a cluster has yet to start
+    dealt = t.pages.repartition(max(4 * t.spark.sparkContext.defaultParallelism, 96))
     return dealt.select("page_id", F.concat(front, F.lit('itemprop="description">'), body, F.lit(_CLAIMS)).alias("html"))
 
 
 @query(f"WITH {_LONG.replace('_CLAIMS', chr(39) + _CLAIMS + chr(39))} SELECT page_id, 200000 AS first, whole, groups + 2 AS windows, 5 AS claims, groups * 50000 + 23 + parts * part AS described FROM g")
 def page_windows(t):
-    """Pages of several windows: header and abstract, the description in groups of its parts behind the page's first characters, and the claims, once."""
-    w = long_pages(t).select("page_id", F.length(E.first_window(F.col("html"))).alias("first"), F.length("html").alias("whole"), E.html_windows(F.col("html")).alias("w"))
-    claims = F.aggregate("w", F.lit(0), lambda a, x: a + F.size(F.regexp_extract_all(x, F.lit('class="claim"'), F.lit(0))))
-    described = F.aggregate(F.slice("w", 2, F.size("w") - 2), F.lit(0), lambda a, x: a + F.length(x))
-    return w.select("page_id", "first", "whole", F.size("w").alias("windows"), claims.alias("claims"), described.alias("described"))
+    """Pages of several windows: header and abstract, the description in groups of its parts behind the page's first characters, and the claims, once. Windows are measured where they are made."""
+
+    @F.arrow_udf("struct<windows: int, claims: int, described: int>")
+    def measured(pages: pa.Array) -> pa.Array:
+        rows = [{"windows": len(w), "claims": sum(x.count('class="claim"') for x in w), "described": sum(map(len, w[1:-1]))} for w in (x.as_py() for x in pages)]
+        return pa.array(rows, pa.struct([(k, pa.int32()) for k in ("windows", "claims", "described")]))
+
+    html = F.col("html")
+    w = long_pages(t).select("page_id", F.length(E.first_window(html)).alias("first"), F.length(html).alias("whole"), measured(E.html_windows(html)).alias("w"))
+    return w.select("page_id", "first", "whole", "w.windows", "w.claims", "w.described")
 
 
 _PAGE = "'<meta name=\"DC.title\" content=\"T ' || page_id || '\">'"
