@@ -193,14 +193,16 @@ l AS (SELECT page_id, length(front) + 23 + n * length(part) + length(_CLAIMS) AS
 g AS (SELECT *, CASE WHEN parts <= m0 THEN 1 ELSE 1 + ceil((parts - m0) / m)::BIGINT END AS groups FROM l)"""
 _CLAIMS = '</section><section itemprop="claims">' + "".join(f'<div class="claim" num="{i}">Part {i}.</div>' for i in range(1, 6)) + "</section>"
 
+PAGES_A_TASK = 32  # what a task has in memory of its long pages at once
+
 
 def long_pages(t):
     """Each page as the parts of a description of 700,000 characters and more, behind an abstract and before five claims."""
     front = F.concat(F.lit('<meta name="DC.title" content="T"><section itemprop="abstract"><div>'), "url", F.lit("</div></section><section "))
     part = F.concat(F.lit("<heading>Part</heading>"), "html")
     body = F.repeat(part, F.expr("cast(700000 div (23 + length(html)) + 2 as int)"))
-    # each short row becomes a long one, so rows are dealt to all cores before, and to those that a cluster has yet to start
-    dealt = t.pages.repartition(max(4 * t.spark.sparkContext.defaultParallelism, 96))
+    # each short row becomes a long one, so rows are dealt to all cores before, those too that a cluster has yet to start, and few to a task
+    dealt = t.pages.repartition(max(4 * t.spark.sparkContext.defaultParallelism, 96, t.pages.count() // PAGES_A_TASK))
     return dealt.select("page_id", F.concat(front, F.lit('itemprop="description">'), body, F.lit(_CLAIMS)).alias("html"))
 
 
