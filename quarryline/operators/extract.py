@@ -134,7 +134,7 @@ def html_windows(html: Column, most: int = 300_000, header: int = 50_000) -> Col
     def windows(pages: pa.Array) -> pa.Array:
         return pa.array([_windows(x.as_py(), most, header) for x in pages], pa.list_(pa.string()))
 
-    return windows(html)
+    return windows(F.make_valid_utf8(html))  # Python takes no other strings
 
 
 def first_window(html: Column, most: int = 200_000) -> Column:  # T14
